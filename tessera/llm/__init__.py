@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "jpeg")
+MODULES = ("bpe", "jpeg", "language_gru", "quality_cnn")
 
 QUERIES: dict = {}
 ORACLES: dict = {}

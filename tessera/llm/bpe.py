@@ -5,8 +5,9 @@ merge rank of every adjacent pair; the lowest rank (leftmost on ties) is found b
 right boundary deleted, and only the two neighbouring ranks refreshed. Pre-tokens of more than
 SHORT parts take the same merges from a heap, so a text without spaces costs n log n.
 
-Equal chunks of text repeat, so a worker keeps the ids of up to CACHE_CHUNKS chunks as packed
-bytes; the cache is emptied when full, which changes memory and never results.
+Equal chunks of text repeat, so a worker keeps the ids of chunks as packed bytes in two
+generations of CACHE_CHUNKS: a full one becomes the old one, from which chunks in use return.
+This bounds memory and never changes results.
 
 Defined cases: null is the empty text (no ids). The vocabulary's added tokens are matched in the
 text first. Any other text, whatever its length, decodes to itself.
@@ -18,6 +19,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +33,7 @@ SHORT = 256
 CACHE_CHUNKS = 600_000
 NO_RANK = 1 << 60
 #: Unicode white space, as the pre-tokenizer's \s has it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000, ord("-"), 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Fixed value: the split pattern of byte-level BPE.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Cuts between chunks fall only where PIECES cuts too.
@@ -46,9 +48,9 @@ def byte_symbols() -> dict[str, int]:
 
 
 def merge_short(parts: list, ranks: dict, made: list) -> list:
-    """Merge parts (token ids) in place: scan for the least rank, delete a boundary, refresh two ranks."""
+    """Merge parts (token ids below 2**20) in place: scan for the least rank, delete a boundary, refresh two ranks."""
     get = ranks.get
-    adjacent = [get(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+    adjacent = [get(a << 20 | b, NO_RANK) for a, b in zip(parts, parts[1:])]
     while adjacent:
         least = min(adjacent)
         if least == NO_RANK:
@@ -57,9 +59,9 @@ def merge_short(parts: list, ranks: dict, made: list) -> list:
         parts[i] = made[least]
         del parts[i + 1], adjacent[i]
         if i:
-            adjacent[i - 1] = get((parts[i - 1], parts[i]), NO_RANK)
+            adjacent[i - 1] = get(parts[i - 1] << 20 | parts[i], NO_RANK)
         if i < len(adjacent):
-            adjacent[i] = get((parts[i], parts[i + 1]), NO_RANK)
+            adjacent[i] = get(parts[i] << 20 | parts[i + 1], NO_RANK)
     return parts
 
 
@@ -67,7 +69,7 @@ def merge_long(parts: list, ranks: dict, made: list) -> list:
     """The same merges for long pre-tokens: a heap of (rank, position) over a linked list."""
     n = len(parts)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]), NO_RANK)) < NO_RANK]
+    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] << 20 | parts[i + 1], NO_RANK)) < NO_RANK]
     heapq.heapify(heap)
     while heap:
         r, i, a, b = heapq.heappop(heap)
@@ -79,7 +81,7 @@ def merge_long(parts: list, ranks: dict, made: list) -> list:
         if right[j] < n:
             left[right[j]] = i
         for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y < n and (k := ranks.get((parts[x], parts[y]), NO_RANK)) < NO_RANK:
+            if x >= 0 and y < n and (k := ranks.get(parts[x] << 20 | parts[y], NO_RANK)) < NO_RANK:
                 heapq.heappush(heap, (k, x, parts[x], parts[y]))
     return [p for p in parts if p is not None]
 
@@ -94,26 +96,31 @@ class Codec(dict):
         for c, b in byte_of.items():
             self.of_byte[b] = vocab[c]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        self.ranks = {vocab[a] << 20 | vocab[b]: r for r, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PIECES)
+        self.old: dict = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids: list = []
-        for piece in self.pieces.findall(chunk):
-            parts = [self.of_byte[b] for b in piece.encode()]
-            ids += (merge_short if len(parts) <= SHORT else merge_long)(parts, self.ranks, self.made)
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.old.get(chunk) or self.merged(chunk)
         if len(chunk) <= 64:
             if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed
 
+    def merged(self, chunk: str) -> bytes:
+        ids: list = []
+        for piece in self.pieces.findall(chunk):
+            parts = [self.of_byte[b] for b in piece.encode()]
+            ids += (merge_short if len(parts) <= SHORT else merge_long)(parts, self.ranks, self.made)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, packed."""
         if self.cuts is None or not any(t in text for t in self.added):
