@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "jpeg", "language_gru", "quality_cnn")
+MODULES = ("bpe", "jpeg", "language_gru", "quality_cnn", "rules_js")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
