@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "jpeg", "language_gru", "pii_feistel", "quality_cnn", "rules_js", "simhash")
+MODULES = ("bpe", "jpeg", "language_gru", "mixing", "pii_feistel", "quality_cnn", "rules_js", "simhash", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
