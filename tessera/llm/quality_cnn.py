@@ -83,8 +83,8 @@ def score_texts(model: dict, texts: list) -> np.ndarray:
     return head(model, pooled)[2] if "share" not in model else np.full(len(texts), model["share"])
 
 
-def fit(texts: list, labels: np.ndarray, prior: float, epochs: int = 6, batch: int = 48, seed: int = 7) -> dict:
-    """Adam on the log loss of classes weighed alike; the prior's log odds are added to the output at the end."""
+def fit(texts: list, labels: np.ndarray, prior: float, least_epochs: int = 6, least_steps: int = 360, batch: int = 48, seed: int = 7) -> dict:
+    """Adam, for a number of epochs and of steps at least, on the log loss of classes weighed alike; the prior's log odds are added to the output at the end."""
     if len(set(labels.tolist())) < 2:
         return {"share": float(labels.mean()) if len(labels) else 0.5, "embed": np.zeros((PAD + 1, EMBED), "f4"), "halves": np.zeros((STRIDE * EMBED, 2 * FILTERS), "f4")}
     rng = np.random.default_rng(seed)
@@ -92,7 +92,9 @@ def fit(texts: list, labels: np.ndarray, prior: float, epochs: int = 6, batch: i
     model = {"embed": normal(PAD + 1, EMBED, scale=0.5), "halves": normal(STRIDE * EMBED, 2 * FILTERS, scale=0.1), "bias": np.zeros(FILTERS, "f4"), "dense": normal(FILTERS, HIDDEN, scale=0.2), "dense_bias": np.zeros(HIDDEN, "f4"), "out": normal(HIDDEN, scale=0.3), "out_bias": np.zeros(1, "f4")}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    steps, total = 0, epochs * -(-len(texts) // batch)
+    each = -(-len(texts) // batch)
+    epochs = max(least_epochs, -(-least_steps // each))
+    steps, total = 0, epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):

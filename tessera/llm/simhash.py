@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import materialise, table, utf8
 
@@ -77,6 +78,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
 
 
+def with_fingerprint(docs: DataFrame) -> DataFrame:
+    """docs with the column fp added."""
+    place = docs.columns.index("text")
+
+    def compute(batches):
+        for batch in batches:
+            values = np.array([fingerprint(shingle_hashes(t)) for t in utf8(batch.column(place))], np.uint64).view(np.int64)
+            yield batch.append_column("fp", pa.array(values, pa.int64()))
+
+    return docs.mapInArrow(compute, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+
+
 def block_count(fingerprints_: int, radius: int = RADIUS) -> int:
     """The least number of blocks with which equal buckets would hold TILE fingerprints or fewer."""
     blocks = radius + 1
@@ -206,21 +219,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text)."""
+    """(doc_id, fp, root, component_id) for each row of docs(doc_id, text): root is a component's least fingerprint."""
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     named = components(compare_groups(groups.select("fp"), block_count(groups.count(), radius), radius))
     rooted = materialise(groups.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owned = materialise(rooted.join(materialise(least, "components"), "root").select("fp", "component_id"), "owned")
-    return prints.join(owned, "fp").select("doc_id", "fp", "component_id")
+    owned = materialise(rooted.join(materialise(least, "components"), "root").select("fp", "root", "component_id"), "owned")
+    return prints.join(owned, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the first by id (then text); rows with a null id count as last."""
-    found = near_duplicates(docs, radius)
-    keep = materialise(found.where("doc_id is not null").select("component_id").distinct().withColumnRenamed("component_id", "doc_id"), "kept")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one row of each component: one with its least id, or one of a component without any id."""
+    found = materialise(near_duplicates(docs, radius), "found")
+    keep = materialise(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "kept")
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # components of null ids only: their rows are found again by fingerprint, one of each root's stays
+    roots = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
+    nameless = with_fingerprint(docs.where("doc_id is null")).join(roots, "fp").dropDuplicates(["root"]).select(*docs.columns)
+    return named.unionByName(nameless)
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
