@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import retrieval_queries, store_queries, text_queries  # noqa: F401 - they register their queries
+from tessera.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "entry"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
