@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOWELS = "aeiouyäöü"
 # Letters that may stand before a valid s ending and a valid st ending.
@@ -71,6 +72,6 @@ def stem(word: str) -> str:
     return w.lower().translate(str.maketrans("äöü", "aou"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def german_stem(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else stem(w))

@@ -9,6 +9,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MIN_TEXT, MAX_BYTES = 50, 5 * 1024 * 1024
 
@@ -20,7 +21,7 @@ def url_problem(url: Column) -> Column:
     return F.when(scheme.isNull() | ~scheme.isin("http", "https"), "bad_scheme").when(F.coalesce(part("HOST"), F.lit("")) == "", "no_host").when(part("USERINFO").isNotNull(), "credentials")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_private(hosts: pd.Series) -> pd.Series:
     """Whether a literal host is a private, loopback, link-local or reserved address; names are only checked for localhost."""
 
