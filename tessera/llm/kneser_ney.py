@@ -58,7 +58,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        out.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+        out.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
     return b"".join(out)
 
 

@@ -79,15 +79,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """docs with the column fp added."""
+    """docs with the column _simhash_fp added."""
     place = docs.columns.index("text")
 
     def compute(batches):
         for batch in batches:
             values = np.array([fingerprint(shingle_hashes(t)) for t in utf8(batch.column(place))], np.uint64).view(np.int64)
-            yield batch.append_column("fp", pa.array(values, pa.int64()))
+            yield batch.append_column("_simhash_fp", pa.array(values, pa.int64()))
 
-    return docs.mapInArrow(compute, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(compute, T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())]))
 
 
 def block_count(fingerprints_: int, radius: int = RADIUS) -> int:
@@ -235,8 +235,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     keep = materialise(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "kept")
     named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # components of null ids only: their rows are found again by fingerprint, one of each root's stays
-    roots = found.where("doc_id is null and component_id is null").select("fp", "root").distinct()
-    nameless = with_fingerprint(docs.where("doc_id is null")).join(roots, "fp").dropDuplicates(["root"]).select(*docs.columns)
+    roots = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_simhash_fp"), F.col("root").alias("_simhash_root")).distinct()
+    nameless = with_fingerprint(docs.where("doc_id is null")).join(roots, "_simhash_fp").dropDuplicates(["_simhash_root"]).select(*docs.columns)
     return named.unionByName(nameless)
 
 
