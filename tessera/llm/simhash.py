@@ -12,8 +12,8 @@ fingerprints, so that buckets stay near TILE members; every choice finds the sam
 
 A bucket of more than TILE fingerprints is cut into tiles, and each pair of tiles is a group of its
 own, so no task holds a hot bucket. In a group the bit planes lie vertically: bit k of 64
-fingerprints in one word. One fingerprint is compared with all by carry-save counters, plane by
-plane, and a block of words is abandoned once all of its distances exceed the radius. A group
+fingerprints in one word. Carry-save counters sum 64 distances at once, plane by plane, and a word
+is abandoned once all of its distances exceed the radius. A group
 returns a spanning forest of its links, at most as many as its members, never all pairs.
 
 Components come from rounds of hooking to the smallest neighbour and pointer jumping over tables in
@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import materialise, table, utf8
 
 SHINGLE, RADIUS, TILE = 4, 4, 2048
+#: Fingerprints of a group that are compared with all of it at once.
+QUERY_ROWS = 256
 SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -114,37 +116,39 @@ def planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def within_radius(query: int, sliced: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which positions of a sliced block differ from query in radius bits or fewer (padding included)."""
-    words = np.arange(sliced.shape[1])
-    width = (radius + 1).bit_length()
-    zero = np.zeros(sliced.shape[1], np.uint64)
-    counters, over = [zero.copy() for _ in range(width)], zero.copy()
-    ones = np.uint64(0xFFFFFFFFFFFFFFFF)
+def within_radius(queries: np.ndarray, sliced: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, position) of queries and a sliced block that differ in radius bits or fewer (padding included).
+
+    Each (query, word) is a lane of 64 distances. Lanes in which all distances exceed the radius are
+    abandoned after every eight planes.
+    """
+    width, ones = radius.bit_length(), np.uint64(0xFFFFFFFFFFFFFFFF)
+    query, word = (x.ravel() for x in np.indices((len(queries), sliced.shape[1])))
+    counters = [np.zeros(len(query), np.uint64) for _ in range(width)]
+    over = np.zeros(len(query), np.uint64)
     for first in range(0, 64, 8):
         for k in range(first, first + 8):
-            carry = sliced[k] ^ ones if query >> k & 1 else sliced[k].copy()
+            flip = np.where(queries >> np.uint64(k) & np.uint64(1), ones, np.uint64(0))
+            carry = sliced[k][word] ^ flip[query]
             for c in range(width):
                 counters[c], carry = counters[c] ^ carry, counters[c] & carry
             over |= carry
-        # distances over the radius stay over: compare the counters with it, bit by bit from the top
-        more, equal = zero.copy(), ~zero
+        # compare the counters with the radius, bit by bit from the top; what is over stays over
+        equal = ~over
         for c in range(width - 1, -1, -1):
             if radius >> c & 1:
                 equal &= counters[c]
             else:
-                more |= equal & counters[c]
+                over |= equal & counters[c]
                 equal &= ~counters[c]
-        over |= more
-        open_ = over != ones
-        if not open_.all():  # abandon the words in which no distance is small enough
-            words, over, zero = words[open_], over[open_], zero[open_]
-            if not len(words):
-                return np.zeros(0, np.int64)
-            sliced, counters = sliced[:, open_], [c[open_] for c in counters]
-    hits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    row, bit = np.nonzero(hits)
-    return words[row] * 64 + bit
+        open_ = np.flatnonzero(over != ones)
+        if len(open_) < len(over):
+            query, word, over = query[open_], word[open_], over[open_]
+            counters = [c[open_] for c in counters]
+        if not len(over):
+            break
+    lane, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return query[lane], word[lane] * 64 + bit
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list:
@@ -161,14 +165,16 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
         return x
 
     links = []
-    for i, value in enumerate(left.view(np.uint64).tolist()):
-        begin = i // 64 if right is None else 0
-        for j in (within_radius(value, sliced[:, begin:], radius) + 64 * begin).tolist():
-            if j < len(other) and (right is not None or j > i):
-                a, b = root(i), root(j + shift)
-                if a != b:
-                    parent[b] = a
-                    links.append((i, j))
+    for start in range(0, len(left), QUERY_ROWS):
+        begin = start // 64 if right is None else 0
+        found, place = within_radius(left[start : start + QUERY_ROWS].view(np.uint64), sliced[:, begin:], radius)
+        found, place = found + start, place + 64 * begin
+        real = place < len(other) if right is not None else (place < len(other)) & (place > found)
+        for i, j in zip(found[real].tolist(), place[real].tolist()):
+            a, b = root(i), root(j + shift)
+            if a != b:
+                parent[b] = a
+                links.append((i, j))
     return links
 
 
