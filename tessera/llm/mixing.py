@@ -97,15 +97,35 @@ def min_cost_flow(patterns: dict, quotas: dict, copies: int = MOST_COPIES) -> di
     return {k: v for k, v in flow.items() if v}
 
 
+def members(sources: Column) -> Column:
+    """The sources of a document in one order, each once."""
+    return F.sort_array(F.array_distinct(sources))
+
+
+def draw(doc_id: Column, seed: int) -> Column:
+    """The document's place in the seeded order, below 2**40."""
+    return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(seed)), F.lit(1 << 40))
+
+
+def bucket(place: Column, buckets: Column) -> Column:
+    return F.floor(place * buckets / float(1 << 40))
+
+
 def mix(docs: DataFrame, sources: Column, seed: int = SEED) -> tuple[DataFrame, dict, dict, dict]:
     """Rows (row, doc_id, pattern, size, copies) of all docs, with sizes, targets and flow.
 
     sources: an array column, the sources that hold the document; docs has doc_id and text.
     """
+    decided, _, *facts = decide(docs, sources, seed)
+    return decided.drop("special"), *facts
+
+
+def decide(docs: DataFrame, sources: Column, seed: int) -> tuple[DataFrame, DataFrame, dict, dict, dict]:
+    """mix's rows with special (taken although the bucket isn't before the cut), the rule for all
+    others as a row for each pattern (whole, rest, buckets, cut), and sizes, targets and flow."""
     spark = docs.sparkSession
-    held = F.sort_array(F.array_distinct(sources))
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), size_in_words(F.col("text")).alias("size"))
-    sized = sized.withColumn("pattern", F.to_json("held")).withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)))
+    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), members(sources).alias("held"), size_in_words(F.col("text")).alias("size"))
+    sized = sized.withColumn("pattern", F.to_json("held")).withColumn("draw", draw(F.col("doc_id"), seed))
     sized = materialise(sized, "sized")
     totals = sized.groupBy("pattern").agg(F.first("held").alias("held"), F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
@@ -122,15 +142,16 @@ def mix(docs: DataFrame, sources: Column, seed: int = SEED) -> tuple[DataFrame,
         out[p] += words
     plan = [(r["pattern"], *divmod(out[tuple(r["held"])], max(1, r["size"])), -(-r["n"] // BUCKET_ROWS)) for r in order]
     plan = F.broadcast(spark.createDataFrame(plan, "pattern string, whole long, rest long, buckets long"))  # at most MAX_PATTERNS rows
-    drawn = sized.drop("held").join(plan, "pattern").withColumn("bucket", F.floor(F.col("draw") * F.col("buckets") / float(1 << 40)))
+    drawn = sized.drop("held").join(plan, "pattern").withColumn("bucket", bucket(F.col("draw"), F.col("buckets")))
     by_bucket = drawn.where("rest > 0").groupBy("pattern", "bucket").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
     running = F.sum("size").over(W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
     cut = by_bucket.withColumn("upto", running).where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before")), "bucket").alias("cut"))
-    drawn = drawn.join(F.broadcast(cut.select("pattern", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before"))), "pattern", "left")  # a row for each pattern at most
+    cut = materialise(cut.select("pattern", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before")), "cut")
+    drawn = drawn.join(F.broadcast(cut), "pattern", "left")  # a row for each pattern at most
     at_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
     upto = F.col("before") + F.sum("size").over(W.partitionBy("pattern").orderBy("draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0))
-    inside = drawn.where(at_cut).withColumn("taken", upto <= F.col("rest"))
-    outside = drawn.where(~at_cut).withColumn("taken", (F.col("rest") > 0) & (F.col("bucket") < F.col("cut")))
+    inside = drawn.where(at_cut).withColumn("taken", upto <= F.col("rest")).withColumn("special", F.col("taken"))
+    outside = drawn.where(~at_cut).withColumn("taken", (F.col("rest") > 0) & (F.col("bucket") < F.col("cut"))).withColumn("special", F.lit(False))
     chosen = materialise(inside.unionByName(outside).drop("draw", "buckets", "bucket", "cut", "before"), "chosen")
     gaps = chosen.where("rest > 0").groupBy("pattern").agg((F.first("rest") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap"))
     open_ = chosen.where("not taken and rest > 0 and size > 0").join(F.broadcast(gaps), "pattern").where("size <= gap")
@@ -139,15 +160,28 @@ def mix(docs: DataFrame, sources: Column, seed: int = SEED) -> tuple[DataFrame,
     start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("rows"))
     fill = F.aggregate("fit", start, lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.array_append(acc["rows"], x["row"]).alias("rows"))).otherwise(acc))
     filled = F.broadcast(some.select(F.explode(fill["rows"]).alias("row")).withColumn("filled", F.lit(True)))  # FILLERS rows a pattern at most
-    copies = F.col("whole") + (F.col("taken") | F.coalesce("filled", F.lit(False))).cast("long")
-    return chosen.join(filled, "row", "left").select("row", "doc_id", "pattern", "size", copies.alias("copies")), dict(sizes), wanted, flow
+    extra = F.coalesce("filled", F.lit(False))
+    copies = F.col("whole") + (F.col("taken") | extra).cast("long")
+    decided = chosen.join(filled, "row", "left").select("row", "doc_id", "pattern", "size", copies.alias("copies"), (F.col("special") | extra).alias("special"))
+    return decided, plan.join(cut.drop("before"), "pattern", "left"), dict(sizes), wanted, flow
 
 
 def repeat_to_weights(docs: DataFrame, sources: Column, seed: int = SEED) -> DataFrame:
-    """docs, each row as often as the mix takes it. Rows with one id are taken alike (as often as the first of them)."""
-    copies = mix(docs, sources, seed)[0].where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(materialise(copies, "copies"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs, each row as often as the mix takes it. Rows with one id and pattern are taken alike (as often as the first of them).
+
+    Texts stay where they are: the place of a row in the seeded order against its pattern's cut
+    decides it. Only rows of the cut's bucket and fillers are named, in a table that Spark
+    broadcasts if its size allows.
+    """
+    decided, rule, *_ = decide(docs, sources, seed)
+    special = materialise(decided.where("special").select(F.col("doc_id").alias("_mix_id"), F.col("pattern").alias("_mix_named")).distinct(), "special")
+    rule = F.broadcast(rule.select(*[F.col(c).alias(f"_mix_{c}") for c in ("pattern", "whole", "rest", "buckets", "cut")]))  # at most MAX_PATTERNS rows
+    placed = docs.withColumn("_mix_pattern", F.to_json(members(sources))).join(rule, "_mix_pattern")
+    before = (F.col("_mix_rest") > 0) & (bucket(draw(F.col("doc_id"), seed), F.col("_mix_buckets")) < F.col("_mix_cut"))
+    joined = placed.join(special, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_pattern") == F.col("_mix_named")), "left")
+    copies = F.col("_mix_whole") + (F.coalesce(before, F.lit(False)) | F.col("_mix_named").isNotNull()).cast("long")
+    taken = joined.withColumn("_mix_copies", copies).where("_mix_copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def op4_mixing_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

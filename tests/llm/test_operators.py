@@ -166,6 +166,14 @@ def test_mixing_odd_rows(odd):
     assert mixing.mix(odd.limit(0), F.array("source"))[0].count() == 0
 
 
+def test_repeated_rows_are_those_that_the_mix_takes(spark, docs, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, F.array("source"))[0].collect()}
+    got = Counter(r["doc_id"] for r in mixing.repeat_to_weights(docs, F.array("source")).collect())
+    assert got == Counter({i: n for i, n in want.items() if n}) and 0 < len(got) < len(want)
+    assert mixing.repeat_to_weights(odd.limit(0), F.array("source")).count() == 0
+
+
 def test_bpe_against_library(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
