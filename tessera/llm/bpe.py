@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 
 SHORT = 256
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 120_000
 NO_RANK = 1 << 60
 #: Unicode white space, as the pre-tokenizer's \s has it.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000, ord("-"), 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD_SPACE = r"\x20\x09-\x0D"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text bytes handled at once inside a task; bounds memory, never the amount of text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
