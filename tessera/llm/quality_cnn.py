@@ -6,8 +6,8 @@ they overlap and cover the whole document, and FILTERS learned filters answer ev
 answers are max-pooled over the document and a small dense layer turns them into one probability.
 
 It is fitted on the driver, on at most SAMPLE_ROWS labelled documents of each class (the ones of
-least hash, so reruns agree) and at most SAMPLE_CHARS characters of each; that bound is the only
-one. Scoring reads every byte of every text on the executors.
+least hash, so reruns agree) and a window of at most SAMPLE_CHARS characters of each, placed by hash;
+that bound is the only one. Scoring reads every byte of every text on the executors.
 
 Defined cases: null and empty texts are scored as a document of padding; a label that is null or
 neither 0 nor 1 isn't used; without labels of both classes the score is the share of label 1 (0.5 if
@@ -16,7 +16,6 @@ there are none). Repeated ids keep one row each. Other columns of the input are
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -133,7 +132,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarra
     order = F.xxhash64("doc_id", F.lit("sample"))
     parts = [usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * SAMPLE_ROWS rows
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", f"substring(text, 1, {SAMPLE_CHARS}) text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("row")), "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
+    offset = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").substr(offset.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("row")), "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     return [(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], np.float32), (n1 / (n0 + n1) if n0 and n1 else 0.5)
 
