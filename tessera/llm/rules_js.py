@@ -94,7 +94,8 @@ def distances(counted: DataFrame) -> DataFrame:
     df = df.withColumn("common", F.filter(bare, lambda x: x.isin(*listed)))
     for lang in COMMON_WORDS:
         own = F.array(*map(F.lit, COMMON_WORDS[lang]))
-        share = F.transform(own, lambda k: (F.size("common") - F.size(F.array_remove("common", k))) / F.greatest("n_words", F.lit(1)))
+        df = df.withColumn("mine", F.filter("common", lambda x: x.isin(*COMMON_WORDS[lang])))  # noqa: B023 - used at once
+        share = F.transform(own, lambda k: (F.size("mine") - F.size(F.array_remove("mine", k))) / F.greatest("n_words", F.lit(1)))
         df = df.withColumn(f"own_{lang}", share)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     whole = lambda lang: F.concat(f"own_{lang}", F.array(F.greatest(F.lit(0.0), 1 - total(F.col(f"own_{lang}")))))
