@@ -7,9 +7,10 @@ to any of its sources, and each source takes up to its quota. Only pattern total
 more than MAX_PATTERNS patterns raise an error.
 
 The flow out of a pattern is then drawn from its documents in seeded hash order: whole repetitions
-of all of them, and for the rest the documents before a cut. A histogram over hash buckets finds
-the bucket of the cut, only that bucket is ordered, and the gap that is left is filled from up to
-FILLERS further documents that fit in. No task sees a whole source.
+of all of them, and for the rest each document in turn that still fits in. A histogram over hash
+buckets finds the first bucket that doesn't fit as a whole, and only that bucket is gone through in
+order; what then is left is filled in the same way from all later documents that are small enough,
+until the gap is closed or smaller than each of them. No task sees a whole source.
 
 Defined cases: a null text has size 0 and is never needed; null sources form one source, last in
 order; without words all targets are 0. Rows with equal ids and sizes are alike, so ties never
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from tessera.llm.common import WORD_SPACE, materialise, table
 
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), 1.5, 2
 MAX_PATTERNS = 100_000
-BUCKET_ROWS, FILLERS = 4096, 64
+BUCKET_ROWS = 4096
 SEED = 20
 
 
@@ -143,34 +146,63 @@ def decide(docs: DataFrame, sources: Column, seed: int) -> tuple[DataFrame, Data
     plan = [(r["pattern"], *divmod(out[tuple(r["held"])], max(1, r["size"])), -(-r["n"] // BUCKET_ROWS)) for r in order]
     plan = F.broadcast(spark.createDataFrame(plan, "pattern string, whole long, rest long, buckets long"))  # at most MAX_PATTERNS rows
     drawn = sized.drop("held").join(plan, "pattern").withColumn("bucket", bucket(F.col("draw"), F.col("buckets")))
-    by_bucket = drawn.where("rest > 0").groupBy("pattern", "bucket").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
-    running = F.sum("size").over(W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    cut = by_bucket.withColumn("upto", running).where("upto > rest").groupBy("pattern").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before")), "bucket").alias("cut"))
-    cut = materialise(cut.select("pattern", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before")), "cut")
-    drawn = drawn.join(F.broadcast(cut), "pattern", "left")  # a row for each pattern at most
-    at_cut = F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
-    upto = F.col("before") + F.sum("size").over(W.partitionBy("pattern").orderBy("draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0))
-    inside = drawn.where(at_cut).withColumn("taken", upto <= F.col("rest")).withColumn("special", F.col("taken"))
-    outside = drawn.where(~at_cut).withColumn("taken", (F.col("rest") > 0) & (F.col("bucket") < F.col("cut"))).withColumn("special", F.lit(False))
-    chosen = materialise(inside.unionByName(outside).drop("draw", "buckets", "bucket", "cut", "before"), "chosen")
-    gaps = chosen.where("rest > 0").groupBy("pattern").agg((F.first("rest") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap"))
-    open_ = chosen.where("not taken and rest > 0 and size > 0").join(F.broadcast(gaps), "pattern").where("size <= gap")
-    nearest = W.partitionBy("pattern").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", "row")
-    some = open_.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= FILLERS).groupBy("pattern").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "doc_id", "row")), asc=False).alias("fit"))
-    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<bigint>").alias("rows"))
-    fill = F.aggregate("fit", start, lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.array_append(acc["rows"], x["row"]).alias("rows"))).otherwise(acc))
-    filled = F.broadcast(some.select(F.explode(fill["rows"]).alias("row")).withColumn("filled", F.lit(True)))  # FILLERS rows a pattern at most
-    extra = F.coalesce("filled", F.lit(False))
-    copies = F.col("whole") + (F.col("taken") | extra).cast("long")
-    decided = chosen.join(filled, "row", "left").select("row", "doc_id", "pattern", "size", copies.alias("copies"), (F.col("special") | extra).alias("special"))
-    return decided, plan.join(cut.drop("before"), "pattern", "left"), dict(sizes), wanted, flow
+    named, cut = draw_rest(drawn.where("rest > 0"), {r["pattern"]: r["rest"] for r in plan.where("rest > 0").collect()})
+    drawn = drawn.join(F.broadcast(cut), "pattern", "left").join(named.select("row", F.lit(True).alias("special")), "row", "left")  # cut: a row for each pattern at most
+    before, special = F.coalesce((F.col("rest") > 0) & (F.col("bucket") < F.col("cut")), F.lit(False)), F.coalesce("special", F.lit(False))
+    decided = drawn.select("row", "doc_id", "pattern", "size", (F.col("whole") + (before | special).cast("long")).alias("copies"), special.alias("special"))
+    return decided, plan.join(cut, "pattern", "left"), dict(sizes), wanted, flow
+
+
+def fitting(group: pa.Table) -> pa.Table:
+    """The rows of a bucket that fit into what is left of the gap, in the seeded order."""
+    column = lambda c: group.column(c).fill_null(0).to_numpy()
+    size, left, taken = column("size").tolist(), group.column("room")[0].as_py(), []
+    for i in np.lexsort([column(c) for c in ("row", "size", "doc_id", "draw")]).tolist():
+        if size[i] <= left:
+            left -= size[i]
+            taken.append(i)
+    return group.select(["pattern", "row", "size"]).take(pa.array(taken, pa.int64()))
+
+
+def draw_rest(rows: DataFrame, rest: dict) -> tuple[DataFrame, DataFrame]:
+    """What is taken for the rest of each pattern: every row of a bucket below cut(pattern, cut), and the rows named(row).
+
+    rows: row, doc_id, pattern, size, draw and bucket. A round takes the buckets up to the first
+    that is too large and what fits of that one; later rounds see later buckets and sizes up to the
+    gap only, so that all rounds do what one pass in the seeded order would.
+    """
+    spark = rows.sparkSession
+    gaps, named, first = [(p, gap, -1) for p, gap in rest.items()], [], None
+    while gaps or first is None:
+        known = F.broadcast(spark.createDataFrame(gaps, "pattern string, gap long, last long"))  # at most MAX_PATTERNS rows
+        fits = rows.join(known, "pattern").where("bucket > last and size > 0 and (last < 0 or size <= gap)")
+        by_bucket = fits.groupBy("pattern", "bucket").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
+        running = F.sum("size").over(W.partitionBy("pattern").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+        over = by_bucket.withColumn("upto", running).where("upto > gap").groupBy("pattern")
+        cut = over.agg(F.min_by(F.struct("bucket", (F.col("gap") - F.col("upto") + F.col("size")).alias("room")), "bucket").alias("cut"))
+        cut = materialise(cut.select("pattern", F.col("cut.bucket").alias("cut"), F.col("cut.room").alias("room")), "cut")
+        placed = fits.join(F.broadcast(cut), "pattern", "left").select("pattern", "row", "doc_id", "size", "draw", "bucket", "cut", "room")
+        chosen = placed.where("bucket = cut").groupBy("pattern").applyInArrow(fitting, "pattern string, row long, size long")
+        if first is not None:
+            chosen = chosen.unionByName(placed.where("cut is null or bucket < cut").select("pattern", "row", "size"))
+        chosen = materialise(chosen, "chosen")
+        named.append(chosen.select("row"))
+        used = {r["pattern"]: r["size"] for r in chosen.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
+        ends = {r["pattern"]: (r["cut"], r["room"]) for r in cut.collect()}
+        if first is None:
+            first = cut.select("pattern", "cut")
+            gaps = [(p, room, -1) for p, (_, room) in ends.items()]
+        gaps = [(p, gap - used.get(p, 0), ends[p][0]) for p, gap, _ in gaps if p in ends and gap > used.get(p, 0)]
+    for more in named[1:]:
+        named[0] = named[0].union(more)
+    return named[0], first
 
 
 def repeat_to_weights(docs: DataFrame, sources: Column, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mix takes it. Rows with one id and pattern are taken alike (as often as the first of them).
 
     Texts stay where they are: the place of a row in the seeded order against its pattern's cut
-    decides it. Only rows of the cut's bucket and fillers are named, in a table that Spark
+    decides it. Only rows taken from the cut's bucket and after it are named, in a table that Spark
     broadcasts if its size allows.
     """
     decided, rule, *_ = decide(docs, sources, seed)
