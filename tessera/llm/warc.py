@@ -8,7 +8,10 @@ DEDUP_BYTES bytes the one with the least page id is a response, others are revis
 
 Spark's text writer writes the archives, one gzipped file for about SEGMENT_BYTES of records (a
 segment is one row), and its binary reader reads them, so any file system that Spark knows will do.
-Payloads are shuffled once, compressed, by digest.
+ARC files are parsed twice: first for digests alone, of which equal ones are found by small rows
+(file, place, page id, digest) without payloads or those under DEDUP_BYTES; then each file is
+converted as a whole, joined by its name to the places of its revisits, so no payload is shuffled
+by digest and many equal payloads are no hot key.
 
 Defined cases: a null html is an empty payload; a null URL is written as about:blank, white space
 and control characters in URLs are percent-encoded; a null page id never becomes the one referred
@@ -35,7 +38,7 @@ SEGMENT_BYTES = 8 << 20
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 ARC_ORIGIN = {1: "1 0 tessera", 2: "2 0 tessera"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD_SCHEMA = "page_id long, url string, ip string, arc_date string, arc_version int, http binary, packed binary, payload_bytes long, payload_digest string"
+HEAD_SCHEMA = "file string, place int, page_id long, payload_bytes long, payload_digest string"
 PAGE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
 
 
@@ -53,6 +56,11 @@ def header_value(head: bytes, name: str) -> str | None:
     return found[1].decode() if found else None
 
 
+def page_of(http: bytes) -> int | None:
+    found = header_value(http, "X-Page-Id")
+    return None if found is None else int(found)
+
+
 def arc_record(version: int, page_id: int | None, url: str | None, payload: bytes, ip: str, date: str) -> bytes:
     content = http_head(page_id, len(payload)) + payload
     middle = f" 200 {hashlib.md5(content).hexdigest()} - 0 -" if version == 2 else ""
@@ -106,14 +114,15 @@ def warc_record(kind: str, fields: dict, block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block
 
 
-def converted(row: dict) -> bytes:
+def converted(url: str, ip: str, date: str, content: bytes, refers_to: int | None) -> bytes:
     """The WARC record of one ARC record; refers_to is the page id of the response, for a revisit."""
-    digest, page = row["payload_digest"], row["page_id"]
-    fields = {"WARC-Record-ID": record_uri(digest, page), "WARC-Date": warc_date(row["arc_date"]), "WARC-Target-URI": row["url"], "WARC-IP-Address": row["ip"], "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
-    if row["refers_to"] is None:
-        return warc_record("response", fields, row["http"] + zlib.decompress(row["packed"]))
-    refers = {"WARC-Profile": REVISIT, "WARC-Refers-To": record_uri(digest, row["refers_to"]), "WARC-Refers-To-Page": row["refers_to"]}
-    return warc_record("revisit", fields | refers, row["http"])
+    head, _, payload = content.partition(b"\r\n\r\n")
+    digest, page = hashlib.sha256(payload).hexdigest(), page_of(head)
+    fields = {"WARC-Record-ID": record_uri(digest, page), "WARC-Date": warc_date(date), "WARC-Target-URI": url, "WARC-IP-Address": ip, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
+    if refers_to is None:
+        return warc_record("response", fields, content)
+    refers = {"WARC-Profile": REVISIT, "WARC-Refers-To": record_uri(digest, refers_to), "WARC-Refers-To-Page": refers_to}
+    return warc_record("revisit", fields | refers, head + b"\r\n\r\n")
 
 
 def read_warc(data: bytes):
@@ -161,12 +170,13 @@ def _text_batches(segments):
 
 
 def write_files(segments: DataFrame, path: str, separator: str) -> None:
-    """One gzipped file for each row of segments(value), ended by the separator."""
-    segments.write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    """One gzipped file for each row of segments(value), ended by the separator, at the fastest level."""
+    segments.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """(file, content) of the archives in a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.col("path").alias("file"), "content")
 
 
 def write_arc(pages: DataFrame, path: str, ip: str = "0.0.0.0", date: str = "20240101000000", segment: int = SEGMENT_BYTES) -> None:
@@ -192,40 +202,50 @@ def write_arc(pages: DataFrame, path: str, ip: str = "0.0.0.0", date: str = "202
     write_files(pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(build, "value string"), path, "\n")
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files, payloads deflated."""
+def arc_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Where each record of the ARC files is, with its payload's size and digest."""
 
     def parse(batches):
-        names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
+        names = [f.split()[0] for f in HEAD_SCHEMA.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
-            for content in batch.column(0):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for version, url, ip, date, body in read_arc(inflate(content.as_py())):
+                for place, (*_, body) in enumerate(read_arc(inflate(content.as_py()))):
                     head, _, payload = body.partition(b"\r\n\r\n")
-                    page = header_value(head, "X-Page-Id")
-                    rows.append((None if page is None else int(page), url, ip, date, version, head + b"\r\n\r\n", zlib.compress(payload, 1), len(payload), hashlib.sha256(payload).hexdigest()))
+                    rows.append((file, place, page_of(head), len(payload), hashlib.sha256(payload).hexdigest()))
                 columns = zip(*rows) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    return read_files(spark, path).mapInArrow(parse, RECORD_SCHEMA)
+    return read_files(spark, path).mapInArrow(parse, HEAD_SCHEMA)
+
+
+def revisits(heads: DataFrame) -> DataFrame:
+    """(file, places): of each file the records that are revisits, with the page id of their response; at most as many as its records."""
+    heads = materialise(heads.where(f"payload_bytes >= {DEDUP_BYTES}").drop("payload_bytes"), "arc-heads")
+    first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    other = heads.join(first.drop("n"), "payload_digest").where("not page_id <=> first")
+    return other.groupBy("file").agg(F.collect_list(F.struct("place", "first")).alias("places"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, segment: int = SEGMENT_BYTES) -> None:
     """Convert ARC files to WARC files with revisit records."""
-    records = arc_records(spark, arc_path)
-    shared = records.where(f"payload_bytes >= {DEDUP_BYTES}").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    shared = materialise(shared.where("n > 1 and first is not null").select("payload_digest", "first"), "repeated")
-    other = F.when((F.col("payload_bytes") >= DEDUP_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = records.join(shared, "payload_digest", "left").withColumn("refers_to", other).drop("first")
+    found = materialise(revisits(arc_heads(spark, arc_path)), "arc-revisits")
+    joined = read_files(spark, arc_path).join(found, "file", "left").select("content", "places.place", "places.first")
 
     def build(batches):
         def info(number):
             text = b"software: tessera\r\nformat: WARC file version 1.1\r\n"
             return warc_record("warcinfo", {"WARC-Record-ID": record_uri("warcinfo", number), "WARC-Date": warc_date("20240101"), "Content-Type": "application/warc-fields"}, text)
 
-        rows = (converted(row) for batch in batches for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)) for row in piece.to_pylist())
-        yield from _text_batches(_segments(rows, info, segment, b"\r\n\r\n"))
+        def records():
+            for batch in batches:
+                for content, place, first in zip(*batch.columns):
+                    refers = dict(zip(place.as_py() or [], first.as_py() or []))
+                    for i, (_, url, ip, date, body) in enumerate(read_arc(inflate(content.as_py()))):
+                        yield converted(url, ip, date, body, refers.get(i))
+
+        yield from _text_batches(_segments(records(), info, segment, b"\r\n\r\n"))
 
     write_files(joined.mapInArrow(build, "value string"), warc_path, "\r\n\r\n")
 
@@ -237,7 +257,7 @@ def warc_pages(spark: SparkSession, path: str) -> DataFrame:
         names = [f.split()[0] for f in PAGE_SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column(1):
                 rows = []
                 for head, block in read_warc(inflate(content.as_py())):
                     kind = header_value(head, "WARC-Type")
@@ -247,9 +267,9 @@ def warc_pages(spark: SparkSession, path: str) -> DataFrame:
                     digest = header_value(head, "WARC-Payload-Digest").removeprefix("sha256:")
                     if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError("a payload doesn't have its digest")
-                    page, refers = header_value(http, "X-Page-Id"), header_value(head, "WARC-Refers-To-Page")
+                    refers = header_value(head, "WARC-Refers-To-Page")
                     size = len(payload) if kind == "response" else int(header_value(http, "Content-Length"))
-                    rows.append((None if page is None else int(page), size, digest, kind, None if refers is None else int(refers), header_value(head, "WARC-Record-ID"), header_value(head, "WARC-Target-URI"), header_value(head, "WARC-Date")))
+                    rows.append((page_of(http), size, digest, kind, None if refers is None else int(refers), header_value(head, "WARC-Record-ID"), header_value(head, "WARC-Target-URI"), header_value(head, "WARC-Date")))
                 columns = zip(*rows) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
