@@ -74,7 +74,9 @@ def arc_preamble(version: int, name: str, date: str) -> bytes:
 
 
 def read_arc(data: bytes):
-    """Yield (version, url, ip, date, content) of an ARC file's records."""
+    """Yield (version, url, ip, date, content) of an ARC file's records; an empty file, which Spark writes for no rows, has none."""
+    if not data:
+        return
     end = data.find(b"\n")
     if not data.startswith(b"filedesc://") or end < 0:
         raise ValueError("no ARC version block")
