@@ -7,14 +7,16 @@ to any of its sources, and each source takes up to its quota. Only pattern total
 more than MAX_PATTERNS patterns raise an error.
 
 The flow out of a pattern is then drawn from its documents in seeded hash order: whole repetitions
-of all of them, and for the rest each document in turn that still fits in. A histogram over hash
-buckets finds the first bucket that doesn't fit as a whole, and only that bucket is gone through in
+of all of them, and for the rest each document in turn that still fits in. Of a rest over half of
+the words those left out are drawn instead, so that there are always enough documents to fill a
+gap. A histogram over hash buckets finds the first bucket that doesn't fit as a whole, and only that bucket is gone through in
 order; what then is left is filled in the same way from all later documents that are small enough,
 until the gap is closed or smaller than each of them. No task sees a whole source.
 
 Defined cases: a null text has size 0 and is never needed; null sources form one source, last in
-order; without words all targets are 0. Rows with equal ids and sizes are alike, so ties never
-change the result. Other columns stay as they are.
+order; without words all targets are 0. A row's place in the order comes from its id, sources and
+text, so rows with one id (or none) are drawn one by one; rows equal in all three are alike, and
+each has a place of its own by its position in the input. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -105,9 +107,13 @@ def members(sources: Column) -> Column:
     return F.sort_array(F.array_distinct(sources))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """The document's place in the seeded order, below 2**40."""
-    return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(seed)), F.lit(1 << 40))
+def row_key(doc_id: Column, sources: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.to_json(members(sources)), text)
+
+
+def draw(key: Column, seed: int, row: Column | None = None) -> Column:
+    """A row's place in the seeded order, below 2**40; row tells equal keys apart."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)) if row is None else F.xxhash64(key, F.lit(seed), row), F.lit(1 << 40))
 
 
 def bucket(place: Column, buckets: Column) -> Column:
@@ -120,16 +126,19 @@ def mix(docs: DataFrame, sources: Column, seed: int = SEED) -> tuple[DataFrame,
     sources: an array column, the sources that hold the document; docs has doc_id and text.
     """
     decided, _, *facts = decide(docs, sources, seed)
-    return decided.drop("special"), *facts
+    return decided.drop("special", "key"), *facts
 
 
 def decide(docs: DataFrame, sources: Column, seed: int) -> tuple[DataFrame, DataFrame, dict, dict, dict]:
-    """mix's rows with special (taken although the bucket isn't before the cut), the rule for all
-    others as a row for each pattern (whole, rest, buckets, cut), and sizes, targets and flow."""
+    """mix's rows with key and special (the rule doesn't decide: a repeated key, or taken although the
+    bucket isn't before the cut), the rule for all others as a row for each pattern (whole, rest,
+    buckets, left_out, cut), and sizes, targets and flow."""
     spark = docs.sparkSession
-    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), members(sources).alias("held"), size_in_words(F.col("text")).alias("size"))
-    sized = sized.withColumn("pattern", F.to_json("held")).withColumn("draw", draw(F.col("doc_id"), seed))
-    sized = materialise(sized, "sized")
+    sized = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), members(sources).alias("held"), size_in_words(F.col("text")).alias("size"), row_key(F.col("doc_id"), sources, F.col("text")).alias("key"))
+    sized = materialise(sized.withColumn("pattern", F.to_json("held")), "sized")
+    alike = materialise(sized.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("alike")), "alike")
+    sized = sized.join(alike, "key", "left").withColumn("alike", F.coalesce("alike", F.lit(False)))
+    sized = sized.withColumn("draw", F.when(F.col("alike"), draw(F.col("key"), seed, F.col("row"))).otherwise(draw(F.col("key"), seed)))
     totals = sized.groupBy("pattern").agg(F.first("held").alias("held"), F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -143,13 +152,17 @@ def decide(docs: DataFrame, sources: Column, seed: int) -> tuple[DataFrame, Data
     out: dict = defaultdict(int)
     for (p, _), words in flow.items():
         out[p] += words
-    plan = [(r["pattern"], *divmod(out[tuple(r["held"])], max(1, r["size"])), -(-r["n"] // BUCKET_ROWS)) for r in order]
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern string, whole long, rest long, buckets long"))  # at most MAX_PATTERNS rows
+    plan = []
+    for r in order:
+        whole, rest = divmod(out[tuple(r["held"])], max(1, r["size"]))
+        left_out = 2 * rest > r["size"]
+        plan.append((r["pattern"], whole, r["size"] - rest if left_out else rest, -(-r["n"] // BUCKET_ROWS), left_out))
+    plan = F.broadcast(spark.createDataFrame(plan, "pattern string, whole long, rest long, buckets long, left_out boolean"))  # at most MAX_PATTERNS rows
     drawn = sized.drop("held").join(plan, "pattern").withColumn("bucket", bucket(F.col("draw"), F.col("buckets")))
     named, cut = draw_rest(drawn.where("rest > 0"), {r["pattern"]: r["rest"] for r in plan.where("rest > 0").collect()})
     drawn = drawn.join(F.broadcast(cut), "pattern", "left").join(named.select("row", F.lit(True).alias("special")), "row", "left")  # cut: a row for each pattern at most
     before, special = F.coalesce((F.col("rest") > 0) & (F.col("bucket") < F.col("cut")), F.lit(False)), F.coalesce("special", F.lit(False))
-    decided = drawn.select("row", "doc_id", "pattern", "size", (F.col("whole") + (before | special).cast("long")).alias("copies"), special.alias("special"))
+    decided = drawn.select("row", "key", "doc_id", "pattern", "size", (F.col("whole") + ((before | special) != F.col("left_out")).cast("long")).alias("copies"), (special | F.col("alike")).alias("special"))
     return decided, plan.join(cut, "pattern", "left"), dict(sizes), wanted, flow
 
 
@@ -199,19 +212,24 @@ def draw_rest(rows: DataFrame, rest: dict) -> tuple[DataFrame, DataFrame]:
 
 
 def repeat_to_weights(docs: DataFrame, sources: Column, seed: int = SEED) -> DataFrame:
-    """docs, each row as often as the mix takes it. Rows with one id and pattern are taken alike (as often as the first of them).
+    """docs, each row as often as the mix takes it.
 
     Texts stay where they are: the place of a row in the seeded order against its pattern's cut
-    decides it. Only rows taken from the cut's bucket and after it are named, in a table that Spark
-    broadcasts if its size allows.
+    decides it. Only rows taken from the cut's bucket and after it, and those with equal keys, are
+    named, by their position, in a table that Spark broadcasts if its size allows. So docs must give
+    the same rows in the same order each time it is read, as files do; a named row that isn't where
+    it was raises an error. Columns of docs must not begin with _mix_.
     """
     decided, rule, *_ = decide(docs, sources, seed)
-    special = materialise(decided.where("special").select(F.col("doc_id").alias("_mix_id"), F.col("pattern").alias("_mix_named")).distinct(), "special")
-    rule = F.broadcast(rule.select(*[F.col(c).alias(f"_mix_{c}") for c in ("pattern", "whole", "rest", "buckets", "cut")]))  # at most MAX_PATTERNS rows
-    placed = docs.withColumn("_mix_pattern", F.to_json(members(sources))).join(rule, "_mix_pattern")
-    before = (F.col("_mix_rest") > 0) & (bucket(draw(F.col("doc_id"), seed), F.col("_mix_buckets")) < F.col("_mix_cut"))
-    joined = placed.join(special, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_pattern") == F.col("_mix_named")), "left")
-    copies = F.col("_mix_whole") + (F.coalesce(before, F.lit(False)) | F.col("_mix_named").isNotNull()).cast("long")
+    special = decided.where("special").select(F.col("row").alias("_mix_row"), F.col("key").alias("_mix_named"), F.col("copies").alias("_mix_own"))
+    special = materialise(special, "special")
+    rule = F.broadcast(rule.select(*[F.col(c).alias(f"_mix_{c}") for c in ("pattern", "whole", "rest", "buckets", "left_out", "cut")]))  # at most MAX_PATTERNS rows
+    placed = docs.withColumns({"_mix_row": F.monotonically_increasing_id(), "_mix_key": row_key(F.col("doc_id"), sources, F.col("text")), "_mix_pattern": F.to_json(members(sources))})
+    joined = placed.join(rule, "_mix_pattern").join(special, "_mix_row", "left")
+    before = (F.col("_mix_rest") > 0) & (bucket(draw(F.col("_mix_key"), seed), F.col("_mix_buckets")) < F.col("_mix_cut"))
+    ruled = F.col("_mix_whole") + (F.coalesce(before, F.lit(False)) != F.col("_mix_left_out")).cast("long")
+    moved = F.raise_error(F.lit("the input gave other rows when it was read again")).cast("long")
+    copies = F.when(F.col("_mix_named").isNull(), ruled).when(F.col("_mix_named") == F.col("_mix_key"), F.col("_mix_own")).otherwise(moved)
     taken = joined.withColumn("_mix_copies", copies).where("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*docs.columns)
 

@@ -81,15 +81,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """docs with the column _simhash_fp added."""
+    """docs with the column _near_fp added."""
     place = docs.columns.index("text")
 
     def compute(batches):
         for batch in batches:
             values = np.array([fingerprint(shingle_hashes(t)) for t in utf8(batch.column(place))], np.uint64).view(np.int64)
-            yield batch.append_column("_simhash_fp", pa.array(values, pa.int64()))
+            yield batch.append_column("_near_fp", pa.array(values, pa.int64()))
 
-    return docs.mapInArrow(compute, T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())]))
+    return docs.mapInArrow(compute, T.StructType([*docs.schema.fields, T.StructField("_near_fp", T.LongType())]))
 
 
 def block_count(fingerprints_: int, radius: int = RADIUS) -> int:
@@ -235,15 +235,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(owned, "fp").select("doc_id", "fp", "root", "component_id")
 
 
+def keep_one(docs: DataFrame, found: DataFrame, with_key) -> DataFrame:
+    """docs with one row of each component of found(doc_id, fp, root): one with its least id, or one without id where no row has any.
+
+    with_key adds a row's fp as _near_fp. An id of one row says which row it is; rows of a repeated
+    or null id are told apart by fp, and of those with equal ids and fp one stays.
+    """
+    found = materialise(found, "near-found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("first")
+    keep = materialise(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_near_id"), F.col("first.fp").alias("_near_kept")), "near-kept")
+    repeated = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_near_id"))
+    repeated = materialise(repeated, "near-repeated")
+    own = F.col("doc_id").cast("long")
+    once = keep.where("_near_id is not null").join(repeated, "_near_id", "left_anti")
+    single = docs.join(once, own == F.col("_near_id"), "left_semi")
+    many = with_key(docs.join(repeated, own.eqNullSafe(F.col("_near_id")), "left_semi"))
+    many = many.join(keep, own.eqNullSafe(F.col("_near_id")) & (F.col("_near_fp") == F.col("_near_kept")), "left_semi")
+    return single.unionByName(many.dropDuplicates(["doc_id", "_near_fp"]).select(*docs.columns))
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: one with its least id, or one of a component without any id."""
-    found = materialise(near_duplicates(docs, radius), "found")
-    keep = materialise(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "kept")
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # components of null ids only: their rows are found again by fingerprint, one of each root's stays
-    roots = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_simhash_fp"), F.col("root").alias("_simhash_root")).distinct()
-    nameless = with_fingerprint(docs.where("doc_id is null")).join(roots, "_simhash_fp").dropDuplicates(["_simhash_root"]).select(*docs.columns)
-    return named.unionByName(nameless)
+    """docs with one row of each component, by keep_one."""
+    return keep_one(docs, near_duplicates(docs, radius).select("doc_id", "fp", "root"), with_fingerprint)
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

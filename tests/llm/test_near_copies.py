@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import near_copies
+from tessera.llm import near_copies, simhash
 
 
 def components(sets):
@@ -70,3 +70,14 @@ def test_rows_of_one_id_in_two_components_stay(spark):
     assert got.columns == docs.columns
     assert Counter((r["doc_id"], (r["text"] or "")[:1]) for r in got.collect()) == Counter([(1, "a"), (1, "q"), (None, "k"), (3, "")])
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    one, two, three = "alpha beta gamma delta epsilon", "one two three four five six", "eins zwei drei vier"
+    rows = [(5, two), (5, one), (3, two), (7, three), (None, one), (None, "solo"), (None, "solo"), (None, None), (8, ""), (8, "")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, "x") for i, t in order], "doc_id long, text string, fp string").repartition(3)
+        for drop in (near_copies.drop_near_copies, simhash.drop_near_duplicates):
+            got = Counter((r["doc_id"], r["text"] or "") for r in drop(docs).collect())
+            assert got == Counter([(5, one), (3, two), (7, three), (None, "solo"), (8, "")])
+        assert near_copies.drop_near_copies(docs.limit(0)).collect() == []
