@@ -5,21 +5,25 @@ and the pieces are joined again, so text outside matches stays as it is. Numbers
 permuted within their own format, one-to-one for a key: equal values get equal pseudonyms in every
 document, different values different ones.
 
-    card       13 to 19 digits, perhaps grouped; if the Luhn digit is right, the digits before it are
-               permuted and it is computed again, else all digits are permuted
-    iban       the digits after the country code and check digits are permuted, check digits renewed
-    phone      the last ten digits are permuted; country code and punctuation stay
+    card       13 to 19 digits, perhaps grouped; the digits before the last are permuted, and the last
+               keeps its distance from the Luhn digit: valid numbers stay valid, others invalid
+    iban       digits are permuted among digits and letters among letters; the check digits keep their
+               distance from the right ones. Invalid ones with fewer than eight digits stay
+    phone      + and a country code, North American and German national forms: the digits after the
+               country code or leading zero are permuted; punctuation stays
     ssn        nine digits are permuted
-    ip         the 32 bits of an address are permuted
+    ip         the 32 bits of an address are permuted; of IPv6 both halves of 64 bits, written in full
     date       days from 1900-01-01 on, DAYS of them, are permuted; the form of writing stays, and the
-               same day written in two forms maps to the same day
+               same day written in two forms maps to the same day. In day/month/year with a day over 12
+               that day stays over 12: months and days to the 28th are permuted, for later days the year
 
 E-mail addresses and hexadecimal secrets of 32 digits or more are no numbers: they become keyed
-digests of the same form (an address, as many hexadecimal digits), linked across documents too.
+digests of the same form (an address with 128 bits, as many hexadecimal digits), linked across
+documents too.
 
 Defined cases: null stays null and has no entities; an empty text stays empty. A date that doesn't
 exist or lies outside the range stays. Texts of any length are handled whole. Rows are never
-dropped; columns other than the text stay as they are.
+dropped; columns other than the text stay as they are, and the added count takes a name that is free.
 """
 
 from __future__ import annotations
@@ -38,17 +42,24 @@ DAYS = DAY_SIDE * DAY_SIDE
 FIRST_DAY = "1900-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 FORMS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?\d{4}){2,6}(?: ?\d{1,4})?(?![0-9A-Za-z])",
-    "phone": r"(?:(?<![\w+])\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<![\d.-])\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
-    "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![0-9A-Za-z.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
+    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "ip6": rf"(?<!:)(?=[A-Fa-f:]*\d)(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,5}})?::(?:{_GROUPS}{{0,5}})?)(?![0-9A-Za-z:]|\.\d)",
+    "phone": r"(?<![+.-])(?:\+(?=(?:[ ./()-]{0,2}\d){7})\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,6}(?!\d)|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?:\(0\d{2,4}\) ?|0\d{2,4}[ /-])\d{5,8}(?!\d))",
+    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "date": r"(?<![./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<!\.)(?:(?:\d{4}[ -]){3}\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
 }
-PATTERN = "|".join(FORMS.values())
+#: No form begins inside a word or a number, which rules most places out at once.
+PATTERN = "(?<![0-9A-Za-z])(?:" + "|".join(FORMS.values()) + ")"
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Months of the range that are permuted for day/month/year.
+MONTHS = 2376
 
 
 def let(value: Column, body) -> Column:
@@ -112,27 +123,85 @@ def mod97(digits: Column) -> Column:
     return F.aggregate(F.split(digits, ""), F.lit(0), lambda s, c: F.when(c == "", s).otherwise((s * 10 + c.cast("int")) % 97))
 
 
+def letter_number(letters: Column) -> Column:
+    """A string of up to 12 capital letters as a number to base 26."""
+    return F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 65))
+
+
+def permute_letters(key: str, kind: str, letters: Column) -> Column:
+    """Permute a string of up to 24 capital letters among the strings of that length."""
+    n = F.length(letters)
+    half = F.floor(n / 2).cast("int")
+    a, b = letter_number(F.substr(letters, F.lit(1), half)), letter_number(F.substr(letters, half + 1, n))
+    power = lambda k: F.aggregate(F.array_repeat(F.lit(26), k), F.lit(1).cast("long"), lambda p, x: p * x)
+    out = feistel(key, kind, a, b, power(half), power(n - half))
+    written = lambda number, k: F.aggregate(F.array_repeat(F.lit(0), k), F.struct(number.alias("n"), F.lit("").alias("s")), lambda acc, _: F.struct(F.floor(acc["n"] / 26).cast("long").alias("n"), F.concat(F.char((acc["n"] % 26 + 65)), acc["s"]).alias("s")), lambda acc: acc["s"])
+    return F.when(n == 0, letters).otherwise(let(out, lambda p: F.concat(written(p["a"], half), written(p["b"], n - half))))
+
+
+def filled_both(form: Column, digits: Column, letters: Column) -> Column:
+    """form with its digits and its capital letters replaced, each from left to right."""
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("j"), F.lit("").alias("s"))
+
+    def step(acc, c):
+        digit = F.struct((acc["i"] + 1).alias("i"), acc["j"].alias("j"), F.concat(acc["s"], F.substr(digits, acc["i"], F.lit(1))).alias("s"))
+        letter = F.struct(acc["i"].alias("i"), (acc["j"] + 1).alias("j"), F.concat(acc["s"], F.substr(letters, acc["j"], F.lit(1))).alias("s"))
+        return F.when(c.rlike(r"\d"), digit).when(c.rlike("[A-Z]"), letter).otherwise(F.struct(acc["i"].alias("i"), acc["j"].alias("j"), F.concat(acc["s"], c).alias("s")))
+
+    return F.aggregate(F.split(form, ""), start, step, lambda acc: acc["s"])
+
+
+def iban_check(country: Column, body: Column) -> Column:
+    """The right check digits, as a number; letters count from A = 10."""
+    turned = F.transform(F.split(F.concat(body, country), ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c))
+    return 98 - mod97(F.concat(F.array_join(turned, ""), F.lit("00")))
+
+
 def iban(key: str, match: Column) -> Column:
     flat = F.regexp_replace(match, " ", "")
     country, body = F.substring(flat, 1, 2), F.substr(flat, F.lit(5), F.length(flat))
-    new = permute_digits(key, "iban", body)
-    letters = F.concat(*[(F.ascii(F.substring(country, i, 1)) - 55).cast("string") for i in (1, 2)])
-    check = F.lpad((98 - mod97(F.concat(new, letters, F.lit("00")))).cast("string"), 2, "0")
-    return F.concat(country, filled(F.substr(match, F.lit(3), F.length(match)), F.concat(check, new)))
+    digits, letters = _digits(body), F.regexp_replace(body, r"\d", "")
+    off = F.pmod(F.substring(flat, 3, 2).cast("int") - iban_check(country, body), F.lit(100))
+    # bodies have 8 letters or fewer where they are permuted with fewer than two digits
+    moved = F.struct(F.when(F.length(digits) > 1, permute_digits(key, "iban", digits)).otherwise(digits).alias("d"), permute_letters(key, "iban letters", letters).alias("l"), off.alias("off"))
+
+    def written(new):
+        form = F.substr(match, F.lit(5), F.length(match))
+        after = filled_both(form, new["d"], new["l"])
+        check = F.pmod(iban_check(country, F.regexp_replace(after, " ", "")) + new["off"], F.lit(100))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), after)
+
+    return F.when((off == 0) | (F.length(digits) >= 8), let(moved, written)).otherwise(match)
 
 
 def card(key: str, match: Column) -> Column:
     digits = _digits(match)
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    new = permute_digits(key, "card", body)
-    valid = luhn_digit(body) == F.substring(digits, -1, 1)
-    return filled(match, F.when(valid, F.concat(new, luhn_digit(new))).otherwise(permute_digits(key, "number", digits)))
+    off = F.substring(digits, -1, 1).cast("int") - luhn_digit(body).cast("int")
+    last = lambda new: F.pmod(luhn_digit(new["body"]).cast("int") + new["off"], F.lit(10)).cast("string")
+    return let(F.struct(permute_digits(key, "card", body).alias("body"), off.alias("off")), lambda new: filled(match, F.concat(new["body"], last(new))))
 
 
 def phone(key: str, match: Column) -> Column:
     digits = _digits(match)
     n = F.length(digits)
-    return filled(match, F.concat(F.substr(digits, F.lit(1), n - 10), permute_digits(key, "phone", F.substring(digits, -10, 10))))
+    code = F.length(F.regexp_extract(match, COUNTRY_CODE, 1))
+    national = F.when(match.rlike(r"^\(?0\d{2,4}[) /-] ?\d{5,8}$"), 1).otherwise(n - 10)
+    kept = F.when(F.startswith(match, F.lit("+")), code).otherwise(national)
+    return filled(match, F.concat(F.substr(digits, F.lit(1), kept), permute_digits(key, "phone", F.substr(digits, kept + 1, n))))
+
+
+def ip6(key: str, match: Column) -> Column:
+    side = lambda i: F.filter(F.split(F.coalesce(F.get(F.split(match, "::"), F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    groups = F.concat(side(0), F.array_repeat(F.lit("0"), 8 - F.size(side(0)) - F.size(side(1))), side(1))
+
+    def half(all_, first):
+        word = lambda i: F.conv(F.get(all_, F.lit(i)), 16, 10).cast("long") * 65536 + F.conv(F.get(all_, F.lit(i + 1)), 16, 10).cast("long")
+        out = feistel(key, f"ip6 {first}", word(first), word(first + 2), F.lit(1 << 32), F.lit(1 << 32))
+        hexed = lambda x: F.lower(F.hex(x))
+        return let(out, lambda p: F.concat_ws(":", *[hexed(F.floor(p[c] / 65536).cast("long") if high else p[c] % 65536) for c in "ab" for high in (True, False)]))
+
+    return let(groups, lambda g: F.concat_ws(":", half(g, 0), half(g, 4)))
 
 
 def ip(key: str, match: Column) -> Column:
@@ -145,8 +214,8 @@ def ip(key: str, match: Column) -> Column:
 def date(key: str, match: Column) -> Column:
     """ISO dates, day.month.year, and month/day/year (day/month/year where only that exists)."""
     # each form: a pattern, and the groups of year, month and day
-    forms = [(r"^(\d{4})-(\d{2})-(\d{2})$", (1, 2, 3)), (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", (3, 2, 1)), (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2)), (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 2, 1))]
-    result = match
+    forms = [(r"^(\d{4})-(\d{2})-(\d{2})$", (1, 2, 3)), (r"^(\d{4})/(\d{2})/(\d{2})$", (1, 2, 3)), (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", (3, 2, 1)), (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2))]
+    result = day_first(key, match)
     for pattern, groups in reversed(forms):
         y, m, d = (F.lpad(F.regexp_extract(match, pattern, g), 4 if k == 0 else 2, "0") for k, g in enumerate(groups))
         day = F.datediff(F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date"))
@@ -161,6 +230,18 @@ def date(key: str, match: Column) -> Column:
     return result
 
 
+def day_first(key: str, match: Column) -> Column:
+    """day/month/year that isn't month/day/year: the day is over 12, and so is the new one."""
+    d, m, y = (F.regexp_extract(match, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", g).try_cast("int") for g in (1, 2, 3))
+    real = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d), F.lit("yyyy-MM-dd")).isNotNull()
+    months = (y - 1900) * 12 + m - 1
+    early = feistel(key, "date early", F.floor(months / 12), months % 12 * 16 + d - 13, F.lit(MONTHS // 12), F.lit(12 * 16))
+    late = feistel(key, "date late", F.floor((y - 1900) / 10), (y - 1900) % 10, F.lit(20), F.lit(10))
+    new_early = let(early, lambda p: F.format_string("%02d/%02d/%04d", p["b"] % 16 + 13, F.floor(p["b"] / 16) + 1, p["a"] + 1900))
+    new_late = let(late, lambda p: F.format_string("%02d/%02d/%04d", d, m, p["a"] * 10 + p["b"] + 1900))
+    return F.when(real & d.between(13, 28) & months.between(0, MONTHS - 1), new_early).when(real & (d > 28) & (m != 2) & y.between(1900, 2099), new_late).otherwise(match)
+
+
 def secret(key: str, match: Column) -> Column:
     n = F.length(match)
     own = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(match)), 256)
@@ -170,27 +251,36 @@ def secret(key: str, match: Column) -> Column:
 
 def email(key: str, match: Column) -> Column:
     own = lambda s, what, n: F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(what), F.lower(s)), 256), 1, n)
-    return F.concat(F.lit("u"), own(match, "email", 12), F.lit("@d"), own(F.substring_index(match, "@", -1), "domain", 8), F.lit(".example"))
+    return F.concat(F.lit("u"), own(match, "email", 32), F.lit("@d"), own(F.substring_index(match, "@", -1), "domain", 8), F.lit(".example"))
 
 
 def pseudonym(key: str, match: Column) -> Column:
     """A match's pseudonym, by the first form that it has as a whole."""
-    whole = lambda kind: match.rlike(r"^(?:" + FORMS[kind].replace(r"(?<![\w+])", "").replace(r"(?<![\d.-])", "") + ")$")
-    makers = {"email": email, "secret": secret, "iban": iban, "phone": phone, "ip": ip, "date": date, "card": card}
+    whole = lambda kind: match.rlike(r"^(?:" + FORMS[kind] + ")$")
+    makers = {"email": email, "secret": secret, "iban": iban, "ip6": ip6, "phone": phone, "ip": ip, "date": date, "card": card}
     result = filled(match, permute_digits(key, "ssn", _digits(match)))
     for kind in reversed(list(makers)):
         result = F.when(whole(kind), makers[kind](key, match)).otherwise(result)
     return result
 
 
-def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """docs with the column's matches replaced, and n_pii, the number of matches (null text: 0)."""
+def free_name(name: str, df: DataFrame) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text", count: str = "n_pii") -> DataFrame:
+    """docs with the column's matches replaced, and their number (null text: 0) as count, or count with underscores added where docs has that name."""
+    temporary, count = free_name("_found", docs), free_name(count, docs)
     found = F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))
-    df = docs.withColumn("_found", found).withColumn("n_pii", F.coalesce(F.size("_found"), F.lit(0)).cast("long"))
+    df = docs.withColumn(temporary, found).withColumn(count, F.coalesce(F.size(temporary), F.lit(0)).cast("long"))
     gaps = F.split(F.col(column), PATTERN, -1)
-    new = F.transform("_found", lambda m: pseudonym(key, m))
+    new = F.transform(temporary, lambda m: pseudonym(key, m))
     joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    return df.withColumn(column, F.when(F.size("_found") > 0, joined).otherwise(F.col(column))).drop("_found")
+    return df.withColumn(column, F.when(F.size(temporary) > 0, joined).otherwise(F.col(column))).drop(temporary)
 
 
 def op8_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

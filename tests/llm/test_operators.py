@@ -1,6 +1,8 @@
 """Each operator against brute force or a round trip, and on nulls, empty and long texts, ties, repeated rows and empty tables."""
 
+import datetime
 import hashlib
+import ipaddress
 import math
 import re
 import zlib
@@ -355,6 +357,67 @@ def test_pii_permutes_like_brute_force_and_one_to_one(spark):
     assert len(pairs) == 63
 
 
+def python_digits(key, kind, digits):
+    half = len(digits) // 2
+    a, b = python_feistel(key, kind, int(digits[:half]), int(digits[half:]), (10**half, 10 ** (len(digits) - half)))
+    return f"{a:0{half}d}{b:0{len(digits) - half}d}"
+
+
+def luhn_last(body):
+    return -sum(d * 2 - 9 * (d > 4) if i % 2 == 0 else d for i, d in enumerate(int(c) for c in reversed(body))) % 10
+
+
+def iban_right(flat):
+    return 98 - int("".join(str(int(c, 36)) for c in flat[4:] + flat[:2]) + "00") % 97
+
+
+def test_pii_cards_and_ibans_like_brute_force(spark):
+    """Valid and invalid numbers of one body stay apart: the distance of the check digits is kept."""
+    cards = [f"{body}{c}" for body in ("411111111111111", "123456789012345", "900000000000000") for c in range(10)]
+    ibans = [f"DE{c:02d}370400440532013000" for c in range(100)] + ["GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300", "NL91 ABNA 0417 1643 00", "NL92ABNA0417164300", "MT84MALT011000012345MTLCAST001S", "AB12 CDEF GHIJ"]
+    values = cards + ibans
+    out = [r["text"] for r in pii_feistel.pseudonymise(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert len({o.replace(" ", "") for o in out}) == len(values) - 1 and out[-1] == values[-1]
+    for v, o in list(zip(values, out))[:30]:
+        body = python_digits("k", "card", v[:-1])
+        assert o == f"{body}{(luhn_last(body) + int(v[-1]) - luhn_last(v[:-1])) % 10}"
+    for v, o in list(zip(values, out))[30:-1]:
+        v, o = v.replace(" ", ""), o.replace(" ", "")
+        assert o[:2] == v[:2] and o[4:] != v[4:] and re.sub("[A-Z]", "A", re.sub(r"\d", "9", o)) == re.sub("[A-Z]", "A", re.sub(r"\d", "9", v))
+        assert re.sub(r"\D", "", o[4:]) == python_digits("k", "iban", re.sub(r"\D", "", v[4:]))
+        assert (int(o[2:4]) - iban_right(o)) % 100 == (int(v[2:4]) - iban_right(v)) % 100
+
+
+def test_pii_other_forms(spark):
+    phones = ["+1-555-123-4567", "+1.555.123.4567", "+15551234567", "555 123 4567", "(555) 123 4567", "1-555-123-4567", "+49 30 1234567", "030 1234567", "030/1234567", "(030) 1234567", "+49 (0)30 1234567", "+353 1 234 5678"]
+    others = ["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "10.1.2.3", "3782 822463 10005", "a.b+c@x-y.example.org", "2020/02/29"]
+    clean = ["std::vector", "12:30:45", "a::b", "1.2.3", "2023-02-30", "31/04/2020", "29/02/2021", "ISO 9001 2015", "x1234567890123456789", "MT84 WORD TEXT LIST"]
+    days = [f"{d:02d}/{m:02d}/{y}" for y in (1900, 1999, 2020) for m in (1, 2, 5, 12) for d in range(1, 32) if d <= 29 - (m == 2)]
+    texts = phones + others + clean + days
+    out = dict(zip(texts, [r["text"] for r in pii_feistel.pseudonymise(spark.createDataFrame([(i, f"x {t}, y") for i, t in enumerate(texts)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]))
+    assert all(v.startswith("x ") and v.endswith(", y") for v in out.values())
+    out = {k: v[2:-3] for k, v in out.items()}
+    assert all(out[t] == t for t in clean), [t for t in clean if out[t] != t]
+    assert all(out[t] != t for t in phones + others), [t for t in phones + others if out[t] == t]
+    digits = {t: re.sub(r"\D", "", out[t]) for t in phones}
+    assert all(re.sub(r"\d", "9", out[t]) == re.sub(r"\d", "9", t) for t in phones)
+    assert len({digits[t][-10:] for t in phones[:6]}) == 1 and len({digits[t][-9:] for t in phones[6:10]}) == 1
+    assert digits["+49 30 1234567"][:2] == "49" and digits["+353 1 234 5678"][:3] == "353" and digits["030 1234567"][0] == "0"
+    assert out["2001:db8::1"] == out["2001:0db8:0:0:0:0:0:1"] and ipaddress.ip_address(out["2001:db8::1"]) != ipaddress.ip_address(out["fe80::1ff:fe23:4567:890a"])
+    assert len({out[t] for t in days}) == len(days)
+    for t in days:
+        a, b, y = map(int, out[t].split("/"))
+        datetime.date(y, *((a, b) if int(t[:2]) <= 12 else (b, a)))
+        assert (a > 12) == (int(t[:2]) > 12)
+
+
+def test_pii_keeps_columns_whose_names_it_uses(spark):
+    docs = spark.createDataFrame([(1, "4111111111111111", "a", "b"), (2, None, "c", "d")], "doc_id long, text string, _found string, n_pii string")
+    out = pii_feistel.pseudonymise(docs, "k").orderBy("doc_id").collect()
+    assert [(r["_found"], r["n_pii"], r["n_pii_"]) for r in out] == [("a", "b", 1), ("c", "d", 0)]
+    assert pii_feistel.pseudonymise(docs.limit(0), "k").collect() == []
+
+
 def test_pii_odd_rows_and_plan(odd):
     out = pii_feistel.pseudonymise(odd, "k")
     assert out.columns == [*odd.columns, "n_pii"]
