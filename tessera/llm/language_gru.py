@@ -1,17 +1,19 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
-A text's UTF-8 bytes are cut into windows of WINDOW bytes that together cover the whole text. In
-each window one gated recurrent layer runs forwards and one backwards; their two states label every
-position with a probability per language, and a document's probabilities are the mean over all of
-its positions. Gates and candidates use x / (1 + |x|) for the sigmoid and the hyperbolic tangent.
+A text's UTF-8 bytes are cut into windows of WINDOW bytes that together cover the whole text. A
+window is read with MARGIN bytes more on both sides: one gated recurrent layer runs over it forwards
+and one backwards, so every position is labelled with at least MARGIN bytes of context to its left
+and right (fewer only at the text's ends). The two states label each of the window's own positions
+with a probability per language, and a document's probabilities are the mean over all its positions.
 
 Weights are learned on the driver by backpropagation through time over all positions of windows of
-a bounded sample: about SAMPLE_ROWS documents of each language, chosen by hash, and at most
-SAMPLE_CHARS characters of each. Predictions read every byte of every text on the executors.
+a bounded sample: about SAMPLE_ROWS whole documents of each language, chosen by hash, and about
+MOST_ROWS in all (at least one row's share of each language). Predictions read every byte of every
+text on the executors, BLOCK windows at a time, however long the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; so is every text if
-nothing can be learned from. Null languages aren't learned. More than MAX_LANGUAGES raise an error.
-Rows with repeated ids are predicted one by one; other columns are ignored.
+nothing can be learned from. Null languages aren't learned. Rows with repeated ids are predicted one
+by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, table, text_slices, utf8
 
-WINDOW, HIDDEN = 64, 8
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 1500, 1000
-SLICE = 1 << 17
+WINDOW, MARGIN, HIDDEN = 64, 16, 8
+SAMPLE_ROWS, MOST_ROWS = 400, 4000
+#: Windows that are labelled at once.
+BLOCK = 2048
 
 
-def soft(x: np.ndarray) -> np.ndarray:
-    return x / (1 + np.abs(x))
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.float32(1) / (1 + np.exp(np.minimum(-x, 80)))
+
+
+def tanh(x: np.ndarray) -> np.ndarray:
+    return 1 - np.float32(2) / (1 + np.exp(np.minimum(2 * x, 80)))
 
 
 def run(side: dict, codes: np.ndarray, tape: list | None = None) -> np.ndarray:
@@ -40,17 +47,14 @@ def run(side: dict, codes: np.ndarray, tape: list | None = None) -> np.ndarray:
     for t in range(len(codes)):
         x = side["in"].take(codes[t], axis=1)
         both = weights @ h
-        gates, q = both[: 2 * HIDDEN], both[2 * HIDDEN :]
-        gates += x[: 2 * HIDDEN]
-        s = soft(gates)
-        s *= 0.5
-        s += 0.5
+        both[: 2 * HIDDEN] += x[: 2 * HIDDEN]
+        s, q = sigmoid(both[: 2 * HIDDEN]), both[2 * HIDDEN :]
         r, z = s[:HIDDEN], s[HIDDEN:]
         a = r * q
         a += x[2 * HIDDEN :]
-        n = soft(a)
+        n = tanh(a)
         if tape is not None:
-            tape.append((h, gates, r, z, q, a, n))
+            tape.append((h, r, z, q, n))
         h = np.subtract(h, n, out=out[t])
         h *= z
         h += n
@@ -74,23 +78,48 @@ def probabilities(model: dict, both: np.ndarray) -> np.ndarray:
     return score
 
 
-def windows(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Codes [time, window] of all texts (256 is padding) and the window at which each text begins."""
+def layout(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts as symbols (256 is padding, a margin at both ends), where each window begins there, and each text's first window."""
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     counts = np.maximum(1, -(-sizes // WINDOW))
     start = np.concatenate([[0], np.cumsum(counts)])
-    codes = np.full(int(start[-1]) * WINDOW, 256, np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    codes[np.arange(len(data)) + np.repeat(start[:-1] * WINDOW - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)] = data
-    return np.ascontiguousarray(codes.reshape(-1, WINDOW).T), start
+    places = start[:-1] * WINDOW + 2 * MARGIN * np.arange(len(texts))
+    symbols = np.full(int(start[-1]) * WINDOW + 2 * MARGIN * len(texts), 256, np.int16)
+    for at, t in zip((places + MARGIN).tolist(), texts):
+        symbols[at : at + len(t)] = np.frombuffer(t, np.uint8)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    return symbols, places[owner] + WINDOW * (np.arange(start[-1]) - start[owner]), start
+
+
+def read(symbols: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Codes [time, window] of the windows with their margins."""
+    return symbols[begins + np.arange(WINDOW + 2 * MARGIN)[:, None]].astype(np.int64)
+
+
+def windows(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Codes [time, window] of all texts, and the window at which each text begins."""
+    symbols, begins, start = layout(texts)
+    return read(symbols, begins), start
+
+
+def own(codes: np.ndarray) -> np.ndarray:
+    """1 for the positions that are a window's own and in the text."""
+    real = (codes < 256).astype("f4")
+    real[:MARGIN] = real[MARGIN + WINDOW :] = 0
+    return real
 
 
 def predict(model: dict, texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Index of the likeliest language and its pooled probability, for each text (bytes)."""
-    codes, start = windows(texts)
-    real = (codes < 256).astype("f4")
-    pooled = (probabilities(model, states(model, codes)) * real[:, None]).sum(axis=0)
-    total = np.add.reduceat(pooled.T, start[:-1], axis=0) / np.maximum(np.add.reduceat(real.sum(axis=0), start[:-1]), 1)[:, None]
+    symbols, begins, start = layout(texts)
+    sums, sizes = np.zeros((len(begins), len(model["bias"]))), np.zeros(len(begins))
+    mine = slice(MARGIN, MARGIN + WINDOW)
+    for a in range(0, len(begins), BLOCK):
+        codes = read(symbols, begins[a : a + BLOCK])
+        real = (codes[mine] < 256).astype("f4")
+        sums[a : a + BLOCK] = (probabilities(model, states(model, codes)[mine]) * real[:, None]).sum(axis=0).T
+        sizes[a : a + BLOCK] = real.sum(axis=0)
+    total = np.add.reduceat(sums, start[:-1], axis=0) / np.maximum(np.add.reduceat(sizes, start[:-1]), 1)[:, None]
     best = total.argmax(axis=1)
     return best, np.clip(total[np.arange(len(best)), best], 0, 1)
 
@@ -100,10 +129,10 @@ def through_time(side: dict, codes: np.ndarray, tape: list, grad: np.ndarray, ou
     back = np.zeros_like(grad[0])
     inputs = np.empty((3 * HIDDEN, *codes.shape), "f4")
     for t in range(len(codes) - 1, -1, -1):
-        h, gates, r, z, q, a, n = tape[t]
+        h, r, z, q, n = tape[t]
         back = back + grad[t]
-        da = back * (1 - z) / (1 + np.abs(a)) ** 2
-        dgates = np.concatenate([da * q, back * (h - n)]) * 0.5 / (1 + np.abs(gates)) ** 2
+        da = back * (1 - z) * (1 - n * n)
+        dgates = np.concatenate([da * q * r * (1 - r), back * (h - n) * z * (1 - z)])
         dq = da * r
         inputs[: 2 * HIDDEN, t], inputs[2 * HIDDEN :, t] = dgates, da
         out["gates"] += dgates @ h.T
@@ -122,18 +151,18 @@ def fit(texts: list, classes: np.ndarray, languages: int, steps: int = 240, rows
     model = {"forward": side(), "backward": side(), "out": normal(languages, 2 * HIDDEN, scale=0.3), "bias": np.zeros(languages, "f4")}
     flat = [("out", model), ("bias", model), *((k, model[d]) for d in ("forward", "backward") for k in ("in", "gates", "state"))]
     moments = [(np.zeros_like(o[k]), np.zeros_like(o[k])) for k, o in flat]
-    codes, start = windows(texts)
+    symbols, begins, start = layout(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(start))
     by_class = [np.flatnonzero(classes[owner] == c) for c in range(languages)]
     present = [c for c in range(languages) if len(by_class[c])]
     for step in range(1, steps + 1):
         drawn = rng.choice(present, rows)
         mine = np.array([rng.choice(by_class[c]) for c in drawn])
-        x = codes[:, mine]
+        x = read(symbols, begins[mine])
         tapes: tuple = ([], [])
         both = np.concatenate([run(model["forward"], x, tapes[0]), run(model["backward"], x[::-1], tapes[1])[::-1]], axis=1)
         score = probabilities(model, both)
-        real = (x < 256).astype("f4")
+        real = own(x)
         score[:, drawn, np.arange(rows)] -= 1
         score *= (real / real.sum())[:, None]
         grads: dict = {d: {k: np.zeros_like(v) for k, v in model[d].items()} for d in ("forward", "backward")}
@@ -154,16 +183,14 @@ def fit_languages(docs: DataFrame) -> tuple[dict, list]:
     """The model and its languages, from rows that may be learned from."""
     usable = docs.selectExpr("cast(doc_id as long) doc_id", "text", "lang").where(F.col("lang").isNotNull() & (id_remainder("doc_id", 3) != 1))
     counts = dict(usable.groupBy("lang").count().collect())
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; at most {MAX_LANGUAGES} can be learned")
     languages = sorted(counts)
     if not languages:
         return {}, []
+    each = max(1, min(SAMPLE_ROWS, MOST_ROWS // len(languages)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, SAMPLE_ROWS / v))])[F.col("lang")], F.lit(0.0))
-    offset = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    some = usable.where((draw < share) & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").substr(offset.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * SAMPLE_ROWS * len(languages)).collect()
+    share = F.coalesce(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, each / v))])[F.col("lang")], F.lit(0.0))
+    some = usable.where((draw < share) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    rows = some.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * each * len(languages)).collect()
     if not rows:
         return {}, []
     place = {k: i for i, k in enumerate(languages)}
@@ -181,7 +208,7 @@ def identify(docs: DataFrame, model: dict, languages: list) -> DataFrame:
             texts, lettered = utf8(batch.column(1)), np.array(batch.column(2).to_pylist(), bool)
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             if model:
-                for a, b in text_slices(texts, SLICE):
+                for a, b in text_slices(texts):
                     best[a:b], score[a:b] = predict(model, texts[a:b])
             named = [languages[k] if ok and model else "und" for k, ok in zip(best.tolist(), lettered)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(np.where(lettered, score, 0.0))], names=["doc_id", "lang_pred", "score"])

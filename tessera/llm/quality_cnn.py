@@ -5,9 +5,9 @@ PERIODS before is another symbol, so that filters of one chunk can see repetitio
 they overlap and cover the whole document, and FILTERS learned filters answer every chunk. The
 answers are max-pooled over the document and a small dense layer turns them into one probability.
 
-It is fitted on the driver, on at most SAMPLE_ROWS labelled documents of each class (the ones of
-least hash, so reruns agree) and a window of at most SAMPLE_CHARS characters of each, placed by hash;
-that bound is the only one. Scoring reads every byte of every text on the executors.
+It is fitted on the driver, on the whole texts of at most SAMPLE_ROWS labelled documents of each class
+(the ones of least hash, so reruns agree); that bound is the only one. Scoring reads every byte of
+every text on the executors, BLOCK strides at a time, however long the text.
 
 Defined cases: null and empty texts are scored as a document of padding; a label that is null or
 neither 0 nor 1 isn't used; without labels of both classes the score is the share of label 1 (0.5 if
@@ -28,7 +28,9 @@ EMBED, FILTERS, HIDDEN = 8, 32, 16
 PAD = 512
 #: A byte is marked if it and the RUN - 1 bytes before equal those a period earlier.
 RUN, PERIODS = 16, range(2, 21)
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 16_000
+SAMPLE_ROWS = 1500
+#: Strides that are answered at once.
+BLOCK = 1 << 14
 KEEP_SCORE = 0.3
 
 
@@ -54,16 +56,51 @@ def layout(texts: list) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate([[0], np.cumsum(strides)])
     symbols = np.full(int(start[-1]) * STRIDE, PAD, np.int16)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    symbols[np.arange(len(data)) + np.repeat(start[:-1] * STRIDE - begins, sizes)] = data + repeated(data, begins)
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    data = data + repeated(data, begins[:-1])
+    for at, a, b in zip((start * STRIDE).tolist(), begins.tolist(), begins[1:].tolist()):
+        symbols[at : at + b - a] = data[a:b]
     return symbols, start
 
 
-def responses(model: dict, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedded strides and every filter's answer to the chunk that begins at each stride but the last."""
-    strides = model["embed"][symbols].reshape(-1, STRIDE * EMBED)
-    both = strides @ model["halves"]
-    return strides, both[:-1, :FILTERS] + both[1:, FILTERS:]
+def responses(model: dict, rows: np.ndarray) -> np.ndarray:
+    """Every filter's answer to the chunk that begins at each stride of rows [stride, STRIDE] but the last."""
+    both = model["embed"][rows].reshape(len(rows), -1) @ model["halves"]
+    return both[:-1, :FILTERS] + both[1:, FILTERS:]
+
+
+def blocks(model: dict, symbols: np.ndarray, start: np.ndarray):
+    """Yield (texts, answers, their first stride, where each text begins and ends in them) over blocks that overlap by a stride."""
+    rows = symbols.reshape(-1, STRIDE)
+    for a in range(0, len(rows) - 1, BLOCK):
+        b = min(len(rows) - 1, a + BLOCK)
+        # the chunk at a text's last stride holds padding only: it is left out
+        low, high = np.maximum(start[:-1], a), np.minimum(start[1:] - 1, b)
+        inside = np.flatnonzero(low < high)
+        yield inside, responses(model, rows[a : b + 1]), a, low[inside] - a, high[inside] - a
+
+
+def pooled(model: dict, symbols: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The largest answer of each filter over all chunks of each text."""
+    best = np.full((len(start) - 1, FILTERS), -np.inf, "f4")
+    for inside, answer, _, low, high in blocks(model, symbols, start):
+        edges = np.stack([low, high], 1).ravel()
+        if len(edges):
+            most = np.maximum.reduceat(answer, edges[:-1] if edges[-1] == len(answer) else edges, axis=0)[::2]
+            best[inside] = np.maximum(best[inside], most)
+    return best
+
+
+def strongest(model: dict, symbols: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pooled, and the stride at which each filter's largest answer begins."""
+    best, place = np.full((len(start) - 1, FILTERS), -np.inf, "f4"), np.zeros((len(start) - 1, FILTERS), np.int64)
+    for inside, answer, first, low, high in blocks(model, symbols, start):
+        for d, a, b in zip(inside.tolist(), low.tolist(), high.tolist()):
+            at = answer[a:b].argmax(axis=0) + a
+            found = answer[at, np.arange(FILTERS)]
+            better = found > best[d]
+            best[d, better], place[d, better] = found[better], at[better] + first
+    return best, place
 
 
 def head(model: dict, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,11 +112,7 @@ def head(model: dict, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 def score_texts(model: dict, texts: list) -> np.ndarray:
     """Probability of label 1 for each text (bytes), over all of its chunks."""
     symbols, start = layout(texts)
-    _, answer = responses(model, symbols)
-    # the chunk at a document's last stride holds padding only: leave it out of the pool
-    edges = np.stack([start[:-1], start[1:] - 1], 1).ravel()[:-1]
-    pooled = np.maximum.reduceat(answer, edges, axis=0)[::2]
-    return head(model, pooled)[2] if "share" not in model else np.full(len(texts), model["share"])
+    return head(model, pooled(model, symbols, start))[2] if "share" not in model else np.full(len(texts), model["share"])
 
 
 def fit(texts: list, labels: np.ndarray, prior: float, least_epochs: int = 6, least_steps: int = 360, batch: int = 48, seed: int = 7) -> dict:
@@ -99,21 +132,20 @@ def fit(texts: list, labels: np.ndarray, prior: float, least_epochs: int = 6, le
         for at in range(0, len(order), batch):
             mine = order[at : at + batch]
             symbols, start = layout([texts[i] for i in mine])
-            strides, answer = responses(model, symbols)
-            best = np.stack([answer[a : b - 1].argmax(axis=0) + a for a, b in zip(start, start[1:])])
-            active, hidden, p = head(model, answer[best, np.arange(FILTERS)])
+            most, best = strongest(model, symbols, start)
+            active, hidden, p = head(model, most)
+            rows = symbols.reshape(-1, STRIDE)
             grad = ((p - labels[mine]) * weight[mine] / len(mine)).astype("f4")
             g = {"out": hidden.T @ grad, "out_bias": grad.sum(keepdims=True)}
             back = np.outer(grad, model["out"]) * (1 - hidden**2)
             g |= {"dense": active.T @ back, "dense_bias": back.sum(0)}
             back = (back @ model["dense"].T) * (active > 0)
             g["bias"] = back.sum(0)
-            g["halves"] = np.concatenate([np.einsum("df,dfk->kf", back, strides[best + k]) for k in (0, 1)], axis=1)
+            g["halves"] = np.concatenate([np.einsum("df,dfk->kf", back, model["embed"][rows[best + k]].reshape(*best.shape, -1)) for k in (0, 1)], axis=1)
             g["embed"] = np.zeros_like(model["embed"])
             for k in (0, 1):
-                rows = symbols.reshape(-1, STRIDE)[best + k]
                 kernel = model["halves"][:, k * FILTERS : (k + 1) * FILTERS].T.reshape(FILTERS, STRIDE, EMBED)
-                np.add.at(g["embed"], rows.ravel(), (back[:, :, None, None] * kernel).reshape(-1, EMBED))
+                np.add.at(g["embed"], rows[best + k].ravel(), (back[:, :, None, None] * kernel).reshape(-1, EMBED))
             steps += 1
             rate = 4e-3 * (1 - steps / (total + 1)) + 2e-4
             for k, v in model.items():
@@ -132,8 +164,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list, np.ndarra
     order = F.xxhash64("doc_id", F.lit("sample"))
     parts = [usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * SAMPLE_ROWS rows
-    offset = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").substr(offset.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("row")), "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id", F.lit("row")), "doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     return [(r["text"] or "").encode() for r in rows], np.array([r["quality"] for r in rows], np.float32), (n1 / (n0 + n1) if n0 and n1 else 0.5)
 
