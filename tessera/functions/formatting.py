@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # The entities that exported text may hold; the ampersand comes last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-#: Passes of repair_mojibake: a text may have been decoded wrongly more than once.
-REPAIR_PASSES = 2
 
 
 def decode_entities(text: Column) -> Column:
@@ -60,13 +58,17 @@ def warnings(degraded: Column, timed_out: Column, failed: Column, total: Column)
 
 
 def repair_mojibake(text: Column) -> Column:
-    """UTF-8 that was decoded as Latin-1, decoded again: only where that succeeds and shortens the text."""
-    for _ in range(REPAIR_PASSES):
-        # no character above U+00FF, and a lead byte with a continuation byte at least once
-        suspect = text.rlike(r"^[\x{00}-\x{FF}]*$") & text.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]")
-        again = F.when(suspect, F.try_validate_utf8(F.encode(F.when(suspect, text), "ISO-8859-1").cast("string")))
-        text = F.coalesce(F.when(F.length(again) < F.length(text), again), text)
-    return text
+    """UTF-8 that was decoded as Latin-1, decoded again as often as that succeeds and shortens the text."""
+    # no character above U+00FF, and a lead byte with a continuation byte at least once
+    suspect = lambda t: t.rlike(r"^[\x{00}-\x{FF}]*$") & t.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]")
+
+    def once(t: Column) -> Column:
+        again = F.when(suspect(t), F.try_validate_utf8(F.encode(F.when(suspect(t), t), "ISO-8859-1").cast("string")))
+        return F.coalesce(F.when(F.length(again) < F.length(t), again), t)
+
+    # each wrong decoding doubles what isn't ASCII, so there are at most log2(length) of them
+    most = F.greatest(F.ceil(F.log2(F.length(text) + F.lit(1))).cast("int"), F.lit(1))
+    return F.when(suspect(text), F.aggregate(F.sequence(F.lit(1), most), text, lambda t, _: once(t))).otherwise(text)
 
 
 def role_label(role: Column) -> Column:

@@ -1,0 +1,37 @@
+"""Language of a text by its common words, as Column expressions: no model, no Python worker."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Frequent function words of each language; words that several languages have count for each.
+COMMON = {
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "auf", "für", "von", "den", "im", "zu", "sich", "auch", "dem", "wird", "oder"],
+    "en": ["the", "and", "of", "to", "in", "is", "that", "it", "for", "was", "with", "as", "on", "be", "this", "are", "by", "not", "have", "from"],
+    "es": ["el", "la", "los", "de", "que", "y", "en", "las", "un", "una", "por", "con", "para", "se", "del", "es", "su", "al", "lo", "como"],
+    "fr": ["le", "la", "les", "et", "des", "en", "un", "une", "du", "est", "que", "dans", "pour", "qui", "pas", "sur", "au", "par", "de", "ce"],
+}
+GERMAN = 0.6
+
+
+def common_words(text: Column) -> Column:
+    """struct of the number of common words of each language."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    among = lambda own: lambda w: w.isin(*own)
+    return F.struct(*[F.size(F.filter(found, among(own))).alias(code) for code, own in COMMON.items()])
+
+
+def primary_language(counts: Column) -> Column:
+    """Of common_words' counts the language with the most, the first by code of several; unknown without any."""
+    best = F.greatest(*[counts[c] for c in COMMON])
+    result = F.lit("unknown")
+    for code in reversed(list(COMMON)):
+        result = F.when(counts[code] == best, code).otherwise(result)
+    return F.when(best > 0, result).otherwise("unknown")
+
+
+def is_german(counts: Column, least: float = GERMAN) -> Column:
+    """Whether German has at least this share of all common words; without any it hasn't."""
+    total = sum(counts[c] for c in COMMON)
+    return (total > 0) & (counts["de"] >= least * total)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import verdicts as V
+from tessera.operators.retrieval import small
+
+#: Whole words by which a claim is looked up; claims too short for that that one search may have.
+LEAD, MAX_SHORT = 5, 1000
 
 
 def locate(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -15,6 +20,37 @@ def locate(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame
     return trimmed.join(docs.select(key, "text"), key).withColumn("start", at - 1).where("start >= 0").withColumn("end", F.col("start") + F.length("claim_text")).drop("text")
 
 
+SHORTEST, LONGEST = 50, 50_000
+
+
+def input_code(text: Column, german: Column) -> Column:
+    """What is wrong with an input, or ok: too short, too long, not German."""
+    n = F.length(F.trim(F.coalesce(text, F.lit(""))))
+    return F.when(n < SHORTEST, "input_too_short").when(n > LONGEST, "input_too_long").when(~german, "not_german").otherwise("ok")
+
+
+def candidates(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """claims(claim_text, ...) for each document that may hold one: an equi-join on LEAD whole words inside the claim.
+
+    Where a claim occurs word for word, all of its words but the first and the last are words of the
+    document; a document's runs of words are kept only if a claim has them. Claims of fewer words
+    than that are compared with each document, if there are no more than MAX_SHORT of them.
+    """
+    words = lambda c: F.filter(F.split(c, r"[ \t\n\r]+"), lambda w: w != "")
+    claims = claims.withColumn("claim_text", F.trim("claim_text")).where("claim_text <> ''").withColumn("_words", words(F.col("claim_text")))
+    long, short = claims.where(F.size("_words") >= LEAD + 2), claims.where(F.size("_words") < LEAD + 2).drop("_words")
+    leads = long.withColumn("_lead", F.xxhash64(F.slice("_words", 2, LEAD))).drop("_words")
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - LEAD + 1), lambda i: F.xxhash64(F.slice("_w", i, LEAD)))
+    found = docs.select(key, words(F.col("text")).alias("_w")).where(F.size("_w") >= LEAD).select(key, F.explode(F.array_distinct(runs)).alias("_lead"))
+    found = found.join(small(leads), "_lead").drop("_lead")
+    n = short.limit(MAX_SHORT + 1).count()
+    if n > MAX_SHORT:
+        raise ValueError(f"more than {MAX_SHORT} claims of fewer than {LEAD + 2} words")
+    if n:
+        found = found.unionByName(docs.select(key, "text").join(F.broadcast(short), F.contains("text", F.col("claim_text"))).drop("text"))
+    return found
+
+
 def verified_hints(hints: DataFrame, evidence: DataFrame) -> DataFrame:
     """hints(claim_id, chunk_id, ...) with verified, url, and chunk_id null unless the claim's own evidence has it.
 
@@ -64,6 +100,12 @@ def valid_findings(findings: DataFrame, severities: tuple = ("critical", "high",
     return findings.where(ok).withColumn("severity_rank", V.severity_rank(F.col("severity")))
 
 
+def by_severity(findings: DataFrame, key: list, order: str) -> DataFrame:
+    """valid_findings with their place within key: by severity, then by order."""
+    rank = F.row_number().over(W.partitionBy(*key).orderBy("severity_rank", order))
+    return valid_findings(findings).withColumn("place", rank)
+
+
 def precision_recall(predicted_and_gold: DataFrame, by: list) -> DataFrame:
     """Precision, recall and F1 of boolean columns predicted and gold."""
     p, g = F.col("predicted"), F.col("gold")

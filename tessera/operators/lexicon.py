@@ -26,33 +26,32 @@ def _rule(label: str, severity: str, category: str, body: str, example: str, cla
     return Rule(label, severity, category, body, claim_type or ("disease_based" if severity == "hard" else "wellbeing_based"), example)
 
 
-_S = "[a-zäöüß]*"
 # The lexicon. Patterns are matched without regard to case, with Unicode word edges.
 RULES = (
-    _rule("heil-stem", "hard", "HWG-Heilversprechen", rf"\bheil(?!ig\b|ig[a-zäöüß]){_S}\b", "heilen, Heilkraft"),
+    _rule("heil-stem", "hard", "HWG-Heilversprechen", r"\bheil(?!ig\b|ig[a-zäöüß])[a-zäöüß]*\b", "heilen, Heilkraft"),
     _rule("symptom-stem", "hard", "HWG-Krankheitsbezug", r"\bsymptom[a-zäöüß-]*\b", "Symptom"),
-    _rule("anwendungsgebiet-stem", "hard", "HWG-Indikation", rf"\banwendungs(?:gebiet|bild){_S}\b", "Anwendungsgebiet"),
-    _rule("indikation-stem", "hard", "HWG-Indikation", rf"\bindikation{_S}\b", "Indikation"),
-    _rule("eindosierung-stem", "hard", "HWG-Pharma-Vokabular", rf"\beindosier{_S}\b", "Eindosierung"),
-    _rule("dosierung-stem", "hard", "HWG-Pharma-Vokabular", rf"\b(?:dosierung{_S}|tagesdosis|tagesdosen|anfangsdosis|einnahmedosis|höchstdosis|hoechstdosis|dosis-empfehlung|dosisempfehlung)\b", "Dosierung, Tagesdosis"),
-    _rule("therapie-stem", "hard", "HWG-Therapiebezug", rf"\b(?:therapie{_S}|therapeutisch{_S})\b", "Therapie"),
-    _rule("diagnose-stem", "hard", "HWG-Krankheitsbezug", rf"\bdiagnos{_S}\b", "Diagnose"),
-    _rule("lindern-stem", "hard", "HWG-Krankheitsbezug", rf"\blinder{_S}\b", "lindern, Linderung"),
-    _rule("vorbeugen-stem", "hard", "HWG-Krankheitsvorbeugung", rf"\bvorbeug{_S}\b", "vorbeugen", "reduction_based"),
-    _rule("heilanzeige-stem", "hard", "HWG-Indikation", rf"\bheilanzeige{_S}\b", "Heilanzeige"),
-    _rule("beschwerde-medical", "hard", "HWG-Krankheitsbezug", rf"\b(?:magen|darm|gelenk|kopf|menstruations|verdauungs|prostata|periode[n]?)beschwerde{_S}\b", "Magenbeschwerden"),
-    _rule("wirkmechanismus", "hard", "HWG-Wirkversprechen", rf"\bwirkmechanism{_S}\b", "Wirkmechanismus", "health_based"),
-    _rule("wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", rf"\bwohlbefinden{_S}\b", "Wohlbefinden"),
-    _rule("entspannung-stem", "soft", "HCVO-Art10Abs3-Wohlbefinden", rf"\bentspann(?:ung|end|t|en){_S}\b", "Entspannung"),
-    _rule("widerstandsfaehigkeit", "soft", "HCVO-Synonym-Immunsystem", rf"\bwiderstands(?:kraft|fähigkeit|faehigkeit){_S}\b", "Widerstandskraft"),
-    _rule("abwehrkraft", "soft", "HCVO-Synonym-Immunsystem", rf"\babwehrkr(?:aft|äfte|aefte){_S}\b", "Abwehrkräfte"),
-    _rule("vitalitaet", "soft", "HCVO-Art10Abs3-Wohlbefinden", rf"\bvitalit(?:ät|aet){_S}\b", "Vitalität"),
-    _rule("boosten", "soft", "HCVO-Wirkversprechen-Slang", rf"\bboost(?:e[nrst]?|er{_S})\b", "boosten, Booster"),
-    _rule("mentale-anspannung", "soft", "HCVO-Stresskontext", rf"\bmentale[rmns]?\s+anspannung{_S}\b", "mentale Anspannung"),
-    _rule("koerperliche-anspannung", "soft", "HCVO-Stresskontext", rf"\b(?:körperliche|koerperliche)[rmns]?\s+anspannung{_S}\b", "körperliche Anspannung"),
-    _rule("mentales-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", rf"\bmental(?:e[srn]?)?\s+wohlbefinden{_S}\b", "mentales Wohlbefinden"),
-    _rule("foerderung-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", rf"\bf(?:ö|oe)rderung\s+(?:de[srn]?\s+)?wohlbefinden{_S}\b", "Förderung des Wohlbefindens"),
-    _rule("adaptogen-term", "soft", "HCVO-Adaptogen-Begriff", rf"\badaptogen{_S}\b", "Adaptogen"),
+    _rule("anwendungsgebiet-stem", "hard", "HWG-Indikation", r"\banwendungs(?:gebiet|bild)[a-zäöüß]*\b", "Anwendungsgebiet"),
+    _rule("indikation-stem", "hard", "HWG-Indikation", r"\bindikation[a-zäöüß]*\b", "Indikation"),
+    _rule("eindosierung-stem", "hard", "HWG-Pharma-Vokabular", r"\beindosier[a-zäöüß]*\b", "Eindosierung"),
+    _rule("dosierung-stem", "hard", "HWG-Pharma-Vokabular", r"\b(?:dosierung[a-zäöüß]*|tagesdosis|tagesdosen|anfangsdosis|einnahmedosis|höchstdosis|hoechstdosis|dosis-empfehlung|dosisempfehlung)\b", "Dosierung, Tagesdosis"),
+    _rule("therapie-stem", "hard", "HWG-Therapiebezug", r"\b(?:therapie[a-zäöüß]*|therapeutisch[a-zäöüß]*)\b", "Therapie"),
+    _rule("diagnose-stem", "hard", "HWG-Krankheitsbezug", r"\bdiagnos[a-zäöüß]*\b", "Diagnose"),
+    _rule("lindern-stem", "hard", "HWG-Krankheitsbezug", r"\blinder[a-zäöüß]*\b", "lindern, Linderung"),
+    _rule("vorbeugen-stem", "hard", "HWG-Krankheitsvorbeugung", r"\bvorbeug[a-zäöüß]*\b", "vorbeugen", "reduction_based"),
+    _rule("heilanzeige-stem", "hard", "HWG-Indikation", r"\bheilanzeige[a-zäöüß]*\b", "Heilanzeige"),
+    _rule("beschwerde-medical", "hard", "HWG-Krankheitsbezug", r"\b(?:magen|darm|gelenk|kopf|menstruations|verdauungs|prostata|periode[n]?)beschwerde[a-zäöüß]*\b", "Magenbeschwerden"),
+    _rule("wirkmechanismus", "hard", "HWG-Wirkversprechen", r"\bwirkmechanism[a-zäöüß]*\b", "Wirkmechanismus", "health_based"),
+    _rule("wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bwohlbefinden[a-zäöüß]*\b", "Wohlbefinden"),
+    _rule("entspannung-stem", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bentspann(?:ung|end|t|en)[a-zäöüß]*\b", "Entspannung"),
+    _rule("widerstandsfaehigkeit", "soft", "HCVO-Synonym-Immunsystem", r"\bwiderstands(?:kraft|fähigkeit|faehigkeit)[a-zäöüß]*\b", "Widerstandskraft"),
+    _rule("abwehrkraft", "soft", "HCVO-Synonym-Immunsystem", r"\babwehrkr(?:aft|äfte|aefte)[a-zäöüß]*\b", "Abwehrkräfte"),
+    _rule("vitalitaet", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bvitalit(?:ät|aet)[a-zäöüß]*\b", "Vitalität"),
+    _rule("boosten", "soft", "HCVO-Wirkversprechen-Slang", r"\bboost(?:e[nrst]?|er[a-zäöüß]*)\b", "boosten, Booster"),
+    _rule("mentale-anspannung", "soft", "HCVO-Stresskontext", r"\bmentale[rmns]?\s+anspannung[a-zäöüß]*\b", "mentale Anspannung"),
+    _rule("koerperliche-anspannung", "soft", "HCVO-Stresskontext", r"\b(?:körperliche|koerperliche)[rmns]?\s+anspannung[a-zäöüß]*\b", "körperliche Anspannung"),
+    _rule("mentales-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bmental(?:e[srn]?)?\s+wohlbefinden[a-zäöüß]*\b", "mentales Wohlbefinden"),
+    _rule("foerderung-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bf(?:ö|oe)rderung\s+(?:de[srn]?\s+)?wohlbefinden[a-zäöüß]*\b", "Förderung des Wohlbefindens"),
+    _rule("adaptogen-term", "soft", "HCVO-Adaptogen-Begriff", r"\badaptogen[a-zäöüß]*\b", "Adaptogen"),
 )
 
 HIT = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("label", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -94,16 +93,26 @@ def spans(docs: DataFrame, rules=RULES, severities: tuple = ("hard", "soft"), ke
     return docs.select(key, F.explode(found).alias("h")).select(key, "h.*")
 
 
-def literal_spans(docs: DataFrame, terms: list, key: str = "doc_id") -> DataFrame:
-    """Occurrences of literal lower-case terms, found without overlaps of a term with itself, inside the JVM.
+def literal_hits(text: Column, terms: list) -> Column:
+    """array<struct<term,start,end,spelled>>: occurrences of literal lower-case terms, without regard to the case of A-Z, without overlaps of a term with itself.
 
-    Splitting by a literal leaves the gaps, whose running lengths are the offsets.
+    Splitting the text by a literal leaves the gaps, whose running lengths are the offsets in code points.
     """
-    each = docs.select(key, F.lower("text").alias("low"), F.explode(F.array(*map(F.lit, terms))).alias("term")).where(F.contains("low", F.col("term")))
-    gaps = F.split("low", F.concat(F.lit(r"\Q"), F.col("term"), F.lit(r"\E")), -1)
-    total = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")), lambda a, g: F.struct((a["at"] + F.length(g) + F.length("term")).alias("at"), F.array_append(a["s"], a["at"] + F.length(g)).alias("s")), lambda a: a["s"])
-    rows = each.select(key, "term", F.explode(F.slice(total, 1, F.size(total) - 1)).alias("start"))
-    return rows.withColumn("end", F.col("start") + F.length("term"))
+
+    def starts(term: str) -> Column:
+        gaps = F.split(text, r"(?i)\Q" + term + r"\E", -1)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s"))
+        step = lambda a, g: F.struct((a["at"] + F.length(g) + len(term)).alias("at"), F.array_append(a["s"], a["at"] + F.length(g)).alias("s"))
+        found = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda a: a["s"])
+        return F.when(F.contains(F.lower(text), F.lit(term)), found).otherwise(F.array().cast("array<int>"))
+
+    row = lambda term: lambda s: F.struct(F.lit(term).alias("term"), s.alias("start"), (s + len(term)).alias("end"), F.substr(text, s + 1, F.lit(len(term))).alias("spelled"))
+    return F.concat(*[F.transform(starts(t), row(t)) for t in terms])
+
+
+def literal_spans(docs: DataFrame, terms: list, key: str = "doc_id") -> DataFrame:
+    """One row for each of literal_hits: key, term, start, end, spelled."""
+    return docs.select(key, F.explode(literal_hits(F.col("text"), terms)).alias("h")).select(key, "h.*")
 
 
 def longest_per_start(hits: DataFrame, key: str = "doc_id") -> DataFrame:

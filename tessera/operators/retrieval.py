@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import query_tokens
 
 RRF_K, TOP, THRESHOLD = 60, 8, 0.45
 # Weights of a term in a chunk's reference and in its snippet.
 FIELD_WEIGHT = {"reference": 1.0, "snippet": 0.4}
-#: Query rows for which a broadcast of the query side is proven small enough.
-MAX_BROADCAST_QUERIES = 10_000
+#: Query rows that are searched in one pass over the passages.
+MAX_QUERIES = 10_000
+#: Tokens of a query set, or spellings of them, that are broadcast; above, Spark joins by its own choice.
+MAX_BROADCAST_TOKENS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,36 +40,80 @@ def top_k(scored: DataFrame, by: list, k: int, order: list) -> DataFrame:
 def vector_top_k(queries: DataFrame, passages: DataFrame, k: int = TOP, threshold: float | None = THRESHOLD) -> DataFrame:
     """(query_id, collection, chunk_id, score, rank): queries(query_id, vector) against passages(chunk_id, collection, vector).
 
-    The query side is a stated set. It is broadcast only if it has MAX_BROADCAST_QUERIES rows or
-    fewer; a larger one is cut into that many at a time, each a pass over the passages.
+    The query side is a stated set: MAX_QUERIES of them make a matrix that is multiplied with each
+    batch of passages, of which only a batch's first k for each query and collection are left; a
+    larger set takes more passes. Scores are dot products, so of unit vectors cosines. Passages and
+    queries without a vector, or with one of another length, are in no ranking.
     """
-    n = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n > MAX_BROADCAST_QUERIES:
-        parts = -(-queries.count() // MAX_BROADCAST_QUERIES) * 2
+    spark, known = queries.sparkSession, queries.where("query_id is not null and vector is not null")
+    rows = known.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        parts = -(-known.count() // MAX_QUERIES) * 2
         cut = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        return reduce(DataFrame.unionByName, [vector_top_k(queries.where(cut == i), passages, k, threshold) for i in range(parts)])
-    pairs = passages.join(F.broadcast(queries.withColumnRenamed("vector", "q")))
-    scored = pairs.select("query_id", "collection", "chunk_id", dot(F.col("q"), F.col("vector")).alias("score"))
-    scored = scored if threshold is None else scored.where(F.col("score") >= threshold)
-    return top_k(scored, ["query_id", "collection"], k, [F.desc("score"), "chunk_id"])
+        return reduce(DataFrame.unionByName, [vector_top_k(known.where(cut == i), passages, k, threshold) for i in range(parts)])
+    width = max((len(r["vector"]) for r in rows), default=0)
+    rows = [r for r in rows if len(r["vector"]) == width]
+    names, matrix = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float).reshape(len(rows), width)
+    sent = spark.sparkContext.broadcast((names, matrix))
+    schema = T.StructType([known.schema["query_id"], *[passages.schema[c] for c in ("collection", "chunk_id")], T.StructField("score", T.DoubleType())])
+
+    def search(batches):
+        names, matrix = sent.value
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(2)), width))
+            if not (batch.num_rows and names):
+                continue
+            batch = batch.take(pc.sort_indices(batch.column(1)))  # ties go to the least chunk
+            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            score = matrix @ vectors.T
+            collection = batch.column(0).dictionary_encode()
+            code = collection.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            query, place = [], []
+            for c in np.unique(code).tolist():
+                mine = np.flatnonzero(code == c)
+                part = np.round(score[:, mine], 12)
+                first = np.argsort(-part, axis=1, kind="stable")[:, :k]
+                which = np.repeat(np.arange(len(names)), first.shape[1])
+                good = np.ones(len(which), bool) if threshold is None else score[which, mine[first.ravel()]] >= threshold
+                query.append(which[good])
+                place.append(mine[first.ravel()][good])
+            query, place = np.concatenate(query), np.concatenate(place)
+            kept = batch.take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query.tolist()], ids), kept.column(0), kept.column(1), pa.array(score[query, place])], names=schema.names)
+
+    ids = pa.int64() if isinstance(schema[0].dataType, T.LongType) else pa.int32() if isinstance(schema[0].dataType, T.IntegerType) else pa.string()
+    found = passages.select("collection", "chunk_id", "vector").mapInArrow(search, schema)
+    return top_k(found, ["query_id", "collection"], k, [F.desc(F.round("score", 12)), "chunk_id"])
 
 
 def chunk_tokens(chunks: DataFrame, fields: dict = FIELD_WEIGHT) -> DataFrame:
-    """(chunk_id, token, weight): the weight of all occurrences of a token in a chunk."""
+    """(chunk_id, token, w): every occurrence of a token in a chunk, with its field's weight."""
     rows = [chunks.select("chunk_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))).alias("token"), F.lit(w).alias("w")) for f, w in fields.items()]
-    return reduce(DataFrame.unionByName, rows).groupBy("chunk_id", "token").agg(F.sum("w").alias("weight"))
+    return reduce(DataFrame.unionByName, rows)
 
 
-def keyword_top_k(queries: DataFrame, tokens: DataFrame, k: int = TOP, stem=None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): queries(query_id, text) matched by any token.
+def small(df: DataFrame, rows: int = MAX_BROADCAST_TOKENS) -> DataFrame:
+    """df, marked for broadcast if it has so few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    stem maps both sides' token column, if given.
+
+def keyword_top_k(queries: DataFrame, chunks: DataFrame, fields: dict = FIELD_WEIGHT, k: int = TOP, stem=None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): queries(query_id, text) matched by any token of chunks' fields.
+
+    Occurrences of other tokens than the queries' are dropped before anything is shuffled. stem, if
+    given, maps a token column; it is applied to the different tokens only.
     """
     q = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
-    if stem is not None:
+    tokens = chunk_tokens(chunks, fields)
+    if stem is None:
+        tokens = tokens.join(small(q.select("token").distinct()), "token", "left_semi")
+    else:
         q = q.withColumn("token", stem("token")).distinct()
-        tokens = tokens.withColumn("token", stem("token"))
-    scored = q.join(tokens, "token").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
+        spellings = tokens.select(F.col("token").alias("spelling")).distinct().withColumn("token", stem("spelling"))
+        wanted = spellings.join(small(q.select("token").distinct()), "token", "left_semi")
+        tokens = tokens.withColumnRenamed("token", "spelling").join(small(wanted), "spelling")
+    weights = tokens.groupBy("chunk_id", "token").agg(F.round(F.sum("w"), 6).alias("weight"))
+    scored = weights.join(small(q), "token").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
     return top_k(scored, ["query_id"], k, [F.desc(F.round("score", 6)), "chunk_id"])
 
 
@@ -72,33 +122,53 @@ def share_of_best(ranked: DataFrame, score: str = "score") -> Column:
     return F.col(score) / F.when(best == 0, 1.0).otherwise(best)
 
 
-def fuse(rankings: list) -> DataFrame:
-    """(query_id, chunk_id, rrf, raw_score, first_ranking, first_rank) of rankings (query_id, chunk_id, score, rank), in order."""
-    cols = lambda i, r: r.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), "rank", F.lit(i).alias("ranking"))
-    rows = reduce(DataFrame.unionByName, [cols(i, r) for i, r in enumerate(rankings)])
-    return rows.groupBy("query_id", "chunk_id").agg(
-        F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"),
-        F.max(F.struct("score", (-F.col("ranking")).alias("minus"))).alias("best"),
-        F.min(F.struct("ranking", "rank")).alias("first"),
-    ).select("query_id", "chunk_id", "rrf", F.col("best.score").alias("raw_score"), F.col("first.ranking").alias("first_ranking"), F.col("first.rank").alias("first_rank"))
+def rankings(vectors: DataFrame, keywords: DataFrame) -> DataFrame:
+    """One table (query_id, chunk_id, score, rank, ranking): a vector ranking for each collection, in their order, then the keywords."""
+    number = F.col("collection").try_cast("double")
+    ordered = F.struct(F.lit(0).alias("kind"), number.alias("number"), F.col("collection").cast("string").alias("name"))
+    last = F.struct(F.lit(1).alias("kind"), F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("name"))
+    row = lambda df, ranking: df.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), "rank", ranking.alias("ranking"))
+    return row(vectors, ordered).unionByName(row(keywords, last))
+
 
+def fuse(ranked: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, rrf, raw_score, first) of rankings (query_id, chunk_id, score, rank, ranking)."""
+    return ranked.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.max("score").alias("raw_score"), F.min(F.struct("ranking", "rank")).alias("first"))
 
-def fused_top_k(rankings: list, k: int = 3) -> DataFrame:
-    return top_k(fuse(rankings), ["query_id"], k, [F.desc(F.round("rrf", 9)), "first_ranking", "first_rank", "chunk_id"])
+
+def fused_top_k(ranked: DataFrame, k: int = 3) -> DataFrame:
+    return top_k(fuse(ranked), ["query_id"], k, [F.desc(F.round("rrf", 9)), "first", "chunk_id"])
 
 
 def rerank(candidates: DataFrame, scorer, first: int = 16, threshold: float = 0.0) -> DataFrame:
-    """The first candidates of each query, scored by scorer(query text, chunk text) on Arrow batches, cut and sorted again."""
+    """The first candidates of each query, scored by scorer(query texts, chunk texts) on Arrow batches, cut and sorted again."""
 
     def score(batches):
         for pdf in batches:
-            yield pdf.assign(score=[float(scorer(q, c)) for q, c in zip(pdf["query_text"], pdf["chunk_text"])])
+            yield pdf.assign(score=[float(x) for x in scorer(pdf["query_text"], pdf["chunk_text"])])
 
     kept = candidates.where(F.col("rank") <= first).drop("rank")
     scored = kept.mapInPandas(score, kept.schema).where(F.col("score") >= threshold)
     return top_k(scored, ["query_id"], first, [F.desc("score"), "chunk_id"])
 
 
+def hits(ranked: DataFrame, width: int = 600) -> DataFrame:
+    """What a caller sees of a ranking (query_id, chunk_id, snippet, source_type, reference, url, metadata map<string,string>, score, rank).
+
+    A chunk without id is named after its place; snippets are cut to width; metadata without null values.
+    """
+    name = F.coalesce(F.col("chunk_id").cast("string"), F.concat(F.lit("hit-"), F.col("rank").cast("string")))
+    kept = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return ranked.select("query_id", "rank", name.alias("chunk_id"), empty("source_type"), empty("reference"), empty("url"), F.substring(F.coalesce("snippet", F.lit("")), 1, width).alias("snippet"), kept.alias("metadata"), "score")
+
+
+def expanded_query(text: Column, nutrient: Column, substance: Column) -> Column:
+    """A claim's search text: the wording, its nutrient, and its substance if that is another."""
+    filled = lambda c: F.when(F.trim(c) != "", c)
+    return F.concat_ws(" — ", text, filled(nutrient), F.when(~substance.eqNullSafe(nutrient), filled(substance)))
+
+
 def evidence_lists(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """claims with evidence, an array of struct<rank, chunk_id, score>, empty where nothing was found."""
     lists = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("evidence"))

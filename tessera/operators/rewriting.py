@@ -20,11 +20,16 @@ def splice(text: Column, edits: Column) -> Column:
 
 
 def apply_findings(text: Column, findings: Column) -> Column:
-    """Apply array<struct<quote,new>> in order, each at its first occurrence in the running text; absent quotes change nothing."""
+    """Apply array<struct<quote,new>> in order, each at its first occurrence in the running text; absent quotes change nothing.
+
+    Where a quote is removed, three line ends or more become two.
+    """
 
     def one(t, f):
         at = F.when(f["quote"] != "", F.position(f["quote"], t)).otherwise(0)
-        return F.when(at > 0, F.concat(F.substr(t, F.lit(1), at - 1), F.coalesce(f["new"], F.lit("")), F.substr(t, at + F.length(f["quote"]), F.length(t)))).otherwise(t)
+        new = F.coalesce(f["new"], F.lit(""))
+        done = F.concat(F.substr(t, F.lit(1), at - 1), new, F.substr(t, at + F.length(f["quote"]), F.length(t)))
+        return F.when(at > 0, F.when(new == "", X.collapse_blank_lines(done)).otherwise(done)).otherwise(t)
 
     return F.aggregate(findings, text, one)
 
@@ -60,9 +65,9 @@ def sanitised(rewrite: Column, original: Column) -> Column:
     return F.when(X.is_delete_marker(rewrite), F.lit("[DELETE]")).when(~bad, clean)
 
 
-def paragraph_claims(docs: DataFrame, claims: DataFrame, key: str = "doc_id") -> DataFrame:
+def paragraph_claims(docs: DataFrame, claims: DataFrame, key: str = "doc_id", separator: str = r"\n{2,}") -> DataFrame:
     """(key, paragraph, start, end, n_claims): claims that lie wholly inside each paragraph; one that crosses a break is in none."""
-    parts = docs.select(key, F.posexplode(X.paragraphs(F.col("text"))).alias("paragraph", "p")).select(key, "paragraph", "p.*")
+    parts = docs.select(key, F.posexplode(X.paragraphs(F.col("text"), separator)).alias("paragraph", "p")).select(key, "paragraph", "p.*")
     c = claims.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     inside = (parts[key] == c["_k"]) & (parts["start"] <= c["_s"]) & (c["_e"] <= parts["end"])
     return parts.join(c, inside, "left").groupBy(key, "paragraph", "start", "end").agg(F.count("_k").alias("n_claims"))

@@ -126,9 +126,9 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return current.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def validity(entries: DataFrame, key: str, at: str) -> DataFrame:
-    """valid_from and valid_to of each version of an entry; the open one has no end."""
-    return entries.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(W.partitionBy(key).orderBy(at)))
+def validity(entries: DataFrame, key: str, at: str, version: str) -> DataFrame:
+    """valid_from and valid_to of each version of an entry; the open one has no end. Versions of one time follow in their order."""
+    return entries.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(W.partitionBy(key).orderBy(at, version)))
 
 
 def last_messages(messages: DataFrame, n: int = 20) -> DataFrame:

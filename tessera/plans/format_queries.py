@@ -15,14 +15,14 @@ def plain_text_export(spark, d):
 
 
 @query("""
-with f as (select user_id, event_id, event_type quote, case when event_id % 3 = 0 then null when event_id % 3 = 1 then '' else 'x' end new from events where event_id % 40 < 3),
-n as (select user_id, event_id, cast(row_number() over (partition by user_id order by event_id) as varchar) || '. "' || quote || '": ' || case when new is null then 'reword' when trim(new) = '' then 'remove' else 'replace by ' || new end line from f)
-select user_id, string_agg(line, chr(10) order by event_id) as block from n group by 1""")
+with f as (select user_id, cast(ts as date) day_, event_id, event_type quote, case when event_id % 3 = 0 then null when event_id % 3 = 1 then '' else 'x' end new from events),
+n as (select user_id, day_, event_id, cast(row_number() over (partition by user_id, day_ order by event_id) as varchar) || '. "' || quote || '": ' || case when new is null then 'reword' when trim(new) = '' then 'remove' else 'replace by ' || new end line from f)
+select user_id, day_, string_agg(line, chr(10) order by event_id) as block from n group by 1, 2""")
 def numbered_findings(spark, d):
     new = F.when(F.col("event_id") % 3 == 1, "").when(F.col("event_id") % 3 == 2, "x")
-    found = table(spark, d, "events").where("event_id % 40 < 3").select("user_id", F.struct("event_id", F.col("event_type").alias("quote"), new.alias("new")).alias("f"))
-    lists = found.groupBy("user_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    return lists.select("user_id", X.numbered(F.col("f"), lambda x: X.replacement_line(x["quote"], x["new"])).alias("block"))
+    found = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day_"), F.struct("event_id", F.col("event_type").alias("quote"), new.alias("new")).alias("f"))
+    lists = found.groupBy("user_id", "day_").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    return lists.select("user_id", "day_", X.numbered(F.col("f"), lambda x: X.replacement_line(x["quote"], x["new"])).alias("block"))
 
 
 @query("""

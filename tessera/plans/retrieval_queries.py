@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.functions.stem import german_stem
@@ -9,22 +11,23 @@ from tessera.functions.text import QUERY_STOP_WORDS
 from tessera.operators import claims as C
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query, table
+from tessera.plans.text_queries import located
 
-QUERIES_N, LOW = 40, 0.1
+LOW = 0.1
 _VECTOR = """
-q as (select b.item_id query_id, e.embedding v from benchmark b join embeddings e on e.vec_id = b.item_id where b.item_id < 40),
+q as (select b.item_id query_id, e.embedding v from benchmark b join embeddings e on e.vec_id = b.item_id),
 vs as (select query_id, label collection, vec_id chunk_id, list_sum(list_transform(list_zip(q.v, e.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))) score from q, embeddings e),
 vr as (select *, row_number() over (partition by query_id, collection order by round(score, 12) desc, chunk_id) rank from vs where score >= {t} qualify rank <= 8)"""
 _KEYWORD = r"""
-kt as (select item_id query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3 and w not in (""" + ", ".join(f"'{w}'" for w in QUERY_STOP_WORDS) + r""")))) token from benchmark where item_id < 40),
+kt as (select item_id query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3 and w not in (""" + ", ".join(f"'{w}'" for w in QUERY_STOP_WORDS) + r""")))) token from benchmark),
 dt as (select doc_id chunk_id, token, count(*) n from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) token from documents) group by 1, 2),
 ks as (select query_id, chunk_id, sum(n * 0.4) score from kt join dt using (token) group by 1, 2),
 kr as (select *, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) rank from ks qualify rank <= 8)"""
 
 
 def _queries(spark, d):
-    vec = table(spark, d, "embeddings").where(F.col("vec_id") < QUERIES_N).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    items = table(spark, d, "benchmark").where(F.col("item_id") < QUERIES_N).select(F.col("item_id").alias("query_id"), "text")
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return vec.join(items, "query_id")
 
 
@@ -36,11 +39,10 @@ def _vectors(spark, d, threshold=LOW):
     return R.vector_top_k(_queries(spark, d).select("query_id", "vector"), _passages(spark, d), threshold=threshold)
 
 
-def _keywords(spark, d, stem=None):
+def _keywords(spark, d, stem=None, k=R.TOP):
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("snippet"))
-    tokens = R.chunk_tokens(chunks, {"snippet": 0.4})
-    ranked = R.keyword_top_k(_queries(spark, d).select("query_id", "text"), tokens.withColumn("weight", F.round("weight", 6)), stem=stem)
-    return ranked
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return R.keyword_top_k(items, chunks, {"snippet": R.FIELD_WEIGHT["snippet"]}, k, stem)
 
 
 @query("with " + _VECTOR.format(t=-2) + " select query_id, collection, chunk_id, round(score, 6) as score, rank from vr")
@@ -64,11 +66,7 @@ def keyword_rank_stemmed(spark, d):
 
 
 def _rankings(spark, d):
-    vectors, words = _vectors(spark, d), _keywords(spark, d)
-    labels = [int(r[0]) for r in table(spark, d, "embeddings").select("label").distinct().orderBy("label").limit(101).collect()]
-    if len(labels) > 100:
-        raise ValueError("more than 100 collections")
-    return [vectors.where(F.col("collection") == c) for c in labels] + [words]
+    return R.rankings(_vectors(spark, d), _keywords(spark, d))
 
 
 _RRF = f"""
@@ -111,22 +109,51 @@ def hint_verification(spark, d):
     return C.verified_hints(hints, evidence).select("claim_id", "hint", "chunk_id", "verified")
 
 
-@query()
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\r]+'), lambda w: w <> ''))"
+
+
+@query("with " + _KEYWORD.replace("rank <= 8", "rank <= 16") + f""",
+s as (select kr.query_id, kr.chunk_id, len(list_intersect({_WORDS.format('b.text')}, {_WORDS.format('d.text')})) * 1.0 / greatest(1, len({_WORDS.format('b.text')})) - 0.05 score
+      from kr join benchmark b on b.item_id = kr.query_id join documents d on d.doc_id = kr.chunk_id)
+select query_id, chunk_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s where score >= 0""")
 def rerank_stub(spark, d):
-    """The candidates of a query re-scored by shared words: the hook that a cross-encoder takes."""
-    items = _queries(spark, d).select("query_id", F.col("text").alias("query_text"))
+    """The first 16 candidates of a query re-scored by shared words: the hook that a cross-encoder takes."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
-    candidates = _keywords(spark, d).join(items, "query_id").join(docs, "chunk_id")
+    candidates = _keywords(spark, d, k=16).join(items, "query_id").join(docs, "chunk_id")
 
-    def shared(q, c):
-        a, b = set(q.lower().split()), set(c.lower().split())
-        return len(a & b) / max(1, len(a)) - 0.05
+    def shared(queries, chunks):
+        words = lambda t: set(re.split(r"[ \t\n\r]+", t.lower())) - {""}
+        pairs = ((words(q), words(c)) for q, c in zip(queries, chunks))
+        return [len(a & b) / max(1, len(a)) - 0.05 for a, b in pairs]
 
-    return R.rerank(candidates, shared).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return R.rerank(candidates, shared).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("with " + _VECTOR.format(t=-2) + """, g as (select q.query_id, q.query_id chunk_id from q)
-select avg(case when exists (select 1 from vr where vr.query_id = g.query_id and vr.chunk_id = g.chunk_id) then 1.0 else 0.0 end) as recall from g""")
+@query("with " + _KEYWORD + """, g as (select b.item_id query_id, d.doc_id chunk_id from benchmark b, documents d where trim(b.text) <> '' and contains(d.text, trim(b.text))),
+h as (select query_id, max(case when kr.chunk_id is not null then 1.0 else 0.0 end) hit from g left join kr using (query_id, chunk_id) group by 1)
+select avg(hit) as recall from h""")
 def recall_at_8(spark, d):
-    """Share of queries whose own vector is among the first eight of its collection."""
-    return C.recall_at(_vectors(spark, d, None).select("query_id", "chunk_id", "rank"), _queries(spark, d).select("query_id", F.col("query_id").alias("chunk_id")))
+    """Share of benchmark items, of those that documents hold word for word, with such a document among the first eight by keywords."""
+    relevant = C.locate(*located(spark, d)).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("chunk_id"))
+    return C.recall_at(_keywords(spark, d).select("query_id", "chunk_id", "rank"), relevant)
+
+
+@query("with " + _KEYWORD + """
+select query_id, kr.rank, cast(chunk_id as varchar) as chunk_id, coalesce(d.source, '') as source_type, coalesce(d.lang, '') as reference, '' as url, substring(d.text, 1, 600) as snippet, 'n_chars=' || d.n_chars as metadata
+from kr join documents d on d.doc_id = kr.chunk_id""")
+def hit_projection(spark, d):
+    """What a caller sees of the keyword ranking."""
+    metadata = F.create_map(F.lit("n_chars"), F.col("n_chars").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("snippet"), F.col("source").alias("source_type"), F.col("lang").alias("reference"), F.lit(None).cast("string").alias("url"), metadata.alias("metadata"))
+    seen = R.hits(_keywords(spark, d).join(docs, "chunk_id")).withColumn("rank", F.col("rank").cast("long")).drop("score")
+    return seen.withColumn("metadata", F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+@query("""
+select item_id, text || case item_id % 3 when 0 then ' — Zinc' when 1 then ' — Zinc — Copper' else ' — Copper' end as search_text from benchmark""")
+def query_expansion(spark, d):
+    """Search texts of claims: wording, nutrient, substance."""
+    nutrient = F.when(F.col("item_id") % 3 < 2, "Zinc")
+    substance = F.when(F.col("item_id") % 3 == 0, "Zinc").otherwise("Copper")
+    return table(spark, d, "benchmark").select("item_id", R.expanded_query(F.col("text"), nutrient, substance).alias("search_text"))

@@ -14,7 +14,7 @@ from tessera.functions import verdicts as V
 from tessera.operators import claims as C
 from tessera.operators import store as S
 from tessera.plans import knowledge as K
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, shared_dir, table
 from tessera.sources import models, prompts, register, regulation, web
 from tessera.streaming import limiter, scan
 
@@ -68,20 +68,20 @@ def status_mix(spark, d):
 
 
 @query("""
-select user_id, count(*) as n_calls, sum(event_id % 5000) as tokens_in, round(sum(case event_type when 'click' then (event_id % 5000) * 15.0 + 700 * 75.0 when 'view' then (event_id % 5000) * 1.0 + 700 * 5.0 else (event_id % 5000) * 3.0 + 700 * 15.0 end / 1e6), 4) as cost_usd
+select user_id, count(*) as n_calls, sum(event_id % 5000) as tokens_in, round(sum(case event_type when 'click' then (event_id % 5000) * 8.0 + 700 * 20.0 when 'view' then (event_id % 5000) * 0.5 + 700 * 2.0 else (event_id % 5000) * 4.0 + 700 * 10.0 end / 1e6), 4) as cost_usd
 from events group by 1""")
 def cost_rollup(spark, d):
     model = F.when(F.col("event_type") == "click", "large").when(F.col("event_type") == "view", "small").otherwise("other")
     calls = table(spark, d, "events").select("user_id", model.alias("model"), (F.col("event_id") % 5000).alias("tokens_in"))
-    return calls.groupBy("user_id").agg(F.count("*").alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.sum(V.cost(F.col("model"), F.col("tokens_in"), F.lit(700))), 4).alias("cost_usd"))
+    return calls.groupBy("user_id").agg(F.count("*").alias("n_calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.sum(V.cost(F.col("model"), F.col("tokens_in"), F.lit(700), {"large": (8.0, 20.0), "small": (0.5, 2.0)}, (4.0, 10.0))), 4).alias("cost_usd"))
 
 
-_FINDINGS_SQL = "select user_id, event_id, case event_type when 'error' then 'critical' when 'purchase' then 'high' when 'click' then 'medium' when 'view' then 'low' else 'other' end severity, event_id % 11 > 0 flag from events where event_id % 40 < 3"
+_FINDINGS_SQL = "select user_id, event_id, case event_type when 'error' then 'critical' when 'purchase' then 'high' when 'click' then 'medium' when 'view' then 'low' else 'other' end severity, event_id % 11 > 0 flag, cast(ts as date) as day_ from events"
 
 
 def _findings(spark, d):
     severity = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "click", "medium").when(F.col("event_type") == "view", "low").otherwise("other")
-    return table(spark, d, "events").where("event_id % 40 < 3").select("user_id", "event_id", severity.alias("severity"), (F.col("event_id") % 11 > 0).alias("model_flag"), F.lit("x").alias("issue"))
+    return table(spark, d, "events").select("user_id", F.to_date("ts").alias("day_"), "event_id", severity.alias("severity"), (F.col("event_id") % 11 > 0).alias("model_flag"), F.lit("x").alias("issue"))
 
 
 @query(f"with f as ({_FINDINGS_SQL}) select user_id, bool_or(severity in ('critical', 'high')) as blocking, not bool_or(severity in ('critical', 'high')) and bool_and(flag) as shippable from f group by 1")
@@ -89,10 +89,13 @@ def shippable_flag(spark, d):
     return C.shippable(_findings(spark, d), "user_id").select("user_id", "blocking", "shippable")
 
 
-@query(f"""with f as ({_FINDINGS_SQL}) select user_id, severity, count(*) as n, string_agg(cast(event_id as varchar), ',' order by event_id) as event_ids from f where severity <> 'other' group by 1, 2""")
+@query(f"""
+with f as ({_FINDINGS_SQL})
+select user_id, day_, event_id, severity, row_number() over (partition by user_id, day_ order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, event_id) as place from f where severity <> 'other'""")
 def findings_by_severity(spark, d):
-    rows = C.valid_findings(_findings(spark, d)).groupBy("user_id", "severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return rows.select("user_id", "severity", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("event_ids"))
+    """The findings of each text (here a user's day), the gravest first; those with an unknown severity are dropped."""
+    rows = C.by_severity(_findings(spark, d), ["user_id", "day_"], "event_id")
+    return rows.select("user_id", "day_", "event_id", "severity", F.col("place").cast("long").alias("place"))
 
 
 @query("""
@@ -141,9 +144,9 @@ def project_list(spark, d):
 
 @query("""
 select c.c_custkey as project_id, c.c_nationkey as user_id, s.s_name as email, nullif(n.n_name, 'NATION_3') as display_name
-from customer c left join supplier s on s.s_suppkey = c.c_nationkey and s.s_suppkey < 20 left join nation n on n.n_nationkey = c.c_nationkey""")
+from customer c left join supplier s on s.s_suppkey = c.c_nationkey left join nation n on n.n_nationkey = c.c_nationkey""")
 def member_list(spark, d):
-    users = table(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").cast("long").alias("user_id"), F.col("s_name").alias("email"))
+    users = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("user_id"), F.col("s_name").alias("email"))
     names = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("user_id"), F.when(F.col("n_name") == "NATION_3", " ").otherwise(F.col("n_name")).alias("display_name"))
     return S.member_list(_members(spark, d), users, names).select("project_id", F.col("user_id").cast("int").alias("user_id"), "email", "display_name")
 
@@ -202,7 +205,7 @@ def sliding_limiter(spark, d):
 select event_id, 1 + count(*) over (partition by user_id order by epoch_ms(ts) range between 21599999 preceding and 1 preceding) as used,
        1 + count(*) over (partition by user_id order by epoch_ms(ts) range between 21599999 preceding and 1 preceding) <= 2 as allowed from events""")
 def streaming_limiter(spark, d):
-    """The limiter over a stream of events, one micro-batch, kept state per user."""
+    """The limiter over a stream of events with kept state per user; the whole table is one micro-batch, in which no row is late."""
     path, kind = f"{d}/events.parquet", table(spark, d, "events").schema
     events = scan.read_stream(spark, *_folder(path), kind)
     hits = events.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
@@ -217,12 +220,7 @@ def _folder(path: str) -> tuple:
 
 
 def _streamed(spark, stream, mode: str = "append"):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.gettempdir()}/tessera-shared"
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     scan.run_to_table(stream, f"{at}/out", f"{at}/checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -241,7 +239,7 @@ def streaming_scan(spark, d):
 select time_bucket(interval 1 hour, ts) as hour, event_type, count(*) as n, round(sum(value), 2) as value from events
 group by 1, 2 having time_bucket(interval 1 hour, ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hours""")
 def streaming_hourly(spark, d):
-    """Hourly rollup of a stream in append mode: hours that the watermark has passed."""
+    """Hourly rollup of a stream in append mode: hours that the watermark has passed; the whole table is one micro-batch."""
     events = scan.read_stream(spark, *_folder(f"{d}/events.parquet"), table(spark, d, "events").schema)
     return _streamed(spark, scan.hourly(events)).select("hour", "event_type", "n", F.round("value", 2).alias("value"))
 
@@ -259,10 +257,8 @@ def monthly_quota(spark, d):
 
 @query("select o_custkey as entry, o_orderkey as version, o_orderdate as valid_from, lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey) as valid_to from orders")
 def validity_history(spark, d):
-    from pyspark.sql import Window as W
-
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("entry"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("valid_from"))
-    return o.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("entry").orderBy("valid_from", "version")))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("entry"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("at"))
+    return S.validity(o, "entry", "at", "version").drop("at")
 
 
 @query("""

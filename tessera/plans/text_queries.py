@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import language as G
 from tessera.functions import text as X
 from tessera.operators import claims as C
 from tessera.operators import lexicon as L
@@ -14,18 +15,41 @@ from tessera.plans.registry import query, table
 TERMS = ["license", "licensed", "public license", "public", "worthless", "idiot", "token"]
 _SQL_TERMS = "(values " + ", ".join(f"('{t}')" for t in TERMS) + ") t(term)"
 _SQL_SPANS = f"""
-parts as (select doc_id, text, term, string_split(lower(text), term) g from documents, {_SQL_TERMS} where contains(lower(text), term)),
+parts as (select doc_id, text, term, string_split_regex(text, '(?i)' || term) g from documents, {_SQL_TERMS} where contains(lower(text), term)),
 cut as (select doc_id, text, term, unnest(g) gap, generate_subscripts(g, 1) i, len(g) n from parts),
 spans as (select doc_id, text, term, start, start + length(term) "end" from (
   select doc_id, text, term, i, n, cast(sum(length(gap)) over (partition by doc_id, term order by i) + (i - 1) * length(term) as integer) start from cut) where i < n)"""
 
 
-@query("""
-select doc_id, case when length(trim(text)) < 50 then 'input_too_short' when length(text) > 50000 then 'input_too_long' when lang <> 'de' then 'not_german' else 'ok' end as code
-from documents""")
+_COMMON_SQL = "select doc_id, text, " + ", ".join(f"len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), lambda w: w in ({', '.join(repr(w) for w in words)}))) {code}" for code, words in G.COMMON.items()) + " from documents"
+_CODES = list(G.COMMON)
+_PRIMARY_SQL = f"case when greatest({', '.join(_CODES)}) = 0 then 'unknown' " + " ".join(f"when {c} = greatest({', '.join(_CODES)}) then '{c}'" for c in _CODES) + " end"
+_GERMAN_SQL = f"{' + '.join(_CODES)} > 0 and de >= {G.GERMAN} * ({' + '.join(_CODES)})"
+
+
+@query(f"with c as ({_COMMON_SQL}) select doc_id, {_PRIMARY_SQL} as language, {_GERMAN_SQL} as german from c")
+def language_detect(spark, d):
+    """The language of each document's text, and whether it passes the German gate."""
+    df = table(spark, d, "documents").select("doc_id", G.common_words(F.col("text")).alias("n"))
+    return df.select("doc_id", G.primary_language(F.col("n")).alias("language"), G.is_german(F.col("n")).alias("german"))
+
+
+@query(f"""
+with c as ({_COMMON_SQL})
+select doc_id, case when length(trim(text)) < 50 then 'input_too_short' when length(trim(text)) > 50000 then 'input_too_long' when not ({_GERMAN_SQL}) then 'not_german' else 'ok' end as code from c""")
 def length_language_gate(spark, d):
-    code = F.when(F.length(F.trim("text")) < 50, "input_too_short").when(F.length("text") > 50_000, "input_too_long").when(F.col("lang") != "de", "not_german").otherwise("ok")
-    return table(spark, d, "documents").select("doc_id", code.alias("code"))
+    """The gate of an analysis on normalised texts: length, then the language of the text itself."""
+    df = table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("text"))
+    return df.select("doc_id", C.input_code(F.col("text"), G.is_german(G.common_words(F.col("text")))).alias("code"))
+
+
+@query(r"""
+select doc_id, regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || '‘’“”„–—', ' ' || chr(39) || chr(39) || chr(34) || chr(34) || chr(34) || '--'), '<[^>]*>', '', 'g'), '\r\n?', chr(10), 'g'), '^\s+', '')
+       || chr(10) || chr(34) || 'q' || chr(34) || ' - x' as clean from documents""")
+def normalised_text(spark, d):
+    """Documents between tags, with typographic quotes and other line ends, made plain."""
+    raw = F.concat(F.lit("  <b class='x'>"), "text", F.lit("</b>\r„q“\xa0– x\r\n "))
+    return table(spark, d, "documents").select("doc_id", X.normalise(raw).alias("clean"))
 
 
 @query(r"""
@@ -81,10 +105,17 @@ def lexicon_scan_offsets(spark, d):
     return exact.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.bool_or(F.col("h.severity") == "hard").alias("hard"))
 
 
-@query()
+#: A rule's label and a term that only this rule finds.
+_GERMAN_TERMS = [("heil-stem", "Heilkraft"), ("symptom-stem", "Symptome"), ("anwendungsgebiet-stem", "Anwendungsgebiet"), ("indikation-stem", "Indikation"), ("eindosierung-stem", "Eindosierung"), ("dosierung-stem", "Tagesdosis"), ("therapie-stem", "THERAPIE"), ("diagnose-stem", "diagnostisch"), ("lindern-stem", "Linderung"), ("vorbeugen-stem", "vorbeugend"), ("beschwerde-medical", "Magenbeschwerden"), ("wirkmechanismus", "Wirkmechanismus"), ("wohlbefinden", "Wohlbefinden"), ("entspannung-stem", "Entspannung"), ("widerstandsfaehigkeit", "Widerstandskraft"), ("abwehrkraft", "Abwehrkräfte"), ("vitalitaet", "Vitalität"), ("boosten", "boostet"), ("mentale-anspannung", "mentale Anspannung"), ("koerperliche-anspannung", "körperliche Anspannung"), ("adaptogen-term", "Adaptogene")]
+_HARD = {r.label for r in L.RULES if r.severity == "hard"}
+
+
+@query("with t(i, label, severity) as (values " + ", ".join(f"({i}, '{label}', '{'hard' if label in _HARD else 'soft'}')" for i, (label, _) in enumerate(_GERMAN_TERMS)) + f""")
+select label, severity, count(*) as n_hits, count(distinct doc_id) as n_docs from documents join t on t.i = doc_id % {len(_GERMAN_TERMS)} where text is not null group by 1, 2""")
 def lexicon_scan_german(spark, d):
-    """The whole German lexicon over all documents: hits by rule (none occur in the corpus)."""
-    german = table(spark, d, "documents").where("lang = 'de'")
+    """The whole German lexicon over all documents, each followed by a term of one rule: hits by rule."""
+    terms = F.array(*[F.lit(t) for _, t in _GERMAN_TERMS])
+    german = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), F.get(terms, (F.col("doc_id") % len(_GERMAN_TERMS)).cast("int"))).alias("text"))
     return L.spans(german).groupBy("label", "severity").agg(F.count("*").alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -92,10 +123,8 @@ def lexicon_scan_german(spark, d):
 with {_SQL_SPANS}, f as (select doc_id, term, min(start) s, min_by(substring(text, start + 1, length(term)), start) spelled from spans group by 1, 2)
 select doc_id, string_agg(spelled, '|' order by s, s + length(term), spelled) as terms from f group by 1""")
 def lexicon_summary(spark, d):
-    docs = table(spark, d, "documents")
-    hits = L.literal_spans(docs, TERMS).join(docs.select("doc_id", "text"), "doc_id")
-    spelled = hits.withColumn("term", F.substr("text", F.col("start") + 1, F.length("term"))).drop("text")
-    return L.summary(spelled).select("doc_id", F.array_join("terms", "|").alias("terms"))
+    hits = L.literal_spans(table(spark, d, "documents"), TERMS).drop("term").withColumnRenamed("spelled", "term")
+    return L.summary(hits).select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
 @query(f"""
@@ -124,25 +153,18 @@ def detected_claims(spark, d):
     return C.detected(hits.where("term = 'public license'"), hits.where("term = 'license'")).select("doc_id", F.col("start").cast("long").alias("start_at"), "origin")
 
 
-def _candidates(spark, d):
-    """benchmark items as claims for the documents that share their first five words, in the item's spelling."""
+def located(spark, d):
+    """Candidates (doc_id, item_id, claim_text) of the benchmark's items, and the documents to locate them in."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim_text"))
-    lead = lambda c: F.concat_ws(" ", F.slice(F.split(c, " "), 1, 5))
-    items = items.withColumn("lead", lead(F.trim("claim_text"))).where("claim_text is not null")
-    # a stated set of queries, far below MAX_BROADCAST_QUERIES in any benchmark; checked all the same
-    from tessera.operators.retrieval import MAX_BROADCAST_QUERIES
-
-    n = items.limit(MAX_BROADCAST_QUERIES + 1).count()
-    side = F.broadcast(items) if n <= MAX_BROADCAST_QUERIES else items
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(side, F.contains("text", F.col("lead"))).select("doc_id", "item_id", "claim_text"), docs
+    return C.candidates(items, docs), docs
 
 
 @query("""
 select doc_id, item_id, cast(instr(d.text, trim(b.text)) - 1 as bigint) as start_at, cast(instr(d.text, trim(b.text)) - 1 + length(trim(b.text)) as bigint) as end_at
 from documents d, benchmark b where trim(b.text) <> '' and contains(d.text, trim(b.text))""")
 def verbatim_claim_locate(spark, d):
-    found = C.locate(*_candidates(spark, d))
+    found = C.locate(*located(spark, d))
     return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
 
 
@@ -153,20 +175,20 @@ select doc_id, item_id, (case when a > 0 then '…' else '' end) || substring(te
        (case when a > 0 then '…' else '' end) || substring(text, a + 1, s - a) || '«' || substring(text, s + 1, n) || '»' || substring(text, s + n + 1, z - s - n) || (case when z < length(text) then '…' else '' end) as marked
 from w""")
 def context_window(spark, d):
-    candidates, docs = _candidates(spark, d)
+    candidates, docs = located(spark, d)
     found = C.locate(candidates, docs).join(docs, "doc_id")
     at = F.col("text"), F.col("start"), F.col("end")
     return found.select("doc_id", "item_id", X.context(*at).alias("around"), X.context(*at, marks=("«", "»")).alias("marked"))
 
 
 @query("""
-with l as (select d.doc_id, d.text, min(instr(lower(d.text), 'license')) p from documents d where contains(lower(d.text), 'license') group by 1, 2)
-select doc_id, regexp_replace(regexp_replace(substring(text, 1, p - 1) || 'permit' || substring(text, p + 7), ' {2,}', ' ', 'g'), ' +([,.!?;:])', '\\1', 'g') as spliced from l""")
+select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)license', 'permit', 'g'), '(?i)public', '', 'g'), ' {2,}', ' ', 'g'), ' +([,.!?;:])', '\\1', 'g') as spliced
+from documents where regexp_matches(text, '(?i)license|public')""")
 def splice_rewrites(spark, d):
-    docs = table(spark, d, "documents")
-    first = L.literal_spans(docs, ["license"]).groupBy("doc_id").agg(F.min(F.struct("start", "end")).alias("s"))
-    edits = F.array(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit("permit").alias("new")))
-    return docs.join(first, "doc_id").select("doc_id", R.splice(F.col("text"), edits).alias("spliced"))
+    """Every hit of two terms replaced by position, one of them by removal."""
+    docs = table(spark, d, "documents").select("doc_id", "text", L.literal_hits(F.col("text"), ["license", "public"]).alias("hits")).where(F.size("hits") > 0)
+    new = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.when(h["term"] == "license", "permit").otherwise("[DELETE]").alias("new"))
+    return docs.select("doc_id", R.splice(F.col("text"), F.transform("hits", new)).alias("spliced"))
 
 
 @query("""
@@ -182,9 +204,8 @@ def apply_findings(spark, d):
 @query()
 def segments_highlight(spark, d):
     """Marked text of each document with lexicon spans, with and without overlaps."""
-    docs = table(spark, d, "documents")
-    hits = L.literal_spans(docs, TERMS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    df = docs.join(hits, "doc_id")
+    spans = F.array_sort(F.transform(L.literal_hits(F.col("text"), TERMS), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    df = table(spark, d, "documents").select("doc_id", "text", spans.alias("spans")).where(F.size("spans") > 0)
     return df.select("doc_id", F.size(R.segments(F.col("text"), F.col("spans"))).alias("n_segments"), F.size(R.without_overlaps(F.col("spans"))).alias("n_kept"), R.highlighted(F.col("text"), F.col("spans")).alias("html"))
 
 
@@ -214,12 +235,10 @@ u as (select doc_id, unnest(g) t, generate_subscripts(g, 1) i from p),
 a as (select doc_id, i - 1 paragraph, sum(length(t) + 1) over (partition by doc_id order by i) - length(t) - 1 a, length(t) n from u)
 select a.doc_id, a.paragraph, count(l.doc_id) as n_claims from a left join l on l.doc_id = a.doc_id and a.a <= l.s and l.s + l.n <= a.a + a.n group by 1, 2""")
 def paragraph_claims(spark, d):
-    candidates, docs = _candidates(spark, d)
+    candidates, docs = located(spark, d)
     found = C.locate(candidates, docs).select("doc_id", "start", "end")
-    parts = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(X.paragraphs(F.col("text"), r"\n")).alias("paragraph", "p")).select("doc_id", "paragraph", "p.start", "p.end")
-    c = found.select(F.col("doc_id").alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    joined = parts.join(c, (parts["doc_id"] == c["_k"]) & (parts["start"] <= c["_s"]) & (c["_e"] <= parts["end"]), "left")
-    return joined.groupBy("doc_id", F.col("paragraph").cast("long").alias("paragraph")).agg(F.count("_k").alias("n_claims"))
+    held = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    return R.paragraph_claims(held, found, separator=r"\n").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "n_claims")
 
 
 _REWRITES = [(1, "„Trägt zur Ruhe bei.“", "Trägt bei"), (2, "Fördert die Balance", "Fördert alles."), (3, "«[Nährstoff X] hilft»", "x."), (4, "(Hinweis: nur mit Zulassung)", "x"), (5, " [delete] ", "x"), (6, "Gut..  , ja :", "Ja!"), (7, "", "x"), (8, "VO 432/2012 und Pflichtangabe", "x"), (9, "‚ok", "")]

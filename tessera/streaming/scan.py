@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from tessera.operators.lexicon import RULES, spans
 
 
-def read_stream(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """files: how many a micro-batch reads; without it one reads all that there are.
+
+    With a watermark, rows older than it in later micro-batches are late and dropped, so files is
+    for folders whose files follow each other in event time.
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def scan_stream(docs: DataFrame, rules=RULES) -> DataFrame:
