@@ -119,3 +119,23 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, k: int = 8) -> DataFrame:
     """Share of queries with a relevant chunk among the first k."""
     hits = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("_hit", F.lit(1))
     return relevant.select("query_id").distinct().join(hits, "query_id", "left").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
+
+
+def problems(claims: DataFrame) -> DataFrame:
+    return claims.where(~F.col("status").eqNullSafe(F.lit("allowed")))
+
+
+def applicable(claims: DataFrame) -> DataFrame:
+    """Claims whose rewrite can be applied: there is one, and the verdict asks for it."""
+    return claims.where(F.col("status").isin("borderline", "forbidden") & (F.coalesce(F.trim("rewrite"), F.lit("")) != ""))
+
+
+def in_order(claims: DataFrame, key: str, start: str, then: str) -> DataFrame:
+    """claims with their place in their text."""
+    return claims.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(start, then)))
+
+
+def with_validity(claims: DataFrame) -> DataFrame:
+    """claims with is_valid: a known verdict and a confidence between 0 and 1; null is invalid."""
+    known = F.lower(F.trim("status")).isin("allowed", "borderline", "forbidden", "unclear") & F.col("confidence").between(0, 1)
+    return claims.withColumn("is_valid", F.coalesce(known, F.lit(False)))

@@ -77,6 +77,12 @@ def find_terms(rules=RULES, severities: tuple = ("hard", "soft")):
     return scan
 
 
+def claim_type(label: Column, severity: Column, rules=RULES) -> Column:
+    """The claim type of a hit: its rule's, else that of its severity."""
+    known = F.create_map(*[F.lit(x) for r in rules for x in (r.label, r.claim_type)])
+    return F.coalesce(F.element_at(known, label), F.when(severity == "hard", "disease_based").otherwise("wellbeing_based"))
+
+
 def has_terms(text: Column, rules=RULES, severities: tuple = ("hard", "soft")) -> Column:
     """Whether any rule matches, inside the JVM."""
     return text.rlike("(?iuU)" + "|".join(f"(?:{r.pattern})" for r in rules if r.severity in severities))

@@ -140,3 +140,9 @@ def monthly_quota(usage: DataFrame, quota: int) -> DataFrame:
     """Used and remaining units for each user and month; refunds are negative amounts."""
     month = F.date_trunc("month", "ts").cast("date").alias("month")
     return usage.groupBy("user_id", month).agg(F.sum("amount").alias("used")).withColumn("remaining", F.greatest(F.lit(0), quota - F.col("used")))
+
+
+def project_counts(members: DataFrame) -> DataFrame:
+    """Members of each project, by role."""
+    n = lambda role: F.count_if(F.col("role") == role).alias(f"{role}s")
+    return members.groupBy("project_id").agg(F.count("*").alias("members"), n("owner"), n("editor"), n("viewer"))

@@ -15,7 +15,7 @@ from tessera.operators import claims as C
 from tessera.operators import store as S
 from tessera.plans import knowledge as K
 from tessera.plans.registry import query, shared_dir, table
-from tessera.sources import models, prompts, register, regulation, web
+from tessera.sources import prompts, register, regulation, web
 from tessera.streaming import limiter, scan
 
 AS_OF = "2024-01-20 00:00:00"
@@ -391,13 +391,6 @@ def disease_shortcut(spark, d):
     return df.withColumn("shortcut", V.disease_shortcut(F.col("claim_type"), F.col("claim_text")).isNotNull())
 
 
-@query("select doc_id, false as failed, 0 as n_claims from documents")
-def model_stub_calls(spark, d):
-    """The model boundary with its deterministic stub over all documents."""
-    out = models.call(table(spark, d, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("error").isNotNull().alias("failed"), F.size("output.claims").alias("n_claims"))
-
-
 @query("""
 select o_orderkey as id, case when o_orderkey % 13 >= 10 then 'project_limit' when o_orderkey % 11 >= 10 then 'member_limit' when o_orderkey % 60 >= 50 then 'invite_limit' when o_orderkey % 17 = 0 then 'default_protected' when o_orderkey % 5 = 0 and o_orderkey % 3 <= 1 then 'last_owner' else 'ok' end as code from orders""")
 def project_limit_checks(spark, d):

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ATTEMPTS = 3
+#: What each kind of call answers, for from_json.
+SCHEMAS = {
+    "detect": "claims array<struct<claim_text:string,claim_type:string,nutrient:string,substance:string,implicitness:string>>",
+    "evaluate": "status string, risk string, confidence string, reasoning string, rewrite string, hints array<struct<chunk_id:string,reference:string,rationale:string>>",
+    "rewrite": "rewrite string",
+    "paragraph": "text string",
+    "polish": "text string",
+    "audit": "shippable boolean, assessment string, findings array<struct<severity:string,issue:string,quote:string,new:string>>",
+    "apply": "text string, applied int",
+}
+#: Token counts of a call, as clients report them.
+USAGE = "tokens_in int, tokens_out int, cache_read int, cache_created int"
 
 
 class BatchCaller(Protocol):
@@ -22,7 +34,7 @@ def stub(requests: pd.DataFrame) -> list:
     return ['{"claims": []}'] * len(requests)
 
 
-def call(requests: DataFrame, caller: BatchCaller = stub, schema: str = "claims array<struct<claim_text:string,claim_type:string,nutrient:string,substance:string,implicitness:string>>") -> DataFrame:
+def call(requests: DataFrame, caller: BatchCaller = stub, schema: str = SCHEMAS["detect"]) -> DataFrame:
     """requests with output (parsed by schema), error and attempts. A batch that fails is tried ATTEMPTS times, then marked."""
     kind = requests.schema
 
