@@ -31,6 +31,8 @@ TILE = 576
 BLOCKS_WIDE = 24
 #: 8184 block rows of 24 blocks: the image's height stays below 65,536 pixels.
 MAX_IMAGE_BYTES = 341 * TILE
+#: Blocks that are coded or decoded together.
+WORK_BYTES = 1 << 19
 #: Fixed values of the standard luminance DC table: number of codes of each length 1..16, then symbols.
 DC_COUNTS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
 DC_SYMBOLS = bytes(range(12))
@@ -83,11 +85,26 @@ def header(rows: int) -> bytes:
     )
 
 
+def together(items: list, sizes: list, limit: int = WORK_BYTES):
+    """Cut items into runs of about limit, so that one long text needs no more memory than many short ones."""
+    for a, b in text_slices([range(n) for n in sizes], limit):
+        yield items[a:b]
+
+
 def encode_payloads(payloads: list) -> list:
-    """JPEG streams of payloads (each a positive multiple of TILE bytes), all rows coded together."""
-    value, bits = block_codes()
+    """JPEG streams of payloads (each a positive multiple of TILE bytes)."""
     pieces = [(i, p[a : a + MAX_IMAGE_BYTES]) for i, p in enumerate(payloads) for a in range(0, len(p), MAX_IMAGE_BYTES)]
-    dc = np.frombuffer(b"".join(p for _, p in pieces), np.uint8).astype(np.int32).reshape(-1, BLOCKS_WIDE)
+    streams: list = [[] for _ in payloads]
+    for run in together(pieces, [len(p) for _, p in pieces]):
+        for (i, _), stream in zip(run, encode_images([p for _, p in run])):
+            streams[i].append(stream)
+    return [b"".join(s) for s in streams]
+
+
+def encode_images(pieces: list) -> list:
+    """A JPEG stream for each piece of at most MAX_IMAGE_BYTES, all rows coded together."""
+    value, bits = block_codes()
+    dc = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int32).reshape(-1, BLOCKS_WIDE)
     diff = np.diff(dc, axis=1, prepend=128)
     v, n = value[diff + 255], bits[diff + 255]
     used = n.cumsum(axis=1)
@@ -99,7 +116,7 @@ def encode_payloads(payloads: list) -> list:
     size = int(row_start[-1]) + 3
     data = sum(np.bincount(where + k, (wide >> (16 - 8 * k)) & 255, size) for k in range(3)).astype(np.uint8)[: size - 3]
     data[row_start[1:] - 1] |= ((1 << (row_bytes * 8 - used[:, -1])) - 1).astype(np.uint8)  # pad with ones
-    rows = np.fromiter((len(p) // BLOCKS_WIDE for _, p in pieces), np.int64, len(pieces))
+    rows = np.fromiter((len(p) // BLOCKS_WIDE for p in pieces), np.int64, len(pieces))
     last = np.cumsum(rows) - 1
     in_image = np.arange(int(rows.sum())) - np.repeat(last - rows + 1, rows)
     marker = (0xD0 + in_image % 8).astype(np.uint8)
@@ -112,10 +129,9 @@ def encode_payloads(payloads: list) -> list:
     row_end = end[row_start[1:] - 1]
     out[row_end - 2], out[row_end - 1] = 0xFF, marker
     image_end = row_end[last]
-    result = [b""] * len(payloads)
-    start = 0
-    for (i, p), stop in zip(pieces, image_end.tolist()):
-        result[i] += header(len(p) // BLOCKS_WIDE) + out[start:stop].tobytes()
+    result, start = [], 0
+    for p, stop in zip(pieces, image_end.tolist()):
+        result.append(header(len(p) // BLOCKS_WIDE) + out[start:stop].tobytes())
         start = stop
     return result
 
@@ -276,7 +292,8 @@ def decode_media(medias: list) -> list:
             scans = []
         result.append(scans)
     decoded = {}
-    for (blocks, tables), scans in layouts.items():
+    runs = [(key, run) for key, scans in layouts.items() for run in together(scans, [scan.width * scan.height // 64 for scan in scans])]
+    for (blocks, tables), scans in runs:
         lanes, mcus, spans = [], [], []
         for scan in scans:
             across, down = mcu_grid(scan)
