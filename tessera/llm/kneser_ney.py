@@ -9,23 +9,23 @@ its continuation count the number of different words before a word,
 with three discounts each (for 1, 2, 3 and more) from the counts of counts; V + 1 leaves room for
 an unknown word. A context that was never seen leaves p(w) alone.
 
-The work is cut by blocks of texts, of about BLOCK_TOKENS tokens each, and by shards of hashes:
-
-1. each block counts its different words and pairs and sends each shard its sorted hash arrays;
-2. a pair shard merges what all blocks sent, sends each block the counts of its pairs back (in the
-   order sent, so no hash travels twice), and word shards what its pairs add to their words;
-3. word shards merge that with the blocks' word counts to word statistics; their counts of counts
-   are the only figures that reach the driver;
-4. word shards send each block the statistics of its words;
-5. a block's own part of the model is written to an unlinked file, memory-mapped, and its texts,
-   kept as word numbers, are scored from it.
-
-A common word is one entry for each block, so no key is hot. The number of shards grows with the
-number of input splits. Everything is counted over all training rows; pairs that only held-out
-texts have come back as 0. Words are told apart by 64 bits of hash, in pairs by 48 each.
-
-The blocks are made anew for each use, which needs an input that gives the same rows in the same
-order when it is read again (files do); a difference is detected and raises ValueError.
+The work is cut by blocks of texts, of about BLOCK_TOKENS tokens each, and by shards of hashes, of
+about SHARD_TOKENS tokens each. A block is made once, as a row of a table in the shared folder: its
+texts as word numbers, its words as hashes.
+
+1. each block sends each shard its different words and pairs, with their training counts;
+2. a pair shard merges what all blocks sent to sorted hash arrays with counts, which it maps from a
+   file and looks each block's pairs up in, by binary search; it sends blocks their counts back (in
+   the order sent, so no hash travels twice), and word shards what its pairs add to their words;
+3. word shards merge that with the blocks' word counts to word statistics, sorted hash arrays in a
+   table of the shared folder; their counts of counts are the only figures that reach the driver;
+4. word shards map those arrays and send each block the statistics of its words, by binary search;
+5. each block's texts are scored from what came back to it.
+
+A common word is one entry for each block, so no key is hot. Everything is counted over all training
+rows; pairs that only held-out texts have come back as 0. Words are told apart by 64 bits of hash, in
+pairs by 48 each and pairs by 64. The order is two: the pairs alone are nine tenths of what is
+shuffled, and three words in a row are different ones even more often (README has the figures).
 
 Defined cases: a null text is empty, one end token. Null and repeated ids are scored row by row.
 Without training texts the model is uniform: 1 / (V + 1) with V = 0.
@@ -45,12 +45,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, materialise, table
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 4_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Tokens that no word can be: words hold no white space.
 BEGIN, END = b" begin", b" end"
 LOW = np.uint64(16)
 BLOB_SCHEMA = "shard long, block long, kind string, data binary"
+BLOCK_SCHEMA = "block long, tokens long, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -109,19 +110,34 @@ class Block:
         place[order] = np.arange(len(h))
         return h[order], place
 
-    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of all tokens, which of them begin a text, and which are of training texts."""
-        lengths = np.array(self.lengths)
-        begin = np.zeros(int(lengths.sum()), bool)
-        begin[np.cumsum(lengths) - lengths] = True
-        return np.concatenate(self.tokens), begin, np.repeat(np.array(self.train), lengths)
+    def packed(self) -> bytes:
+        """Sorted word hashes, the place among them of each rank, all tokens as ranks (common words small, which packs well), and lengths, ids and training flags of the texts."""
+        h, place = self.words()
+        at = place[np.concatenate(self.tokens)]
+        by_rank = np.argsort(-np.bincount(at, minlength=len(h)), kind="stable")
+        rank = np.empty(len(h), np.int64)
+        rank[by_rank] = np.arange(len(h))
+        ids = [0 if i is None else i for i in self.ids]
+        return pack(h, by_rank.astype(np.uint32), rank[at].astype(np.uint32), np.array(self.lengths, np.uint32), np.array(ids, np.int64), np.array([i is None for i in self.ids], np.uint8), np.array(self.train, np.uint8))
+
 
+def opened(data: bytes) -> tuple:
+    """Of a packed block: hashes, each token's word (a place among them), which tokens begin a text, which are of training texts, and lengths, ids and missing ids of texts."""
+    h, by_rank, ranks, lengths, ids, no_id, train = unpack(data)
+    lengths = lengths.astype(np.int64)
+    begin = np.zeros(len(ranks), bool)
+    begin[np.cumsum(lengths) - lengths] = True
+    return h, by_rank[ranks].astype(np.int64), begin, np.repeat(train.astype(bool), lengths), lengths, ids, no_id.astype(bool)
 
-def pair_keys(stream: np.ndarray, begin: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def pair_keys(at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different pairs (place of the first word << 32 | of the second) in order, and each non-begin token's pair."""
-    at = place[stream]
-    keys = (at[:-1] << 32 | at[1:])[~begin[1:]]
-    return np.unique(keys, return_inverse=True)
+    return np.unique((at[:-1] << 32 | at[1:])[~begin[1:]], return_inverse=True)
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    h = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
 
 
 def blocks(batches, block_tokens: int = BLOCK_TOKENS):
@@ -138,6 +154,18 @@ def blocks(batches, block_tokens: int = BLOCK_TOKENS):
         yield split << 20 | k, block
 
 
+def make_blocks(batches):
+    for name, block in blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sum(block.lengths)], pa.int64()), pa.array([block.packed()], pa.binary())], names=["block", "tokens", "data"])
+
+
+def packed_blocks(batches):
+    """(block, data) of Arrow batches of the block table."""
+    for batch in batches:
+        for name, data in zip(batch.column(0).to_pylist(), batch.column(2)):
+            yield name, data.as_py()
+
+
 def blob_batch(rows: list) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["shard", "block", "kind", "data"])
@@ -147,10 +175,9 @@ def send_pairs(shards: int):
     """Step 1, pairs: to each shard the block's pairs, as 48-bit hashes of both words, with training counts."""
 
     def run(batches):
-        for name, block in blocks(batches):
-            h, place = block.words()
-            stream, begin, train = block.stream()
-            keys, which = pair_keys(stream, begin, place)
+        for name, data in packed_blocks(batches):
+            h, at, begin, train, *_ = opened(data)
+            keys, which = pair_keys(at, begin)
             count = np.bincount(which, train[1:][~begin[1:]], len(keys)).astype(np.int64)
             first, second = h[keys >> 32] >> LOW, h[keys & 0xFFFFFFFF] >> LOW
             shard = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second, shards)
@@ -176,25 +203,25 @@ def merge_pairs(shards: int):
     """Step 2: sum a shard's pairs over blocks; send blocks their counts, and word shards the pairs' part in each word."""
 
     def run(keys, group):
-        names, parts = group.column("block").to_pylist(), [unpack(d) for d in group.column("data").to_pylist()]
-        sizes = [len(p[4]) for p in parts]
-        first = np.concatenate([whole(p[0], p[1]) for p in parts])
-        second = np.concatenate([whole(p[2], p[3]) for p in parts])
-        count = np.concatenate([p[4].astype(np.int64) for p in parts])
-        order = np.lexsort((second, first))
-        a, b = first[order], second[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        names, blobs = group.column("block").to_pylist(), group.column("data")
+        read = lambda d: (lambda p: (whole(p[0], p[1]), whole(p[2], p[3]), p[4]))(unpack(d.as_py()))
+        first, second, count = (np.concatenate(x) for x in zip(*((f, s, c.astype(np.int32 if c.dtype.itemsize < 4 else np.int64)) for f, s, c in map(read, blobs))))
+        h = pair_hash(first, second)
+        order = np.argsort(h)
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
         starts = np.flatnonzero(new)
-        total = np.add.reduceat(count[order], starts) if len(starts) else count[:0]
-        back = np.empty(len(a), np.int64)
-        back[order] = np.repeat(total, np.diff(np.append(starts, len(a))))
-        rows, at = [], 0
-        for name, n in zip(names, sizes):
-            rows.append((keys[0].as_py(), name, "counts", pack(small(back[at : at + n]))))
-            at += n
+        total = np.add.reduceat(count[order].astype(np.int64), starts) if len(starts) else count[:0].astype(np.int64)
+        a, b = first[order[starts]], second[order[starts]]
+        hashes, totals = mapped([h[starts], total])
+        del first, second, count, h, order, new
+        rows = []
+        for name, blob in zip(names, blobs):
+            f, s, _ = read(blob)
+            rows.append((keys[0].as_py(), name, "counts", pack(small(totals[np.searchsorted(hashes, pair_hash(f, s))]))))
         seen = total > 0
-        a, b, total = a[starts][seen], b[starts][seen], total[seen]
+        a, b, total = a[seen], b[seen], total[seen]
         # of words as contexts: sum of counts, pairs of count 1, 2, 3 and more; of words that follow: pairs
         context, where = np.unique(a, return_inverse=True)
         sums = [np.bincount(where, x, len(context)).astype(np.int64) for x in (total, total == 1, total == 2, total >= 3)]
@@ -211,10 +238,9 @@ def send_words(shards: int):
     """Step 1, words: to each shard the block's words, as 64-bit hashes, with training counts (begin isn't a token)."""
 
     def run(batches):
-        for name, block in blocks(batches):
-            h, place = block.words()
-            stream, begin, train = block.stream()
-            count = np.bincount(place[stream], train & ~begin, len(h)).astype(np.int64)
+        for name, data in packed_blocks(batches):
+            h, at, begin, train, *_ = opened(data)
+            count = np.bincount(at, train & ~begin, len(h)).astype(np.int64)
             shard = mixed(h >> LOW, shards)
             yield blob_batch([(s, name, "block", pack(h[shard == s], small(count[shard == s]))) for s in range(shards)])
 
@@ -244,7 +270,7 @@ def merge_words(keys, group):
 def answer_words(keys, group):
     """Step 4: to each block the statistics of its words, in the order sent: count, context sums, words before."""
     kinds, names, data = (group.column(c).to_pylist() for c in ("kind", "block", "data"))
-    words, count, short, *stats = unpack(data[kinds.index("table")])
+    words, count, short, *stats = mapped(unpack(data[kinds.index("table")]))
     rows = []
     for k, name, d in zip(kinds, names, data):
         if k == "block":
@@ -254,19 +280,6 @@ def answer_words(keys, group):
     return pa.Table.from_batches([blob_batch(rows)])
 
 
-def send_texts(batches):
-    """Step 5: a block's texts as word numbers, with what scoring needs to put the answers in order."""
-    for name, block in blocks(batches):
-        h, place = block.words()
-        stream, begin, _ = block.stream()
-        frequency = np.argsort(-np.bincount(place[stream], minlength=len(h)), kind="stable")
-        rank = np.empty(len(h), np.int64)
-        rank[frequency] = np.arange(len(h))  # common words get small numbers, which pack well
-        ids = [0 if i is None else i for i in block.ids]
-        data = pack(h, frequency.astype(np.uint32), rank[place[stream]].astype(np.uint32), np.array(block.lengths, np.uint32), np.array(ids, np.int64), np.array([i is None for i in block.ids], np.uint8), np.array(block.train, np.uint8))
-        yield blob_batch([(-1, name, "texts", data)])
-
-
 def discounts(kinds: list) -> list:
     """Modified Kneser-Ney discounts for counts 1, 2, 3 and more, from the numbers of kinds with count 1 to 4."""
     n1, n2, n3, n4 = kinds
@@ -304,26 +317,16 @@ def score_block(shards: int, model: dict):
     def run(keys, group):
         kinds, shard, data = (group.column(c).to_pylist() for c in ("kind", "shard", "data"))
         of = {(k, s): d for k, s, d in zip(kinds, shard, data)}
-        if ("texts", -1) not in of or len(of) != 2 * shards + 1:
-            raise ValueError("the input gave other rows when it was read again")
-        h, frequency, ranks, lengths, ids, no_id, _ = unpack(of["texts", -1])
-        lengths = lengths.astype(np.int64)
-        begin = np.zeros(len(ranks), bool)
-        begin[np.cumsum(lengths) - lengths] = True
-        at = frequency[ranks].astype(np.int64)
-        pairs, which = pair_keys(at, begin, np.arange(len(h)))
+        h, at, begin, _, lengths, ids, no_id = opened(of["texts", -1])
+        pairs, which = pair_keys(at, begin)
         stats = np.zeros((6, len(h)), np.int64)
         word_shard = mixed(h >> LOW, shards)
         first, second = h[pairs >> 32] >> LOW, h[pairs & 0xFFFFFFFF] >> LOW
         pair_shard = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second, shards)
         counts = np.zeros(len(pairs), np.int64)
         for s in range(shards):
-            mine, theirs = pair_shard == s, unpack(of["counts", s])[0]
-            if len(theirs) != mine.sum():
-                raise ValueError("the input gave other rows when it was read again")
-            counts[mine] = theirs
+            counts[pair_shard == s] = unpack(of["counts", s])[0]
             stats[:, word_shard == s] = np.stack([x.astype(np.int64) for x in unpack(of["stats", s])])
-        h, pairs, counts, stats = mapped([h, pairs, counts, stats])
         d, e, v = model["pair_discounts"], model["word_discounts"], model["words"]
         count, total, one, two, more, before = (np.asarray(x, float) for x in stats)
         uniform = 1 / (v + 1)
@@ -340,7 +343,7 @@ def score_block(shards: int, model: dict):
         starts = np.cumsum(lengths - 1) - (lengths - 1)
         words = at[~begin]
         columns = [np.add.reduceat(x, starts) for x in (base[words], np.log10(p)[which], (count[words] > 0).astype(np.int64))]
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=no_id.astype(bool)), "n_tokens": pa.array(lengths - 1), "n_known": pa.array(columns[2]), "base_score": pa.array(columns[0]), "score": pa.array(columns[1])})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=no_id), "n_tokens": pa.array(lengths - 1), "n_known": pa.array(columns[2]), "base_score": pa.array(columns[0]), "score": pa.array(columns[1])})
 
     return run
 
@@ -350,8 +353,9 @@ def perplexity(docs: DataFrame, train) -> tuple[DataFrame, dict]:
 
     train: a boolean column, the rows to learn from. docs has doc_id and text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    shards = max(4, rows.rdd.getNumPartitions())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    rows = materialise(texts.mapInArrow(make_blocks, BLOCK_SCHEMA), "blocks", compression="zstd")
+    shards = max(4, -(-(rows.agg(F.sum("tokens")).head()[0] or 0) // SHARD_TOKENS))
     sent = materialise(rows.mapInArrow(send_pairs(shards), BLOB_SCHEMA).groupBy("shard").applyInArrow(merge_pairs(shards), BLOB_SCHEMA), "pairs")
     words = rows.mapInArrow(send_words(shards), BLOB_SCHEMA)
     tables = materialise(words.unionByName(sent.where("kind = 'words'")).groupBy("shard").applyInArrow(merge_words, BLOB_SCHEMA), "words")
@@ -361,7 +365,8 @@ def perplexity(docs: DataFrame, train) -> tuple[DataFrame, dict]:
     e = discounts([n1, n2, n3, n4])
     model = {"tokens": tokens, "words": v, "pairs": pairs, "pair_discounts": discounts(kinds), "word_discounts": e, "word_mass": (e[0] * n1 + e[1] * n2 + e[2] * n3_up) / pairs if pairs else 1.0}
     answers = words.unionByName(tables.where("kind = 'table'")).groupBy("shard").applyInArrow(answer_words, BLOB_SCHEMA)
-    parts = rows.mapInArrow(send_texts, BLOB_SCHEMA).unionByName(sent.where("kind = 'counts'")).unionByName(answers)
+    own = rows.select(F.lit(-1).cast("long").alias("shard"), "block", F.lit("texts").alias("kind"), "data")
+    parts = own.unionByName(sent.where("kind = 'counts'")).unionByName(answers)
     return parts.groupBy("block").applyInArrow(score_block(shards, model), SCORE_SCHEMA), model
 
 
