@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.functions import verdicts as V
 from tessera.operators import claims as C
 from tessera.operators import store as S
@@ -317,78 +318,103 @@ def robots_rules(spark, d):
     return web.robots_allowed(pages, rules).select("page_id", "allowed")
 
 
-_REGULATION = """<p class="oj-ti-section-1">KAPITEL I</p><p class="oj-normal">Präambel</p><p class="oj-ti-art">Artikel 1</p><p class="oj-sti-art">Zweck</p>
-<p class="oj-normal">(1) Erstens  gilt.</p><p class="oj-normal">Frei eins</p><p class="oj-normal">(3) Drittens</p><p class="oj-normal">(1) Doppelt</p><p class="oj-normal">Frei zwei</p>
-<p class="oj-ti-art">Artikel 2a</p><p class="oj-normal">Nur so</p><p class="oj-doc-ti">ANHANG</p><p class="oj-normal">Liste</p><p class="oj-normal">(7) Posten</p>"""
-
-
-@query("""
-select * from (values ('r-art1-para1', 1, 'Zweck', 1, 'Erstens gilt.', 'KAPITEL I', false), ('r-art1-para3', 1, 'Zweck', 3, 'Drittens', 'KAPITEL I', false), ('r-art1-para2', 1, 'Zweck', 2, 'Frei zwei', 'KAPITEL I', false),
-('r-art2-para1', 2, null, 1, 'Nur so', 'KAPITEL I', false), ('r-anhang-5', null, null, 2, 'Liste', 'ANHANG', true), ('r-anhang-6', null, null, 7, 'Posten', 'ANHANG', true))
-t(chunk_id, article, article_title, paragraph, text, section, is_annex)""")
+@query(r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) i from documents),
+k as (select doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) t, row_number() over (partition by doc_id order by i) n from l where trim(regexp_replace(t, '\s+', ' ', 'g')) <> '')
+select 'r-art' || doc_id || '-para' || n as chunk_id, cast(doc_id as integer) as article, 'Zweck' as article_title, cast(n as integer) as paragraph, t as text, 'KAPITEL I' as section, false as is_annex from k""")
 def html_chunks(spark, d):
-    pages = spark.createDataFrame([(1, _REGULATION)], "page_id long, html string")
-    return regulation.chunks(pages, "r").select("chunk_id", "article", "article_title", "paragraph", "text", "section", "is_annex")
-
-
-@query()
-def html_chunks_pages(spark, d):
-    """The chunker over all pages (which hold no regulation)."""
-    return regulation.chunks(table(spark, d, "pages"), "r")
+    """Each document as an article of a regulation, a paragraph for each line."""
+    escape = lambda t: F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda t: F.concat(F.lit('<p class="oj-normal">'), escape(t), F.lit("</p>"))), "\n")
+    html = F.concat(F.lit('<p class="oj-ti-section-1">KAPITEL I</p><p class="oj-ti-art">Artikel '), "doc_id", F.lit('</p><p class="oj-sti-art">Zweck</p>'), lines)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return regulation.chunks(docs, "r").select("chunk_id", "article", "article_title", "paragraph", "text", "section", "is_annex")
 
 
 @query("""
-select * from (values ('ID-1', 'Zinc', 'Zinc helps', null, 'authorised', 'art_13_1', date '2012-05-05'), ('ID-2', null, null, 'Hilft', 'non_authorised', 'art_14_1_b', null), ('gen-', null, 'No id', null, 'on_hold', 'unknown', date '2013-12-31'))
-t(id, nutrient, claim_en, claim_de, status, claim_type, entry_date)""")
+select case when p_partkey % 7 > 0 then 'P-' || p_partkey else 'gen-' end as id, p_brand as nutrient, case when p_partkey % 14 > 0 then p_name end as claim_en, case when p_partkey % 28 = 0 then 'de ' || p_partkey end as claim_de,
+       case p_size % 4 when 0 then 'authorised' when 2 then 'on_hold' else 'non_authorised' end as status,
+       case p_size % 5 when 0 then 'art_13_1' when 1 then 'art_13_5' when 2 then 'art_14_1_a' when 3 then 'art_14_1_b' else 'unknown' end as claim_type,
+       case p_partkey % 4 when 0 then date '2012-05-05' when 1 then date '2013-12-31' when 2 then date '2014-01-02' end as entry_date
+from part where p_partkey % 7 > 0 or p_partkey % 14 > 0 or p_partkey % 28 = 0""")
 def register_entries(spark, d):
-    head = "`Claim ID` string, `Nutrient, substance, food or food category` string, `Claim.` string, `Claim (DE)` string, `Status` string, `Claim type` string, `Entry date` string"
-    rows = [("ID-1", " Zinc ", "Zinc helps", None, "Authorized", "Art. 13 (1)", "5.5.2012"), ("ID-2", "", None, "Hilft", "whatever", "Art 14(1)(b) children", "x"), (None, None, "No id", None, "On hold", None, "20131231"), (None, "", " ", None, None, None, None)]
-    e = register.entries(spark.createDataFrame(rows, head))
+    """Parts as a register sheet under one year's headers."""
+    k, pick = F.col("p_partkey"), lambda n, *v: F.get(F.array(*map(F.lit, v)), n.cast("int"))
+    sheet = table(spark, d, "part").select(
+        F.when(k % 7 > 0, F.concat(F.lit("P-"), k)).alias("Claim ID"),
+        F.concat(F.lit(" "), "p_brand", F.lit(" ")).alias("Nutrient, substance, food or food category"),
+        F.when(k % 14 > 0, F.col("p_name")).otherwise(" ").alias("Claim."),
+        F.when(k % 28 == 0, F.concat(F.lit("de "), k)).alias("Claim (DE)"),
+        pick(F.col("p_size") % 4, "Authorized", "Non-authorised", "On hold", "whatever").alias("Status"),
+        pick(F.col("p_size") % 5, "Art. 13(1)", "Art 13.5", "Article 14 (1)(a)", "Art 14(1)(b) children", None).alias("Claim type"),
+        pick(k % 4, "5.5.2012", "2013-12-31", "20140102", "x").alias("Entry date"),
+    )
+    e = register.entries(sheet)
     return e.select(F.when(F.col("id").startswith("gen-"), "gen-").otherwise(F.col("id")).alias("id"), "nutrient", "claim_en", "claim_de", "status", "claim_type", "entry_date")
 
 
-@query("""
-select * from (values ('vo432-001', 'Vitamin C', 'Vitamin C trägt zu einer Verringerung bei', 'nur so — Beschränkungen: keine', 'E1'), ('vo432-002', null, 'Eine andere Angabe', null, null)) t(id, nutrient, claim_de, conditions, health_relationship)""")
+@query(rf"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 n from documents),
+k as (select doc_id, t, n, row_number() over (partition by doc_id order by n) i from (select doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) t, n from l) where length(t) > 10)
+select cast(doc_id as varchar) as doc, 'vo432-' || lpad(cast(i as varchar), cast(greatest(3, length(cast(i as varchar))) as integer), '0') as id,
+       nullif(trim(regexp_extract(t, '^([A-ZÄÖÜ][\wÄäÖöÜüß \-]{{2,40}}?)\s+(?:{"|".join(X.CLAIM_VERBS)})', 1)), '') as nutrient, t as claim_de,
+       nullif(concat_ws(' — ', case when n % 2 = 0 then 'nur so' end, case when n % 3 = 0 then 'Beschränkungen: keine' end), '') as conditions from k""")
 def annex_rows(spark, d):
-    rows = [("a", 1, 0, ["Angabe", "x", None, None]), ("a", 1, 1, ["Vitamin C trägt zu einer Verrin\xad\ngerung bei", "nur\nso", "keine", "E1"]), ("a", 2, 0, ["kurz", None, None, None]), ("a", 2, 1, ["Eine andere\nAngabe"])]
-    df = spark.createDataFrame(rows, "doc string, page int, n int, cells array<string>")
-    return register.annex_entries(df).select("id", "nutrient", "claim_de", "conditions", "health_relationship")
+    """Lines of documents as rows of an annex's table."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("n", "t"))
+    cells = F.array("t", F.when(F.col("n") % 2 == 0, "nur\nso"), F.when(F.col("n") % 3 == 0, "kei\xad\nne"), F.lit(None).cast("string"))
+    return register.annex_entries(lines.select("doc", "page", "n", cells.alias("cells"))).select("doc", "id", "nutrient", "claim_de", "conditions")
 
 
-@query("""select * from (values ('1', 'Ginkgo', 'Memory', 'Good'), ('2', 'Hops leaf', 'Sleep', 'Rest')) t(key, food, health_relationship, pending_claim)""")
+@query("""
+with f as (select p_partkey - p_partkey % 2 k, p_partkey, p_name, p_brand, p_type from part qualify row_number() over (partition by p_partkey - p_partkey % 2 order by p_partkey) = 1)
+select cast(k as varchar) as key, p_name as food, case when p_partkey % 3 < 2 then p_brand end as health_relationship, case when p_partkey % 4 > 0 then p_type else 'later' end as pending_claim,
+       'efsa-' || left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 40) || '-' || k as id from f""")
 def botanical_rows(spark, d):
-    rows = [(0, "Key", "Food", "", ""), (1, "1", "X - Ginkgo - Memory", "", "Good"), (2, "1", "Other", "late", ""), (3, "2", "Hops leaf - Sleep", "Rest", None)]
-    e = register.botanical_entries(spark.createDataFrame(rows, "seq int, key string, food_text string, original string, revised string"))
-    return e.select("key", "food", "health_relationship", "pending_claim")
+    """Parts as rows of a sheet of pending claims: two rows a key, of which the first counts; revised wordings fill gaps."""
+    k = F.col("p_partkey")
+    food = F.when(k % 3 == 0, F.concat(F.lit("X - "), "p_name", F.lit(" - "), "p_brand")).when(k % 3 == 1, F.concat("p_name", F.lit(" - "), "p_brand")).otherwise(F.col("p_name"))
+    rows = table(spark, d, "part").select(k.alias("seq"), (k - k % 2).cast("string").alias("key"), food.alias("food_text"), F.when(k % 4 > 0, F.col("p_type")).otherwise("").alias("original"), F.lit("later").alias("revised"))
+    return register.botanical_entries(rows).select("key", "food", "health_relationship", "pending_claim", "id")
 
 
 @query("""
-select * from (values ('E1', 'eu_claim', 'EU-Register · Zink', 'Zink — Zink hilft'), ('r-1', 'regulation', 'VO 1924, Art. 3 Abs. 2', 'Titel — Text'), ('x-1', 'regulation', 'VO X § 5', 'T — S — a b'), ('c-1', 'case_law', 'BGH I ZR 252/16 (2018-01-01)', 'T — S'), ('b-1', 'botanical', 'EFSA-Botanical · Kurkuma (Curcuma longa) · EFSA on-hold', 'Curcuma longa — Kurkuma — Gelbwurz'))
-t(chunk_id, source_type, reference, embedding_text)""")
+select 'P-' || p_partkey as chunk_id, 'eu_claim' as source_type, 'EU-Register · ' || p_brand as reference, p_brand || ' — ' || p_name as embedding_text from part
+union all select 'r-' || n_nationkey, 'regulation', 'VO 1924, Art. ' || n_nationkey || case when n_regionkey > 0 then ' Abs. ' || n_regionkey else '' end, n_name || ' — Text' from nation
+union all select 'x-' || s_suppkey, 'regulation', 'VO X § ' || s_suppkey, s_name || ' — S — a b' from supplier
+union all select 'c-' || c_custkey, 'case_law', 'BGH I ZR ' || c_custkey || '/16 (2018-01-01)', c_name || ' — S' from customer
+union all select 'b-' || r_regionkey, 'botanical', 'EFSA-Botanical · ' || r_name || ' (Curcuma longa) · EFSA on-hold', 'Curcuma longa — ' || r_name || ' — Gelbwurz' from region""")
 def knowledge_payloads(spark, d):
-    """One entry of each of the five sources, as chunks."""
-    reg = spark.createDataFrame([("E1", "Zink", None, "Zink hilft", None, "authorised", "art_13_1", None)], "id string, nutrient string, claim_en string, claim_de string, conditions string, status string, claim_type string, regulation_reference string")
-    law = spark.createDataFrame([("r-1", "1924", 3, "Titel", 2, "Text", "S", False, None)], "chunk_id string, regulation_id string, article int, article_title string, paragraph int, text string, section string, is_annex boolean, eur_lex_url string")
-    exc = spark.createDataFrame([("x-1", "VO X", "5", None, "T", "S", None, ["a", "b"])], "chunk_id string, regulation_id string, article string, paragraph string, title string, snippet string, source_url string, tags array<string>")
-    case = spark.createDataFrame([("c-1", "BGH", "I ZR 252/16", "2018-01-01", "T", None, None, "S", None, None, None, None, None)], "id string, court string, case_number string, decision_date string, title string, claim_type string, decision string, summary string, legal_basis array<string>, tags array<string>, source_url string, verification_status string, ai_confidence string")
-    bot = spark.createDataFrame([("b-1", "Curcuma longa", "Kurkuma", ["Gelbwurz"], None, None, "on_hold", None)], "id string, scientific_name string, common_name_de string, common_names array<string>, health_relationship string, summary string, status string, source_url string")
+    """Rows of five tables as entries of the five sources, as chunks."""
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    reg = table(spark, d, "part").select(F.concat(F.lit("P-"), "p_partkey").alias("id"), F.col("p_brand").alias("nutrient"), F.col("p_name").alias("claim_en"), F.lit("authorised").alias("status"), F.lit("art_13_1").alias("claim_type"), *none("claim_de", "conditions", "regulation_reference"))
+    law = table(spark, d, "nation").select(F.concat(F.lit("r-"), "n_nationkey").alias("chunk_id"), F.lit("1924").alias("regulation_id"), F.col("n_nationkey").alias("article"), F.col("n_name").alias("article_title"), F.col("n_regionkey").alias("paragraph"), F.lit("Text").alias("text"), F.lit("S").alias("section"), F.lit(False).alias("is_annex"), *none("eur_lex_url"))
+    exc = table(spark, d, "supplier").select(F.concat(F.lit("x-"), "s_suppkey").alias("chunk_id"), F.lit("VO X").alias("regulation_id"), F.col("s_suppkey").cast("string").alias("article"), F.col("s_name").alias("title"), F.lit("S").alias("snippet"), F.array(F.lit("a"), F.lit("b")).alias("tags"), *none("paragraph", "source_url"))
+    case = table(spark, d, "customer").select(F.concat(F.lit("c-"), "c_custkey").alias("id"), F.lit("BGH").alias("court"), F.concat(F.lit("I ZR "), "c_custkey", F.lit("/16")).alias("case_number"), F.lit("2018-01-01").alias("decision_date"), F.col("c_name").alias("title"), F.lit("S").alias("summary"), F.array().cast("array<string>").alias("legal_basis"), F.array().cast("array<string>").alias("tags"), *none("claim_type", "decision", "source_url", "verification_status", "ai_confidence"))
+    bot = table(spark, d, "region").select(F.concat(F.lit("b-"), "r_regionkey").alias("id"), F.lit("Curcuma longa").alias("scientific_name"), F.col("r_name").alias("common_name_de"), F.array(F.lit("Gelbwurz")).alias("common_names"), F.lit("on_hold").alias("status"), *none("health_relationship", "summary", "source_url"))
     parts = [K.register_chunks(reg), K.regulation_chunks(law), K.excerpt_chunks(exc), K.case_chunks(case), K.botanical_chunks(bot)]
     return K.union(parts).select("chunk_id", "source_type", "reference", "embedding_text")
 
 
-@query("select * from (values ('a', '1.10.0'), ('b', '0.9.1')) t(task, version)")
+@query("""
+with v as (select 't' || (o_custkey % 50) task, o_orderkey % 3 a, o_orderkey % 12 b, o_orderkey % 7 c from orders where o_orderkey % 5 > 0)
+select task, a || '.' || b || '.' || c as version from v qualify row_number() over (partition by task order by a desc, b desc, c desc) = 1""")
 def semver_latest(spark, d):
-    text = "---\ntask: {}\nversion: {}\nmodel: m\nauthor: x\ncreated_at: 2026-01-01\ndescription: d\n---\nHello {{{{ name }}}}"
-    raw = spark.createDataFrame([(f"{t}{v}", text.format(t, v)) for t, v in (("a", "1.9.0"), ("a", "1.10.0"), ("b", "0.9.1"), ("b", "x"))], "path string, raw string")
-    return prompts.latest(prompts.parse_prompts(raw).where("valid")).select("task", "version")
+    """Orders as prompt files, some with a version that is none; of each task the latest."""
+    k = F.col("o_orderkey")
+    version = F.when(k % 5 == 0, "x").otherwise(F.concat_ws(".", k % 3, k % 12, k % 7))
+    raw = F.concat(F.lit("---\ntask: t"), F.col("o_custkey") % 50, F.lit("\nversion: "), version, F.lit("\nmodel: m\nauthor: x\ncreated_at: 2026-01-01\ndescription: d\n---\nHello {{ name }}"))
+    files = table(spark, d, "orders").select(F.concat(F.lit("p"), k).alias("path"), raw.alias("raw"))
+    return prompts.latest(prompts.parse_prompts(files).where("valid")).select("task", "version")
 
 
-@query("""
-select * from (values ('disease_based', 'heilt Krankheiten', true), ('disease_based', 'beugt einer Sache vor', true), ('disease_based', 'Leberfunktion', false), ('wellbeing_based', 'lindert', false), ('disease_based', 'SCHÜTZT VOR Grippe', true)) t(claim_type, claim_text, shortcut)""")
+@query("select doc_id, doc_id % 2 = 0 and doc_id % 3 <> 1 as shortcut from documents where text is not null")
 def disease_shortcut(spark, d):
-    rows = [("disease_based", "heilt Krankheiten"), ("disease_based", "beugt einer Sache vor"), ("disease_based", "Leberfunktion"), ("wellbeing_based", "lindert"), ("disease_based", "SCHÜTZT VOR Grippe")]
-    df = spark.createDataFrame(rows, "claim_type string, claim_text string")
-    return df.withColumn("shortcut", V.disease_shortcut(F.col("claim_type"), F.col("claim_text")).isNotNull())
+    """Documents as claims, some of which end with an obvious disease claim."""
+    end = F.when(F.col("doc_id") % 3 == 0, " heilt alles").when(F.col("doc_id") % 3 == 1, " Leberfunktion").otherwise(" WIRKT gegen x")
+    kind = F.when(F.col("doc_id") % 2 == 0, "disease_based").otherwise("wellbeing_based")
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", kind.alias("kind"), F.concat("text", end).alias("claim"))
+    return df.select("doc_id", V.disease_shortcut(F.col("kind"), F.col("claim")).isNotNull().alias("shortcut"))
 
 
 @query("""

@@ -241,17 +241,19 @@ def paragraph_claims(spark, d):
     return R.paragraph_claims(held, found, separator=r"\n").select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "n_claims")
 
 
-_REWRITES = [(1, "„Trägt zur Ruhe bei.“", "Trägt bei"), (2, "Fördert die Balance", "Fördert alles."), (3, "«[Nährstoff X] hilft»", "x."), (4, "(Hinweis: nur mit Zulassung)", "x"), (5, " [delete] ", "x"), (6, "Gut..  , ja :", "Ja!"), (7, "", "x"), (8, "VO 432/2012 und Pflichtangabe", "x"), (9, "‚ok", "")]
-
-
-@query("""select * from (values (1, 'Trägt zur Ruhe bei'), (2, 'Fördert die Balance.'), (3, null), (4, null), (5, '[DELETE]'), (6, 'Gut., ja!'), (7, null), (8, null), (9, 'ok')) t(id, clean)""")
+@query(r"""
+select item_id, case item_id % 4 when 0 then regexp_replace(text, '[.!?]+$', '') || '.' when 1 then '[DELETE]' when 2 then null else regexp_replace(text, '[.!?]+$', '') end as clean from benchmark""")
 def sanitise_rewrites(spark, d):
-    df = spark.createDataFrame(_REWRITES, "id int, rewrite string, original string")
-    return df.select("id", R.sanitised(F.col("rewrite"), F.col("original")).alias("clean"))
+    """Benchmark items as rewrites: in nested quotation marks, a delete marker, with a placeholder, as the rest of a sentence."""
+    text, k = F.regexp_replace("text", r"[.!?]+$", ""), F.col("item_id") % 4
+    rewrite = F.when(k == 0, F.concat(F.lit("„«' "), text, F.lit(". '»“"))).when(k == 1, " [delete]").when(k == 2, F.concat(F.lit("[Nährstoff X] "), "text")).otherwise(F.concat(text, F.lit("!")))
+    original = F.when(k == 0, "Ganzer Satz.").otherwise("Teil eines Satzes")
+    return table(spark, d, "benchmark").select("item_id", R.sanitised(rewrite, original).alias("clean"))
 
 
-@query("""select * from (values (1, '| a | b |', true), (2, '', true), (3, 'Text  bleibt', false), (4, '', false)) t(id, stripped, is_table)""")
+@query("select doc_id, text || chr(10) as stripped, true as is_table from documents where text is not null")
 def drop_markers(spark, d):
-    rows = [(1, "| a | b |\n| c | [DROP_ROW] |"), (2, "| --- | --- |\n| x | [drop_row] |"), (3, "Text [DELETE] bleibt"), (4, " [DELETE]\n")]
-    df = spark.createDataFrame(rows, "id int, t string")
-    return df.select("id", X.strip_drop_markers(F.col("t")).alias("stripped"), X.looks_like_table(F.col("t")).alias("is_table"))
+    """Documents after a table row with a marker and before a marker of their own."""
+    marked = F.concat(F.lit("| a | [DROP_ROW] |\n"), "text", F.lit("\n[Delete]"))
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", "text", marked.alias("t"))
+    return df.select("doc_id", X.strip_drop_markers(F.col("t")).alias("stripped"), X.looks_like_table(F.col("t")).alias("is_table"))
