@@ -115,6 +115,12 @@ def precision_recall(predicted_and_gold: DataFrame, by: list) -> DataFrame:
     return out.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
+def against_previous(scores: DataFrame, by: list, version: str) -> DataFrame:
+    """precision_recall's scores with the change of F1 since the version before, null for the first."""
+    before = F.lag("f1").over(W.partitionBy(*by).orderBy(version))
+    return scores.withColumn("f1_change", F.col("f1") - before)
+
+
 def recall_at(ranked: DataFrame, relevant: DataFrame, k: int = 8) -> DataFrame:
     """Share of queries with a relevant chunk among the first k."""
     hits = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("_hit", F.lit(1))

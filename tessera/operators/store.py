@@ -146,3 +146,17 @@ def project_counts(members: DataFrame) -> DataFrame:
     """Members of each project, by role."""
     n = lambda role: F.count_if(F.col("role") == role).alias(f"{role}s")
     return members.groupBy("project_id").agg(F.count("*").alias("members"), n("owner"), n("editor"), n("viewer"))
+
+
+def dashboard(analyses: DataFrame, usage: DataFrame, as_of: str, credits: int) -> DataFrame:
+    """For each user(user_id) at a time: analyses of the month, mean score of 30 days, open items, credits left this month.
+
+    analyses(user_id, created_at, risk_score, open), usage(user_id, ts, amount); what lies after as_of doesn't count.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    month = F.date_trunc("month", now)
+    at = F.col("created_at").cast("timestamp")
+    a = analyses.where(at <= now).groupBy("user_id").agg(F.count_if(at >= month).alias("n_month"), F.avg(F.when(at > now - F.expr("interval 30 days"), F.col("risk_score"))).alias("mean_score"), F.count_if("open").alias("open_items"))
+    ts = F.col("ts").cast("timestamp")
+    used = usage.where((ts >= month) & (ts <= now)).groupBy("user_id").agg(F.sum("amount").alias("used"))
+    return a.join(used, "user_id", "full").select("user_id", F.coalesce("n_month", F.lit(0)).alias("n_month"), "mean_score", F.coalesce("open_items", F.lit(0)).alias("open_items"), F.greatest(F.lit(0), credits - F.coalesce("used", F.lit(0))).alias("credits_left"))

@@ -86,12 +86,19 @@ def write(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type").parquet(path)
 
 
-def write_entries(entries: DataFrame, path: str, run_at: str) -> DataFrame:
-    """Entries as JSON, and a one-row manifest beside them; raises ValueError if there are none."""
+def write_entries(entries: DataFrame, path: str, run_at: str, counts: tuple = ()) -> DataFrame:
+    """Entries as JSON, and a manifest beside them: their number, and that of each value of the columns counts.
+
+    Raises ValueError if there are no entries.
+    """
     n = entries.count()
     if not n:
         raise ValueError("no entries")
     entries.write.mode("overwrite").json(f"{path}/entries")
-    manifest = entries.sparkSession.createDataFrame([(run_at, n)], "run_at string, n_entries long")
+    spark = entries.sparkSession
+    manifest = spark.createDataFrame([(run_at, "all", None, n)], "run_at string, what string, value string, n long")
+    for c in counts:
+        own = entries.where(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n"))
+        manifest = manifest.unionByName(own.select(F.lit(run_at).alias("run_at"), F.lit(c).alias("what"), "value", "n"))
     manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")

@@ -263,10 +263,29 @@ def validity_history(spark, d):
 
 
 @query("""
-select date_trunc('month', o_orderdate) as month, count(*) as n_analyses, round(avg(o_totalprice), 2) as mean_score, count(*) filter (where o_orderstatus = 'O') as open_items from orders group by 1""")
+with a as (select o_custkey % 25 u, count(*) filter (where o_orderdate >= timestamp '1997-06-01') n_month, avg(case when o_orderdate > timestamp '1997-06-20' - interval 30 days then o_totalprice end) mean_score, count(*) filter (where o_orderstatus = 'O') open_items
+           from orders where o_orderdate <= timestamp '1997-06-20' group by 1),
+c as (select o_custkey % 25 u, count(*) used from orders where o_orderdate between timestamp '1997-06-01' and timestamp '1997-06-20' group by 1)
+select u as user_id, coalesce(n_month, 0) as n_month, round(mean_score, 2) as mean_score, coalesce(open_items, 0) as open_items, greatest(0, 30 - coalesce(used, 0)) as credits_left from a full join c using (u)""")
 def dashboard_kpis(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupBy(F.date_trunc("month", "o_orderdate").alias("month")).agg(F.count("*").alias("n_analyses"), F.round(F.avg("o_totalprice"), 2).alias("mean_score"), F.count_if(F.col("o_orderstatus") == "O").alias("open_items"))
+    o = table(spark, d, "orders").withColumn("user_id", F.col("o_custkey") % 25)
+    analyses = o.select("user_id", F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("risk_score"), (F.col("o_orderstatus") == "O").alias("open"))
+    usage = o.select("user_id", F.col("o_orderdate").alias("ts"), F.lit(1).alias("amount"))
+    k = S.dashboard(analyses, usage, "1997-06-20 00:00:00", 30)
+    return k.withColumn("mean_score", F.round("mean_score", 2))
+
+
+@query("""
+with x as (select l.doc_id % 3 v, l.toxic = 1 gold, regexp_matches(lower(d.text), '\\b(?:idiot|clown|worthless|pathetic)\\b') predicted from labels l join documents d using (doc_id)),
+g as (select v, count(*) filter (where predicted and gold) tp, count(*) filter (where predicted and not gold) fp, count(*) filter (where not predicted and gold) fn from x group by 1),
+f as (select v, case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end f1 from g)
+select cast(v as bigint) as version, round(f1, 6) as f1, round(f1 - lag(f1) over (order by v), 6) as f1_change from f""")
+def scores_by_version(spark, d):
+    """F1 of each version of a detector (a third of the documents each), and the change since the one before."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("toxic").alias("kind"), (F.col("doc_id") % 3).alias("version"), F.col("text").rlike(r"(?iuU)\b(?:idiot|clown|worthless|pathetic)\b").alias("predicted"))
+    gold = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("gold"))
+    r = C.against_previous(C.precision_recall(gold.join(docs, "doc_id"), ["kind", "version"]), ["kind"], "version")
+    return r.select("version", F.round("f1", 6).alias("f1"), F.round("f1_change", 6).alias("f1_change"))
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import verdicts as V
+from tessera.sources import xlsx
 
 # Header names of each field, over the years.
 HEADERS = {
@@ -40,7 +41,9 @@ def columns_of(headers: list) -> dict:
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV export with a header line; quoted cells may span lines."""
+    """A workbook's first sheet, or a CSV export, with a header line; quoted cells may span lines."""
+    if path.lower().endswith(".xlsx"):
+        return xlsx.read_table(spark, path)
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
@@ -72,5 +75,12 @@ def botanical_entries(rows: DataFrame) -> DataFrame:
     return first.select("key", F.concat(F.lit("efsa-"), name, F.lit("-"), F.col("key")).alias("id"), parts["food"].alias("food"), X.none_if_empty(parts["relationship"]).alias("health_relationship"), F.substring(wording, 1, 200).alias("pending_claim"), F.substring(F.concat_ws(" ", parts["food"], parts["relationship"], wording), 1, 600).alias("summary"))
 
 
+def botanical_sheet(spark: SparkSession, path: str, sheet: str = "Sheet1", first: int = 3) -> DataFrame:
+    """Rows (seq, key, food_text, original, revised) of a workbook of pending claims: the first four columns from row first on."""
+    cell = lambda i: F.get("cells", F.lit(i))
+    rows = xlsx.read_rows(spark, path, sheet).where(F.col("row") >= first)
+    return rows.select(F.col("row").alias("seq"), cell(0).alias("key"), cell(1).alias("food_text"), cell(2).alias("original"), cell(3).alias("revised"))
+
+
 def status_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("status", "claim_type").agg(F.count("*").alias("n"))

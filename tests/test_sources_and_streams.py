@@ -1,5 +1,7 @@
 import datetime
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,44 @@ def test_knowledge_write_replaces_one_source(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in spark.read.parquet(path).collect()) == ["b", "c"]
     with pytest.raises(ValueError):
         K.write_entries(row("a", "x").limit(0), path + "2", "now")
+    manifest = K.write_entries(row("a", "x").union(row("b", "x")).union(row("c", "")), path + "2", "now", ("source_type",)).collect()
+    assert sorted((r["what"], r["value"], r["n"]) for r in manifest) == [("all", None, 3), ("source_type", "x", 2)]
+
+
+def workbook(rows):
+    """An xlsx file with one sheet: text cells alternately shared and inline."""
+    shared, lines = [], []
+    for n, row in enumerate(rows, 1):
+        cells = []
+        for k, v in enumerate(row):
+            at = f"{chr(65 + k)}{n}"
+            if v is None:
+                continue
+            if isinstance(v, int):
+                cells.append(f'<c r="{at}"><v>{v}</v></c>')
+            elif k % 2:
+                cells.append(f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>')
+            else:
+                shared.append(v)
+                cells.append(f'<c r="{at}" t="s"><v>{len(shared) - 1}</v></c>')
+        lines.append(f'<row r="{n}">{"".join(cells)}</row>')
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(f'<si><t>{t}</t></si>' for t in shared)}</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbook([["Claim ID", "Claim", "Status", "Entry date"], ["A", "Zinc helps", None, "20131231"], [None, None, None], ["B", "x", "Rejected", 7]]))
+    rows = register.entries(register.read_sheet(spark, f"file://{tmp_path}/a.xlsx")).orderBy("id").collect()
+    assert [(r["id"], r["claim_en"], r["status"], str(r["entry_date"])) for r in rows] == [("A", "Zinc helps", "non_authorised", "2013-12-31"), ("B", "x", "non_authorised", "None")]
+    (tmp_path / "b.xlsx").write_bytes(workbook([["title"], ["Key", "Food"], ["1", "X - Ginkgo - Memory", None, "Good"], ["1", "Other", "late"], ["note", "x"]]))
+    sheet = register.botanical_sheet(spark, f"file://{tmp_path}/b.xlsx")
+    assert [(r["key"], r["food"], r["pending_claim"]) for r in register.botanical_entries(sheet).collect()] == [("1", "Ginkgo", "Good")]
 
 
 def test_prompt_rendering(spark):
