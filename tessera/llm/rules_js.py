@@ -14,6 +14,8 @@ repeated ids are judged one by one; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,4 +119,32 @@ def op7_rules_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def _sql() -> str:
+    """The query in DuckDB's SQL; references and limits are those above."""
+    number = lambda values: "[" + ", ".join(f"cast({v!r} as double)" for v in values) + "]"
+    term = lambda a, b: f"case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end"
+    far = lambda reference, share: f"sqrt(greatest(0, list_sum(list_transform(list_zip({number(reference)}, {share}), lambda z: 0.5 * ({term('z[1]', 'z[2]')} + {term('z[2]', 'z[1]')})))))"
+    quoted = lambda texts: ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    punctuation = PUNCTUATION.replace("'", "''")
+    kinds = ["[^a-z]", "[^A-Z]", "[^0-9]", rf"[^{WORD_SPACE}]", "[^" + re.escape(PUNCTUATION).replace("'", "''") + "]", "[^!-~]"]
+    lengths = ", ".join(f"length(regexp_replace(t, '{k}', '', 'g')) k{i}" for i, k in enumerate(kinds))
+    own = ", ".join(f"list_transform([{quoted(v)}], lambda k: len(list_filter(common, lambda x: x = k)) / greatest(n_words, 1)) own_{lang}" for lang, v in COMMON_WORDS.items())
+    classes = ", ".join(far(class_reference(x), "classes") for x in CHARACTER_CLASSES)
+    common = ", ".join(far(word_reference(x), f"list_append(own_{x}, greatest(0, 1 - list_sum(own_{x})))") for x in COMMON_WORDS)
+    return rf"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '[{WORD_SPACE}]+'), lambda x: x <> '') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{WORD_SPACE}]')) l from d),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] k from (select doc_id, w, unnest(range(1, len(w) - 1)) i from w)),
+r as (select doc_id, i from g qualify count(*) over (partition by doc_id, k) > 1),
+v as (select doc_id, count(distinct p) n from (select doc_id, unnest([i, i + 1, i + 2]) p from r) group by 1),
+c as (select w.doc_id, t, length(t) n_chars, len(w) n_words, {lengths}, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(v.n, 0) n_repeat_words,
+      list_filter(list_transform(w, lambda x: lower(trim(x, '{punctuation}'))), lambda x: x in ({quoted(sorted({x for v in COMMON_WORDS.values() for x in v}))})) common from w left join v on v.doc_id = w.doc_id),
+s as (select *, k5 - k0 - k1 - k2 - k4 k_other, n_words < 50 or 100 * n_repeat_words > 50 * n_words failed, {own} from c),
+f as (select *, list_transform([k0, k1, k2, k3, k4, k_other, greatest(0, n_chars - k3 - k5)], lambda k: k / greatest(n_chars, 1)) classes from s),
+j as (select *, least({classes}) class_distance, least({common}) word_distance from f)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_chars - k3 as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, failed as base_failed,
+       not failed and not (n_chars >= {MIN_CHARS} and class_distance > {CLASS_LIMIT} or n_words >= {MIN_WORDS} and word_distance > {WORD_LIMIT}) as kept from j"""
+
+
 QUERIES = {"op7_rules_divergence": op7_rules_divergence}
+ORACLES = {"op7_rules_divergence": _sql()}
