@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, materialise, table
 
-BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 4_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Tokens that no word can be: words hold no white space.
 BEGIN, END = b" begin", b" end"
@@ -102,32 +102,27 @@ class Block:
         self.lengths.append(len(found))
         self.train.append(train)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the words, and each word number's place among them."""
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.number), np.uint64, len(self.number))
-        order = np.argsort(h, kind="stable")
-        place = np.empty(len(h), np.int64)
-        place[order] = np.arange(len(h))
-        return h[order], place
-
     def packed(self) -> bytes:
-        """Sorted word hashes, the place among them of each rank, all tokens as ranks (common words small, which packs well), and lengths, ids and training flags of the texts."""
-        h, place = self.words()
-        at = place[np.concatenate(self.tokens)]
-        by_rank = np.argsort(-np.bincount(at, minlength=len(h)), kind="stable")
-        rank = np.empty(len(h), np.int64)
-        rank[by_rank] = np.arange(len(h))
+        """Word hashes, the most frequent first, all tokens as ranks among them (mostly small numbers, which pack well), and lengths, ids and training flags of the texts."""
+        tokens = np.concatenate(self.tokens)
+        by_rank = np.argsort(-np.bincount(tokens, minlength=len(self.number)), kind="stable")
+        rank = np.empty(len(by_rank), np.uint32)
+        rank[by_rank] = np.arange(len(by_rank))
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.number), np.uint64, len(self.number))
         ids = [0 if i is None else i for i in self.ids]
-        return pack(h, by_rank.astype(np.uint32), rank[at].astype(np.uint32), np.array(self.lengths, np.uint32), np.array(ids, np.int64), np.array([i is None for i in self.ids], np.uint8), np.array(self.train, np.uint8))
+        return pack(h[by_rank], rank[tokens], np.array(self.lengths, np.uint32), np.array(ids, np.int64), np.array([i is None for i in self.ids], np.uint8), np.array(self.train, np.uint8))
 
 
 def opened(data: bytes) -> tuple:
-    """Of a packed block: hashes, each token's word (a place among them), which tokens begin a text, which are of training texts, and lengths, ids and missing ids of texts."""
-    h, by_rank, ranks, lengths, ids, no_id, train = unpack(data)
+    """Of a packed block: sorted hashes, each token's word (a place among them), which tokens begin a text, which are of training texts, and lengths, ids and missing ids of texts."""
+    by_rank, ranks, lengths, ids, no_id, train = unpack(data)
+    order = np.argsort(by_rank)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     lengths = lengths.astype(np.int64)
     begin = np.zeros(len(ranks), bool)
     begin[np.cumsum(lengths) - lengths] = True
-    return h, by_rank[ranks].astype(np.int64), begin, np.repeat(train.astype(bool), lengths), lengths, ids, no_id.astype(bool)
+    return by_rank[order], place[ranks], begin, np.repeat(train.astype(bool), lengths), lengths, ids, no_id.astype(bool)
 
 
 def pair_keys(at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
