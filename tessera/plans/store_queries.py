@@ -329,6 +329,14 @@ def html_main_text(spark, d):
     return web.extract(table(spark, d, "pages"))
 
 
+@query("""
+select page_id, case when octet_length(encode(case when page_id % 2 = 0 then '%PDF-1.7' else '' end || html)) > 4000 then 'too_large' when page_id % 2 = 1 and not starts_with(html, '%PDF') then 'bad_magic' else 'ok' end as problem from pages where html is not null""")
+def binary_checks(spark, d):
+    """Pages as bytes that claim to be PDF: size first, then the magic number."""
+    content = F.encode(F.concat(F.when(F.col("page_id") % 2 == 0, "%PDF-1.7").otherwise(""), "html"), "UTF-8")
+    return table(spark, d, "pages").where("html is not null").select("page_id", F.coalesce(web.binary_problem(content, limit=4000), F.lit("ok")).alias("problem"))
+
+
 @query("select page_id, not contains(url, '/fr/') as allowed from pages")
 def robots_rules(spark, d):
     pages = table(spark, d, "pages")

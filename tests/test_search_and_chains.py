@@ -166,3 +166,8 @@ def test_limiter_on_many_interleaved_files(spark, tmp_path):
     scan.run_to_table(limiter.limited_stream(scan.read_stream(spark, path, hits.schema), 2, 3600), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
     got = {r["event_id"]: r["used"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {r["event_id"]: r["used"] for r in limiter.limited(hits, 2, 3600).collect()} and len(got) == 520
+
+
+def test_prompt_block_names_each_example_once():
+    hard, soft = L.prompt_block().split("\n")
+    assert hard.startswith("hard: ") and soft.startswith("soft: ") and hard.count("Therapie") == 1 and "Entspannung" in soft
