@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,16 @@ def materialise(df: DataFrame, tag: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver, upon which Spark removes the shuffle files of finished jobs.
+
+    Spark does so itself every spark.cleaner.periodicGC.interval, half an hour by default; between
+    the steps of one operator that is late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_remainder, materialise, table
+from tessera.llm.common import id_remainder, materialise, release, table
 
 BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -352,8 +352,10 @@ def perplexity(docs: DataFrame, train) -> tuple[DataFrame, dict]:
     rows = materialise(texts.mapInArrow(make_blocks, BLOCK_SCHEMA), "blocks", compression="zstd")
     shards = max(4, -(-(rows.agg(F.sum("tokens")).head()[0] or 0) // SHARD_TOKENS))
     sent = materialise(rows.mapInArrow(send_pairs(shards), BLOB_SCHEMA).groupBy("shard").applyInArrow(merge_pairs(shards), BLOB_SCHEMA), "pairs")
+    release(docs.sparkSession)
     words = rows.mapInArrow(send_words(shards), BLOB_SCHEMA)
     tables = materialise(words.unionByName(sent.where("kind = 'words'")).groupBy("shard").applyInArrow(merge_words, BLOB_SCHEMA), "words")
+    release(docs.sparkSession)
     kinds = [sum(x) for x in zip(*(unpack(r["data"])[0].tolist() for r in sent.where("kind = 'kinds'").select("data").collect()))] or [0] * 4
     figures = [sum(x) for x in zip(*(unpack(r["data"])[0].tolist() for r in tables.where("kind = 'figures'").select("data").collect()))] or [0] * 8
     tokens, v, pairs, n1, n2, n3, n4, n3_up = figures
