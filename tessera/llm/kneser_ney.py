@@ -39,13 +39,14 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, materialise, release, table
 
-BLOCK_TOKENS, SHARD_TOKENS = 1_500_000, 1_500_000
+BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 2_500_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Tokens that no word can be: words hold no white space.
 BEGIN, END = b" begin", b" end"
@@ -55,16 +56,16 @@ BLOCK_SCHEMA = "block long, tokens long, data binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as byte planes, so that equal high bytes lie together; each with dtype and length."""
+    """Integer arrays as byte planes, so that equal high bytes lie together, compressed; each with dtype and length."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
         out.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    return b"".join(out)
+    return zstandard.compress(b"".join(out), 1)
 
 
 def unpack(data: bytes) -> list:
-    arrays, at = [], 0
+    data, arrays, at = zstandard.decompress(data), [], 0
     while at < len(data):
         kind, n = np.dtype(data[at : at + 4].decode().strip()), int.from_bytes(data[at + 4 : at + 12], "little")
         at += 12
@@ -349,7 +350,7 @@ def perplexity(docs: DataFrame, train) -> tuple[DataFrame, dict]:
     train: a boolean column, the rows to learn from. docs has doc_id and text.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    rows = materialise(texts.mapInArrow(make_blocks, BLOCK_SCHEMA), "blocks", compression="zstd")
+    rows = materialise(texts.mapInArrow(make_blocks, BLOCK_SCHEMA), "blocks")
     shards = max(4, -(-(rows.agg(F.sum("tokens")).head()[0] or 0) // SHARD_TOKENS))
     sent = materialise(rows.mapInArrow(send_pairs(shards), BLOB_SCHEMA).groupBy("shard").applyInArrow(merge_pairs(shards), BLOB_SCHEMA), "pairs")
     release(docs.sparkSession)
