@@ -308,7 +308,7 @@ SCORE_SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, sco
 
 
 def score_block(shards: int, model: dict):
-    """Step 5: score a block's texts from the memory-mapped part of the model that came back to it."""
+    """Step 5: score a block's texts from what came back to it."""
 
     def run(keys, group):
         kinds, shard, data = (group.column(c).to_pylist() for c in ("kind", "shard", "data"))
