@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "jpeg", "kneser_ney", "language_gru", "mixing", "pii_feistel", "quality_cnn", "rules_js", "simhash", "warc")
+MODULES = ("bpe", "jpeg", "kneser_ney", "language_gru", "merkle", "mixing", "pii_feistel", "quality_cnn", "rules_js", "simhash", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
