@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("bpe", "centroids", "jpeg", "kneser_ney", "language_gru", "merkle", "mixing", "pii_feistel", "quality_cnn", "rules_js", "simhash", "warc")
+MODULES = ("bpe", "centroids", "jpeg", "kneser_ney", "language_gru", "merkle", "mixing", "pii_feistel", "quality_cnn", "rules_js", "simhash", "voronoi", "warc")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
