@@ -144,9 +144,9 @@ def fit(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, salt: str
     """The centroids [number, dimension] of vectors(vec_id, v) after the rounds, and the integers that occur."""
     named = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     first = vectors.orderBy(named, "vec_id", "v").limit(k).select("v").collect()
-    centroids = np.array([r["v"] for r in first], np.int64).reshape(len(first), -1)
-    if not len(centroids):
-        return centroids, []
+    if not first:
+        return np.zeros((0, 0), np.int64), []
+    centroids = np.array([r["v"] for r in first], np.int64)
     values = occurring(vectors, centroids.shape[1])
     for _ in range(rounds):
         centroids = moved(vectors, centroids, values)
