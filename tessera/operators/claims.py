@@ -62,6 +62,17 @@ def verified_hints(hints: DataFrame, evidence: DataFrame) -> DataFrame:
     return joined.withColumn("chunk_id", F.when(F.col("verified"), F.col("chunk_id"))).drop("_hit")
 
 
+def hint_lists(told: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(claim_id, hints) of told(claim_id, hints): checked by verified_hints, in the order they came; claims without any are absent."""
+    rows = told.select("claim_id", F.posexplode("hints").alias("place", "h")).select("claim_id", "place", "h.*")
+    if evidence is None:
+        evidence = rows.select("claim_id", "chunk_id", F.lit(None).cast("string").alias("url")).limit(0)
+    one = F.struct("place", "reference", "rationale", "verified", "chunk_id", "url")
+    # a model's hints on one claim
+    lists = verified_hints(rows, evidence.select("claim_id", F.col("chunk_id").cast("string"), "url")).groupBy("claim_id").agg(F.array_sort(F.collect_list(one)).alias("hints"))
+    return lists.withColumn("hints", F.transform("hints", lambda h: h.dropFields("place")))
+
+
 def detected(model_spans: DataFrame, lexicon_spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Model spans, and the lexicon's that no model span covers, with origin."""
     from tessera.operators.lexicon import uncovered

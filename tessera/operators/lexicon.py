@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.intervals import with_covered
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -96,7 +98,7 @@ def count_terms(text: Column, rules=RULES) -> Column:
 def spans(docs: DataFrame, rules=RULES, severities: tuple = ("hard", "soft"), key: str = "doc_id") -> DataFrame:
     """One row for each hit: key, term, label, severity, start, end."""
     found = find_terms(rules, severities)(F.col("text"))
-    return docs.select(key, F.explode(found).alias("h")).select(key, "h.*")
+    return docs.where(has_terms(F.col("text"), rules, severities)).select(key, F.explode(found).alias("h")).select(key, "h.*")
 
 
 def literal_hits(text: Column, terms: list) -> Column:
@@ -129,8 +131,7 @@ def longest_per_start(hits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def uncovered(hits: DataFrame, cover: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hits that lie inside no span of cover."""
-    c = cover.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return hits.join(c, (hits[key] == c["_k"]) & (c["_s"] <= hits["start"]) & (hits["end"] <= c["_e"]), "left_anti")
+    return with_covered(hits, cover, key).where("not covered").drop("covered")
 
 
 def summary(hits: DataFrame, key: str = "doc_id") -> DataFrame:

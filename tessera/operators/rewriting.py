@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators.intervals import with_holder
 
 
 def splice(text: Column, edits: Column) -> Column:
@@ -65,12 +66,17 @@ def sanitised(rewrite: Column, original: Column) -> Column:
     return F.when(X.is_delete_marker(rewrite), F.lit("[DELETE]")).when(~bad, clean)
 
 
+def holding(parts: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Those of parts(key, paragraph, start, end, ...) that hold one of spans(key, start, end) wholly."""
+    held = with_holder(spans.select(key, "start", "end"), parts, "paragraph", key).select(key, "paragraph").distinct()
+    return parts.join(held, [key, "paragraph"], "left_semi")
+
+
 def paragraph_claims(docs: DataFrame, claims: DataFrame, key: str = "doc_id", separator: str = r"\n{2,}") -> DataFrame:
     """(key, paragraph, start, end, n_claims): claims that lie wholly inside each paragraph; one that crosses a break is in none."""
     parts = docs.select(key, F.posexplode(X.paragraphs(F.col("text"), separator)).alias("paragraph", "p")).select(key, "paragraph", "p.*")
-    c = claims.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (parts[key] == c["_k"]) & (parts["start"] <= c["_s"]) & (c["_e"] <= parts["end"])
-    return parts.join(c, inside, "left").groupBy(key, "paragraph", "start", "end").agg(F.count("_k").alias("n_claims"))
+    n = with_holder(claims.select(key, "start", "end"), parts, "paragraph", key).groupBy(key, "paragraph").agg(F.count("*").alias("n_claims"))
+    return parts.join(n, [key, "paragraph"], "left").select(key, "paragraph", "start", "end", F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
 
 
 def guarded(original: Column, rewritten: Column, new_hits: Column) -> Column:

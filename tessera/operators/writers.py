@@ -9,8 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import exists
+
 NAME_LENGTH = 80
 INVITE_DAYS = 7
 
@@ -74,6 +77,9 @@ def create_invites(invites: DataFrame, wanted: DataFrame, at: str) -> DataFrame:
     open_ = invites.where((F.col("status") == "pending") & (F.col("expires_at") >= F.lit(at).cast("timestamp")))
     old = open_.groupBy("project_id", F.lower("email").alias("_email")).agg(F.min("invite_id").alias("_old"))
     df = wanted.withColumn("_email", F.lower(F.trim("email"))).join(old, ["project_id", "_email"], "left")
+    # of several wanted for one address the least id is made, and given back to the others
+    first = F.min("invite_id").over(W.partitionBy("project_id", "_email"))
+    df = df.withColumn("_old", F.coalesce("_old", F.when(F.col("project_id").isNotNull() & F.col("_email").isNotNull() & (first != F.col("invite_id")), first)))
     stamp = F.lit(at).cast("timestamp")
     return df.select(F.coalesce("_old", "invite_id").alias("invite_id"), "project_id", F.col("_email").alias("email"), "role", "invited_by", F.lit("pending").alias("status"), stamp.alias("invited_at"), (stamp + F.expr(f"interval {INVITE_DAYS} days")).alias("expires_at"), F.col("_old").isNotNull().alias("reused"))
 
@@ -151,12 +157,8 @@ def export_csv(rows: DataFrame, path: str) -> None:
 
 def ensure_table(spark: SparkSession, path: str, schema: str, partition: str) -> DataFrame:
     """The Parquet table at path, made empty with its schema if there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # noqa: BLE001 - only a missing path is answered
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    spark.createDataFrame([], schema).write.partitionBy(partition).parquet(path)
+    if not exists(spark, path):
+        spark.createDataFrame([], schema).write.partitionBy(partition).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -98,7 +98,7 @@ def final_audit(spark, d):
     """The audit of each text (here a user's day)."""
     severity = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "high").when(F.col("event_type") == "click", "medium").when(F.col("event_type") == "view", "low").otherwise("other")
     findings = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day_"), "event_id", severity.alias("severity"), (F.col("event_id") % 11 > 0).alias("model_flag"), F.lit("x").alias("issue"), F.lit(" ").alias("assessment"))
-    return H.audit(findings, ["user_id", "day_"], "event_id")
+    return H.audit(findings, ["user_id", "day_"])
 
 
 @query("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from tessera.sources.tables import shared_dir  # noqa: F401 - queries take it from here
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,14 +20,3 @@ def query(sql: str | None = None, name: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share; a temporary one is set where none is named, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")

@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, on whatever file system it names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from tessera.sources.tables import exists
 
 
 def read_entries(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
