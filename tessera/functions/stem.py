@@ -1,14 +1,10 @@
-"""German Snowball stemmer, from the published algorithm, as a pandas UDF."""
+"""German Snowball stemmer, from the published algorithm, as a Python function of a word."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 VOWELS = "aeiouyäöü"
 # Letters that may stand before a valid s ending and a valid st ending.
 S_ENDING, ST_ENDING = "bdfghklmnrt", "bdfghklmnt"
@@ -70,8 +66,3 @@ def stem(word: str) -> str:
                     w = w[: -len(tail)]
                     break
     return w.lower().translate(str.maketrans("äöü", "aou"))
-
-
-@F.pandas_udf(T.StringType())
-def german_stem(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: None if w is None else stem(w))

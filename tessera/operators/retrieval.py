@@ -12,15 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import query_tokens
+from tessera.operators import postings
 
 RRF_K, TOP, THRESHOLD = 60, 8, 0.45
-# Weights of a term in a chunk's reference and in its snippet.
-FIELD_WEIGHT = {"reference": 1.0, "snippet": 0.4}
-#: Query rows that are searched in one pass over the passages.
-MAX_QUERIES = 10_000
-#: Tokens of a query set, or spellings of them, that are broadcast; above, Spark joins by its own choice.
-MAX_BROADCAST_TOKENS = 200_000
+#: Query rows that are searched in one pass over the passages, and scores that a task holds at once.
+MAX_QUERIES, BLOCK_SCORES = 10_000, 1 << 21
+#: Rows up to which small() marks a side for broadcast; above, Spark joins by its own choice.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,22 +35,26 @@ def top_k(scored: DataFrame, by: list, k: int, order: list) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_top_k(queries: DataFrame, passages: DataFrame, k: int = TOP, threshold: float | None = THRESHOLD) -> DataFrame:
+def vector_top_k(queries: DataFrame, passages: DataFrame, k: int = TOP, threshold: float | None = THRESHOLD, width: int | None = None) -> DataFrame:
     """(query_id, collection, chunk_id, score, rank): queries(query_id, vector) against passages(chunk_id, collection, vector).
 
     The query side is a stated set: MAX_QUERIES of them make a matrix that is multiplied with each
-    batch of passages, of which only a batch's first k for each query and collection are left; a
-    larger set takes more passes. Scores are dot products, so of unit vectors cosines. Passages and
-    queries without a vector, or with one of another length, are in no ranking.
+    batch of passages, BLOCK_SCORES products at a time, of which only a batch's first k for each query
+    and collection are left; a larger set takes more passes. Scores are dot products, so of unit vectors
+    cosines. width is the length of vectors, by default that of most passages (of equals the greater);
+    passages and queries without a vector, or with one of another length, are in no ranking.
     """
     spark, known = queries.sparkSession, queries.where("query_id is not null and vector is not null")
-    rows = known.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        parts = -(-known.count() // MAX_QUERIES) * 2
+    if width is None:
+        most = passages.where("vector is not null").groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
+        width = most["w"] if most else 0
+    known = known.where(F.size("vector") == width)
+    n = known.count()
+    if n > MAX_QUERIES:
+        parts = -(-n // MAX_QUERIES) * 2
         cut = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-        return reduce(DataFrame.unionByName, [vector_top_k(known.where(cut == i), passages, k, threshold) for i in range(parts)])
-    width = max((len(r["vector"]) for r in rows), default=0)
-    rows = [r for r in rows if len(r["vector"]) == width]
+        return reduce(DataFrame.unionByName, [vector_top_k(known.where(cut == i), passages, k, threshold, width) for i in range(parts)])
+    rows = known.collect()
     names, matrix = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float).reshape(len(rows), width)
     sent = spark.sparkContext.broadcast((names, matrix))
     schema = T.StructType([known.schema["query_id"], *[passages.schema[c] for c in ("collection", "chunk_id")], T.StructField("score", T.DoubleType())])
@@ -65,56 +67,41 @@ def vector_top_k(queries: DataFrame, passages: DataFrame, k: int = TOP, threshol
                 continue
             batch = batch.take(pc.sort_indices(batch.column(1)))  # ties go to the least chunk
             vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-            score = matrix @ vectors.T
-            collection = batch.column(0).dictionary_encode()
-            code = collection.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            query, place = [], []
-            for c in np.unique(code).tolist():
-                mine = np.flatnonzero(code == c)
-                part = np.round(score[:, mine], 12)
-                first = np.argsort(-part, axis=1, kind="stable")[:, :k]
-                which = np.repeat(np.arange(len(names)), first.shape[1])
-                good = np.ones(len(which), bool) if threshold is None else score[which, mine[first.ravel()]] >= threshold
-                query.append(which[good])
-                place.append(mine[first.ravel()][good])
-            query, place = np.concatenate(query), np.concatenate(place)
-            kept = batch.take(pa.array(place))
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query.tolist()], ids), kept.column(0), kept.column(1), pa.array(score[query, place])], names=schema.names)
+            code = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            step = max(1, BLOCK_SCORES // batch.num_rows)
+            for a in range(0, len(names), step):
+                query, place, scores = first_of_batch(matrix[a : a + step], vectors, code, k, threshold)
+                kept = batch.take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([pa.array([names[a + i] for i in query.tolist()], ids), kept.column(0), kept.column(1), pa.array(scores)], names=schema.names)
 
     ids = pa.int64() if isinstance(schema[0].dataType, T.LongType) else pa.int32() if isinstance(schema[0].dataType, T.IntegerType) else pa.string()
     found = passages.select("collection", "chunk_id", "vector").mapInArrow(search, schema)
     return top_k(found, ["query_id", "collection"], k, [F.desc(F.round("score", 12)), "chunk_id"])
 
 
-def chunk_tokens(chunks: DataFrame, fields: dict = FIELD_WEIGHT) -> DataFrame:
-    """(chunk_id, token, w): every occurrence of a token in a chunk, with its field's weight."""
-    rows = [chunks.select("chunk_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))).alias("token"), F.lit(w).alias("w")) for f, w in fields.items()]
-    return reduce(DataFrame.unionByName, rows)
+def first_of_batch(matrix: np.ndarray, vectors: np.ndarray, code: np.ndarray, k: int, threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score): the first k vectors of each collection code for each query, in the order that breaks ties."""
+    score, query, place = matrix @ vectors.T, [], []
+    for c in np.unique(code).tolist():
+        mine = np.flatnonzero(code == c)
+        first = np.argsort(-np.round(score[:, mine], 12), axis=1, kind="stable")[:, :k]
+        which = np.repeat(np.arange(len(matrix)), first.shape[1])
+        good = np.ones(len(which), bool) if threshold is None else score[which, mine[first.ravel()]] >= threshold
+        query.append(which[good])
+        place.append(mine[first.ravel()][good])
+    query, place = np.concatenate(query), np.concatenate(place)
+    return query, place, score[query, place]
 
 
-def small(df: DataFrame, rows: int = MAX_BROADCAST_TOKENS) -> DataFrame:
+def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has so few rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def keyword_top_k(queries: DataFrame, chunks: DataFrame, fields: dict = FIELD_WEIGHT, k: int = TOP, stem=None) -> DataFrame:
-    """(query_id, chunk_id, score, rank): queries(query_id, text) matched by any token of chunks' fields.
-
-    Occurrences of other tokens than the queries' are dropped before anything is shuffled. stem, if
-    given, maps a token column; it is applied to the different tokens only.
-    """
-    q = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
-    tokens = chunk_tokens(chunks, fields)
-    if stem is None:
-        tokens = tokens.join(small(q.select("token").distinct()), "token", "left_semi")
-    else:
-        q = q.withColumn("token", stem("token")).distinct()
-        spellings = tokens.select(F.col("token").alias("spelling")).distinct().withColumn("token", stem("spelling"))
-        wanted = spellings.join(small(q.select("token").distinct()), "token", "left_semi")
-        tokens = tokens.withColumnRenamed("token", "spelling").join(small(wanted), "spelling")
-    weights = tokens.groupBy("chunk_id", "token").agg(F.round(F.sum("w"), 6).alias("weight"))
-    scored = weights.join(small(q), "token").groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("score"))
-    return top_k(scored, ["query_id"], k, [F.desc(F.round("score", 6)), "chunk_id"])
+def keyword_top_k(queries: DataFrame, index: DataFrame, k: int = TOP, stem=None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): queries(query_id, text) matched by any token in an index of postings."""
+    found = postings.search(index, queries, k, stem)
+    return top_k(found, ["query_id"], k, [F.desc(F.round("score", 6)), "chunk_id"])
 
 
 def share_of_best(ranked: DataFrame, score: str = "score") -> Column:

@@ -6,9 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.functions.stem import german_stem
+from tessera.functions.stem import stem
 from tessera.functions.text import QUERY_STOP_WORDS
 from tessera.operators import claims as C
+from tessera.operators import postings as P
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query, table
 from tessera.plans.text_queries import located
@@ -39,10 +40,11 @@ def _vectors(spark, d, threshold=LOW):
     return R.vector_top_k(_queries(spark, d).select("query_id", "vector"), _passages(spark, d), threshold=threshold)
 
 
-def _keywords(spark, d, stem=None, k=R.TOP):
+def _keywords(spark, d, stemmer=None, k=R.TOP):
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("snippet"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.keyword_top_k(items, chunks, {"snippet": R.FIELD_WEIGHT["snippet"]}, k, stem)
+    index = P.kept_index(chunks, f"{d}/documents.parquet", {"snippet": P.FIELD_WEIGHT["snippet"]}, stemmer)
+    return R.keyword_top_k(items, index, k, stemmer)
 
 
 @query("with " + _VECTOR.format(t=-2) + " select query_id, collection, chunk_id, round(score, 6) as score, rank from vr")
@@ -62,7 +64,21 @@ def keyword_rank_unstemmed(spark, d):
 
 @query()
 def keyword_rank_stemmed(spark, d):
-    return _keywords(spark, d, german_stem).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    return _keywords(spark, d, stem).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(r"""
+with kt as (select item_id query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 3 and w not in (""" + ", ".join(f"'{w}'" for w in QUERY_STOP_WORDS) + r""")))) token from benchmark),
+w as (select page_id chunk_id, unnest(regexp_extract_all(lower(url), '[\p{L}\p{N}_]+')) token, 1.0 w from pages
+      union all select page_id, unnest(regexp_extract_all(lower(html), '[\p{L}\p{N}_]+')), 0.4 from pages),
+s as (select query_id, chunk_id, sum(w) score from kt join w using (token) group by 1, 2)
+select query_id, chunk_id, cast(round(score, 4) as double) as score, row_number() over (partition by query_id order by round(score, 6) desc, chunk_id) as rank from s qualify rank <= 8""")
+def keyword_rank_two_fields(spark, d):
+    """Pages by keywords of benchmark items: a word in the address weighs 1.0, one in the page 0.4."""
+    chunks = table(spark, d, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("reference"), F.col("html").alias("snippet"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = R.keyword_top_k(items, P.kept_index(chunks, f"{d}/pages.parquet"))
+    return found.select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _rankings(spark, d):
