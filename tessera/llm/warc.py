@@ -2,9 +2,11 @@
 
 ARC: a version block names the version, whose record lines have five fields (1) or ten (2); the
 last field declares the content's length in bytes, by which records are cut. Each content is an
-HTTP response. WARC 1.1: identifiers are synthesised from payload digest and page id, dates from the
+HTTP response. WARC 1.1: identifiers are synthesised from the payload digest, the page id, and the ARC
+file and the place in it that a record comes from, so no two records share one; dates come from the
 14-digit ARC dates, block and payload digests are SHA-256. Of records with equal payloads of at least
-DEDUP_BYTES bytes the one with the least page id is a response, others are revisits that refer to it.
+DEDUP_BYTES bytes the one with the least page id is a response, others are revisits that refer to it
+by identifier, address and date.
 
 Spark's text writer writes the archives, one gzipped file for about SEGMENT_BYTES of records (a
 segment is one row), and its binary reader reads them, so any file system that Spark knows will do.
@@ -27,6 +29,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ SEGMENT_BYTES = 8 << 20
 ARC_FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 ARC_ORIGIN = {1: "1 0 tessera", 2: "2 0 tessera"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEAD_SCHEMA = "file string, place int, page_id long, payload_bytes long, payload_digest string"
+HEAD_SCHEMA = "file string, place int, page_id long, payload_bytes long, payload_digest string, url string, date string"
 PAGE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
 
 
@@ -102,8 +105,9 @@ def read_arc(data: bytes):
         at = stop
 
 
-def record_uri(digest: str, page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(hashlib.sha256(f'{digest}|{page_id}'.encode()).hexdigest()[:32])}>"
+def record_uri(*origin) -> str:
+    """An identifier from what a record is and where it comes from."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.sha256('|'.join(map(str, origin)).encode()).hexdigest()[:32])}>"
 
 
 def warc_date(arc_date: str) -> str:
@@ -116,14 +120,15 @@ def warc_record(kind: str, fields: dict, block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + b"\r\n" + block
 
 
-def converted(url: str, ip: str, date: str, content: bytes, refers_to: int | None) -> bytes:
-    """The WARC record of one ARC record; refers_to is the page id of the response, for a revisit."""
+def converted(file: str, place: int, url: str, ip: str, date: str, content: bytes, refers_to: dict | None) -> bytes:
+    """The WARC record of one ARC record; refers_to tells page_id, file, place, url and date of the response, for a revisit."""
     head, _, payload = content.partition(b"\r\n\r\n")
-    digest, page = hashlib.sha256(payload).hexdigest(), page_of(head)
-    fields = {"WARC-Record-ID": record_uri(digest, page), "WARC-Date": warc_date(date), "WARC-Target-URI": url, "WARC-IP-Address": ip, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
+    digest = hashlib.sha256(payload).hexdigest()
+    fields = {"WARC-Record-ID": record_uri(digest, page_of(head), file, place), "WARC-Date": warc_date(date), "WARC-Target-URI": url, "WARC-IP-Address": ip, "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http; msgtype=response"}
     if refers_to is None:
         return warc_record("response", fields, content)
-    refers = {"WARC-Profile": REVISIT, "WARC-Refers-To": record_uri(digest, refers_to), "WARC-Refers-To-Page": refers_to}
+    r = refers_to
+    refers = {"WARC-Profile": REVISIT, "WARC-Refers-To": record_uri(digest, r["page_id"], r["file"], r["place"]), "WARC-Refers-To-Target-URI": r["url"], "WARC-Refers-To-Date": warc_date(r["date"]), "WARC-Refers-To-Page": r["page_id"]}
     return warc_record("revisit", fields | refers, head + b"\r\n\r\n")
 
 
@@ -190,7 +195,7 @@ def write_arc(pages: DataFrame, path: str, ip: str = "0.0.0.0", date: str = "202
             for batch in batches:
                 for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                     version = 1 + number % 2
-                    held = held or [arc_preamble(version, f"pages-{number}.arc", date)]
+                    held = held or [arc_preamble(version, f"pages-{TaskContext.get().partitionId():05d}-{number:05d}.arc", date)]
                     held.append(arc_record(version, page_id, url, (html or "").encode(), ip, date))
                     size += len(held[-1])
                     if size >= segment:
@@ -209,13 +214,13 @@ def arc_heads(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches):
         names = [f.split()[0] for f in HEAD_SCHEMA.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for place, (*_, body) in enumerate(read_arc(inflate(content.as_py()))):
+                for place, (_, url, _, date, body) in enumerate(read_arc(inflate(content.as_py()))):
                     head, _, payload = body.partition(b"\r\n\r\n")
-                    rows.append((file, place, page_of(head), len(payload), hashlib.sha256(payload).hexdigest()))
+                    rows.append((file, place, page_of(head), len(payload), hashlib.sha256(payload).hexdigest(), url, date))
                 columns = zip(*rows) if rows else [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
@@ -223,29 +228,32 @@ def arc_heads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def revisits(heads: DataFrame) -> DataFrame:
-    """(file, places): of each file the records that are revisits, with the page id of their response; at most as many as its records."""
+    """(file, places): of each file the records that are revisits, and what they refer to; at most as many as its records."""
     heads = materialise(heads.where(f"payload_bytes >= {DEDUP_BYTES}").drop("payload_bytes"), "arc-heads")
-    first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    other = heads.join(first.drop("n"), "payload_digest").where("not page_id <=> first")
+    origin = F.struct("page_id", "file", "place", "url", "date")
+    first = heads.groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), origin)).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    other = heads.join(first.drop("n"), "payload_digest").where("not page_id <=> first.page_id")
     return other.groupBy("file").agg(F.collect_list(F.struct("place", "first")).alias("places"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, segment: int = SEGMENT_BYTES) -> None:
     """Convert ARC files to WARC files with revisit records."""
     found = materialise(revisits(arc_heads(spark, arc_path)), "arc-revisits")
-    joined = read_files(spark, arc_path).join(found, "file", "left").select("content", "places.place", "places.first")
+    joined = read_files(spark, arc_path).join(found, "file", "left").select("file", "content", "places")
 
     def build(batches):
+        task = TaskContext.get().partitionId()
+
         def info(number):
             text = b"software: tessera\r\nformat: WARC file version 1.1\r\n"
-            return warc_record("warcinfo", {"WARC-Record-ID": record_uri("warcinfo", number), "WARC-Date": warc_date("20240101"), "Content-Type": "application/warc-fields"}, text)
+            return warc_record("warcinfo", {"WARC-Record-ID": record_uri("warcinfo", warc_path, task, number), "WARC-Date": warc_date("20240101"), "Content-Type": "application/warc-fields"}, text)
 
         def records():
             for batch in batches:
-                for content, place, first in zip(*batch.columns):
-                    refers = dict(zip(place.as_py() or [], first.as_py() or []))
+                for file, content, places in zip(*batch.columns):
+                    refers = {p["place"]: p["first"] for p in places.as_py() or []}
                     for i, (_, url, ip, date, body) in enumerate(read_arc(inflate(content.as_py()))):
-                        yield converted(url, ip, date, body, refers.get(i))
+                        yield converted(file.as_py(), i, url, ip, date, body, refers.get(i))
 
         yield from _text_batches(_segments(records(), info, segment, b"\r\n\r\n"))
 
