@@ -11,7 +11,8 @@ document, different values different ones.
                distance from the right ones. Invalid ones with fewer than eight digits stay
     phone      + and a country code, North American and German national forms: the digits after the
                country code or leading zero are permuted; punctuation stays
-    ssn        nine digits are permuted
+    ssn        numbers that can be are permuted among those (area 001 to 899 but 666, group and serial not
+               zero); of others the parts that can't be stay so, and what is left is permuted
     ip         the 32 bits of an address are permuted; of IPv6 both halves of 64 bits, written in full
     date       days from 1900-01-01 on, DAYS of them, are permuted; the form of writing stays, and the
                same day written in two forms maps to the same day. In day/month/year with a day over 12
@@ -21,9 +22,13 @@ E-mail addresses and hexadecimal secrets of 32 digits or more are no numbers: th
 digests of the same form (an address with 128 bits, as many hexadecimal digits), linked across
 documents too.
 
+Runs of ten digits without a separator are taken for no phone number. A phone number, address, date or
+social security number is found after a letter too (SSN123-45-6789), the other forms aren't.
+
 Defined cases: null stays null and has no entities; an empty text stays empty. A date that doesn't
 exist or lies outside the range stays. Texts of any length are handled whole. Rows are never
-dropped; columns other than the text stay as they are, and the added count takes a name that is free.
+dropped; columns other than the text stay as they are, and the added count, of the matches that were
+replaced by another text, takes a name that is free.
 """
 
 from __future__ import annotations
@@ -44,18 +49,22 @@ FIRST_DAY = "1900-01-01"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
 FORMS = {
-    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
-    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "ip6": rf"(?<!:)(?=[A-Fa-f:]*\d)(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,5}})?::(?:{_GROUPS}{{0,5}})?)(?![0-9A-Za-z:]|\.\d)",
-    "phone": r"(?<![+.-])(?:\+(?=(?:[ ./()-]{0,2}\d){7})\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,6}(?!\d)|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?:\(0\d{2,4}\) ?|0\d{2,4}[ /-])\d{5,8}(?!\d))",
-    "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "date": r"(?<![./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])",
-    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\.)(?:(?:\d{4}[ -]){3}\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
+    "email": r"(?<![0-9A-Za-z._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "ip6": rf"(?<![0-9A-Za-z:])(?=[A-Fa-f:]*\d)(?:{_GROUPS}{{7}}|(?:{_GROUPS}{{0,5}})?::(?:{_GROUPS}{{0,5}})?)(?![0-9A-Za-z:]|\.\d)",
+    "phone": r"(?<![0-9+.-])(?:\+(?=(?:[ ./()-]{0,2}\d){7})\d{1,3}(?:[ ./-]?\(?\d{1,5}\)?){2,6}(?!\d)|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?:\(0\d{2,4}\) ?|0\d{2,4}[ /-])\d{5,8}(?!\d))",
+    "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "date": r"(?<![0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])",
+    "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?<![0-9A-Za-z.])(?:(?:\d{4}[ -]){3}\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
 }
-#: No form begins inside a word or a number, which rules most places out at once.
-PATTERN = "(?<![0-9A-Za-z])(?:" + "|".join(FORMS.values()) + ")"
+#: Each form looks behind itself: names, keys and runs of digits begin at no letter or digit, but phones,
+#: addresses, dates and social security numbers may follow a letter. The last group begins with one of few characters.
+_WORDS, _NUMBERS = ("secret", "iban", "ip6"), ("phone", "ip", "date", "ssn", "card")
+PATTERN = "|".join([FORMS["email"], "(?=[0-9A-Fa-f:A-Z])(?:" + "|".join(FORMS[k] for k in _WORDS) + ")", r"(?=[0-9(+])(?:" + "|".join(FORMS[k] for k in _NUMBERS) + ")"])
+#: The area numbers of no social security number, besides all from 900.
+NO_AREA = (0, 666)
 #: Country codes of one and two digits; all others have three.
 COUNTRY_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Months of the range that are permuted for day/month/year.
@@ -242,6 +251,28 @@ def day_first(key: str, match: Column) -> Column:
     return F.when(real & d.between(13, 28) & months.between(0, MONTHS - 1), new_early).when(real & (d > 28) & (m != 2) & y.between(1900, 2099), new_late).otherwise(match)
 
 
+def ssn(key: str, match: Column) -> Column:
+    """Area, group and serial number; each of the four kinds (area that can be or not, group zero, serial zero) is permuted within itself."""
+    a, g, n = (F.regexp_extract(match, r"^(\d{3})-(\d{2})-(\d{4})$", i).try_cast("int") for i in (1, 2, 3))
+    low, high = NO_AREA
+    real = (a != low) & (a != high) & (a < 900)
+    place = F.when(a < high, a - 1).otherwise(a - 2)  # among the 898 areas that can be
+    area = lambda i: F.when(i < high - 1, i + 1).otherwise(i + 2)
+    odd_place = F.when(a == low, 0).when(a == high, 1).otherwise(a - 898)
+    odd_area = lambda i: F.when(i == 0, low).when(i == 1, high).otherwise(i + 898)
+    text = lambda x, y, z: F.format_string("%03d-%02d-%04d", x.cast("int"), y.cast("int"), z.cast("int"))
+    whole = feistel(key, "ssn", place * 99 + g - 1, n - 1, F.lit(898 * 99), F.lit(9999))
+    no_area = feistel(key, "ssn area", odd_place * 100 + g, n, F.lit(102 * 100), F.lit(10_000))
+    no_group = feistel(key, "ssn group", place, n, F.lit(898), F.lit(10_000))
+    no_serial = feistel(key, "ssn serial", place, g - 1, F.lit(898), F.lit(99))
+    return (
+        F.when(~real, let(no_area, lambda p: text(odd_area(F.floor(p["a"] / 100)), p["a"] % 100, p["b"])))
+        .when(g == 0, let(no_group, lambda p: text(area(p["a"]), F.lit(0), p["b"])))
+        .when(n == 0, let(no_serial, lambda p: text(area(p["a"]), p["b"] + 1, F.lit(0))))
+        .otherwise(let(whole, lambda p: text(area(F.floor(p["a"] / 99)), p["a"] % 99 + 1, p["b"] + 1)))
+    )
+
+
 def secret(key: str, match: Column) -> Column:
     n = F.length(match)
     own = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), F.lower(match)), 256)
@@ -258,7 +289,7 @@ def pseudonym(key: str, match: Column) -> Column:
     """A match's pseudonym, by the first form that it has as a whole."""
     whole = lambda kind: match.rlike(r"^(?:" + FORMS[kind] + ")$")
     makers = {"email": email, "secret": secret, "iban": iban, "ip6": ip6, "phone": phone, "ip": ip, "date": date, "card": card}
-    result = filled(match, permute_digits(key, "ssn", _digits(match)))
+    result = ssn(key, match)
     for kind in reversed(list(makers)):
         result = F.when(whole(kind), makers[kind](key, match)).otherwise(result)
     return result
@@ -273,14 +304,15 @@ def free_name(name: str, df: DataFrame) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, column: str = "text", count: str = "n_pii") -> DataFrame:
-    """docs with the column's matches replaced, and their number (null text: 0) as count, or count with underscores added where docs has that name."""
-    temporary, count = free_name("_found", docs), free_name(count, docs)
-    found = F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0))
-    df = docs.withColumn(temporary, found).withColumn(count, F.coalesce(F.size(temporary), F.lit(0)).cast("long"))
+    """docs with the column's matches replaced, and the number of those replaced (null text: 0) as count, or count with underscores added where docs has that name."""
+    found, fresh, count = free_name("_found", docs), free_name("_fresh", docs), free_name(count, docs)
+    df = docs.withColumn(found, F.regexp_extract_all(F.col(column), F.lit(PATTERN), F.lit(0)))
+    df = df.withColumn(fresh, F.transform(found, lambda m: pseudonym(key, m)))
+    changed = F.filter(F.zip_with(found, fresh, lambda m, new: m != new), lambda x: x)
     gaps = F.split(F.col(column), PATTERN, -1)
-    new = F.transform(temporary, lambda m: pseudonym(key, m))
-    joined = F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
-    return df.withColumn(column, F.when(F.size(temporary) > 0, joined).otherwise(F.col(column))).drop(temporary)
+    joined = F.array_join(F.flatten(F.zip_with(gaps, fresh, lambda g, m: F.array(g, F.coalesce(m, F.lit(""))))), "")
+    df = df.withColumn(count, F.coalesce(F.size(changed), F.lit(0)).cast("long"))
+    return df.withColumn(column, F.when(F.size(found) > 0, joined).otherwise(F.col(column))).drop(found, fresh)
 
 
 def op8_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,11 +82,32 @@ def test_warc_odd_pages(spark, tmp_path):
         assert sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"]) for r in got) == sorted((p or 0, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for p, _, h in rows)
         kinds = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 120)
         assert kinds == [(0, "revisit", 2), (2, "response", None), (2, "response", None), (3, "revisit", 2)]
+        check_identifiers(spark, at)
+    many = pages.repartition(5)
+    warc.write_arc(many, f"file://{tmp_path}/many/arc", segment=300)
+    warc.convert(spark, f"file://{tmp_path}/many/arc", f"file://{tmp_path}/many/warc", 300)
+    check_identifiers(spark, f"file://{tmp_path}/many")
     warc.write_arc(pages.limit(0), f"file://{tmp_path}/none")
     warc.convert(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/none-warc")
     assert warc.warc_pages(spark, f"file://{tmp_path}/none-warc").collect() == []
 
 
+def check_identifiers(spark, at):
+    """All records of a run, warcinfo included, have different ids, revisits name the response they refer to, and ARC files differ in name."""
+    heads = [h for r in warc.read_files(spark, f"{at}/warc").collect() for h, _ in warc.read_warc(warc.inflate(r["content"]))]
+    value = lambda h, name: warc.header_value(h, name)
+    ids = [value(h, "WARC-Record-ID") for h in heads]
+    assert len(set(ids)) == len(ids)
+    responses = {value(h, "WARC-Record-ID"): h for h in heads if value(h, "WARC-Type") == "response"}
+    for h in heads:
+        if value(h, "WARC-Type") == "revisit":
+            to = responses[value(h, "WARC-Refers-To")]
+            assert value(h, "WARC-Payload-Digest") == value(to, "WARC-Payload-Digest")
+            assert value(h, "WARC-Refers-To-Target-URI") == value(to, "WARC-Target-URI") and value(h, "WARC-Refers-To-Date") == value(to, "WARC-Date")
+    names = [warc.inflate(r["content"]).split(b" ", 1)[0] for r in warc.read_files(spark, f"{at}/arc").collect()]
+    assert len(set(names)) == len(names)
+
+
 def test_arc_versions_and_errors():
     for version in (1, 2):
         data = warc.arc_preamble(version, "a", "20240102030405") + b"\n" + warc.arc_record(version, 4, "http://x/a b", b"p\nq", "1.2.3.4", "20240102030405") + b"\n"
@@ -346,13 +367,27 @@ def python_feistel(key, kind, a, b, sizes):
 
 
 def test_pii_permutes_like_brute_force_and_one_to_one(spark):
-    numbers = [f"{i:03d}-{j:02d}-{i * 7 % 10000:04d}" for i in range(60) for j in (1, 7)]
+    numbers = [f"{a:03d}-{g:02d}-{n:04d}" for a in (0, 1, 7, 665, 666, 667, 899, 900, 999) for g in (0, 1, 99) for n in (0, 1, 9999)]
     df = spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii_feistel.pseudonymise(df, "k").collect()}
-    for i, n in enumerate(numbers):
-        d = n.replace("-", "")
-        a, b = python_feistel("k", "ssn", int(d[:4]), int(d[4:]), (10**4, 10**5))
-        assert out[i].replace("-", "") == f"{a:04d}{b:05d}"
+    areas = [a for a in range(1, 900) if a != 666]
+    others = [0, 666, *range(900, 1000)]
+    for i, number in enumerate(numbers):
+        a, g, n = map(int, number.split("-"))
+        if a in others:
+            x, y = python_feistel("k", "ssn area", others.index(a) * 100 + g, n, (10_200, 10_000))
+            want = (others[x // 100], x % 100, y)
+        elif g == 0:
+            x, y = python_feistel("k", "ssn group", areas.index(a), n, (898, 10_000))
+            want = (areas[x], 0, y)
+        elif n == 0:
+            x, y = python_feistel("k", "ssn serial", areas.index(a), g - 1, (898, 99))
+            want = (areas[x], y + 1, 0)
+        else:
+            x, y = python_feistel("k", "ssn", areas.index(a) * 99 + g - 1, n - 1, (898 * 99, 9999))
+            want = (areas[x // 99], x % 99 + 1, y + 1)
+        assert out[i] == "%03d-%02d-%04d" % want
+    assert len(set(out.values())) == len(numbers)
     pairs = {python_feistel("k", "date", a, b, (7, 9)) for a in range(7) for b in range(9)}
     assert len(pairs) == 63
 
@@ -411,6 +446,24 @@ def test_pii_other_forms(spark):
         assert (a > 12) == (int(t[:2]) > 12)
 
 
+def test_pii_after_a_letter(spark):
+    """What a letter stands before is found as it would be alone; names, keys and long numbers aren't taken out of words."""
+    forms = ["123-45-6789", "555-123-4567", "(555) 123-4567", "+1-555-123-4567", "+49 30 1234567", "030/1234567", "2024-01-02", "2024/01/02", "02.01.2024", "01/02/2024", "31/12/2024", "10.0.0.1"]
+    stays = ["4111111111111111", "DE89370400440532013000", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "2001:db8::1"]
+    rows = [f"{glue}{f}" for f in forms + stays for glue in (" ", "ü", "id", "SSN")]
+    out = dict(zip(rows, [r["text"] for r in pii_feistel.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]))
+    for f in forms:
+        alone = out[f" {f}"][1:]
+        assert alone != f and all(out[f"{glue}{f}"] == glue + alone for glue in ("ü", "id", "SSN")), f
+    assert all(out[f"id{f}"] == f"id{f}" and out[f" {f}"] != f" {f}" for f in stays)
+
+
+def test_pii_counts_what_it_replaced(spark):
+    texts = ["2024-02-30 and 123-45-6789", "31/04/2020", "AB12 CDEF GHIJ", "a@b.example b@b.example", None, "nothing"]
+    out = pii_feistel.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r["n_pii"] for r in out] == [1, 0, 0, 2, 0, 0]
+
+
 def test_pii_keeps_columns_whose_names_it_uses(spark):
     docs = spark.createDataFrame([(1, "4111111111111111", "a", "b"), (2, None, "c", "d")], "doc_id long, text string, _found string, n_pii string")
     out = pii_feistel.pseudonymise(docs, "k").orderBy("doc_id").collect()
