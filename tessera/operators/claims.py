@@ -23,10 +23,15 @@ def locate(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame
 SHORTEST, LONGEST = 50, 50_000
 
 
-def input_code(text: Column, german: Column) -> Column:
-    """What is wrong with an input, or ok: too short, too long, not German."""
+def size_code(text: Column) -> Column:
+    """Whether a text's length fits: too short, too long, or ok."""
     n = F.length(F.trim(F.coalesce(text, F.lit(""))))
-    return F.when(n < SHORTEST, "input_too_short").when(n > LONGEST, "input_too_long").when(~german, "not_german").otherwise("ok")
+    return F.when(n < SHORTEST, "input_too_short").when(n > LONGEST, "input_too_long").otherwise("ok")
+
+
+def input_code(sized: Column, german: Column) -> Column:
+    """What is wrong with an input of a size code, or ok: its length, else that it isn't German."""
+    return F.when(sized != "ok", sized).when(~german, "not_german").otherwise("ok")
 
 
 def candidates(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:

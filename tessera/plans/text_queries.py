@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import language as G
 from tessera.functions import text as X
 from tessera.operators import claims as C
+from tessera.operators import languages as G
 from tessera.operators import lexicon as L
 from tessera.operators import rewriting as R
 from tessera.plans.registry import query, table
+from tessera.sources.tables import materialise
 
 #: A lexicon of words that the corpus has; the German one is for German texts.
 TERMS = ["license", "licensed", "public license", "public", "worthless", "idiot", "token"]
@@ -21,26 +22,41 @@ spans as (select doc_id, text, term, start, start + length(term) "end" from (
   select doc_id, text, term, i, n, cast(sum(length(gap)) over (partition by doc_id, term order by i) + (i - 1) * length(term) as integer) start from cut) where i < n)"""
 
 
-_COMMON_SQL = "select doc_id, text, " + ", ".join(f"len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), lambda w: w in ({', '.join(repr(w) for w in words)}))) {code}" for code, words in G.COMMON.items()) + " from documents"
-_CODES = list(G.COMMON)
-_PRIMARY_SQL = f"case when greatest({', '.join(_CODES)}) = 0 then 'unknown' " + " ".join(f"when {c} = greatest({', '.join(_CODES)}) then '{c}'" for c in _CODES) + " end"
-_GERMAN_SQL = f"{' + '.join(_CODES)} > 0 and de >= {G.GERMAN} * ({' + '.join(_CODES)})"
+# Trigrams, profiles and scores of all texts of t(doc_id, text, lang), as operators.languages has them.
+_LANGUAGE_SQL = f"""
+s as (select row_number() over () rid, doc_id, text, lang, string_split(' ' || regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g') || ' ', '') c from t),
+g as (select rid, lang, gram from (select rid, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: case when c[i + 1] <> ' ' then c[i] || c[i + 1] || c[i + 2] end)) gram from s) where gram is not null),
+n as (select lang, gram, count(*) n from g where lang is not null group by 1, 2),
+total as (select lang, sum(n) total from n group by 1),
+chosen as (select distinct gram from (select gram, row_number() over (partition by lang order by n desc, gram) k from n) where k <= {G.GRAMS}),
+w as (select gram, lang, cast(round(1000 * ln((coalesce(n, 0) + 0.5) / total)) as bigint) weight from chosen cross join total left join n using (lang, gram)),
+sc as (select rid, w.lang, cast(sum(m * weight) as bigint) s from (select rid, gram, count(*) m from g group by 1, 2) join w using (gram) group by 1, 2),
+best as (select rid, min(lang) filter (where s = top) language, 1 / sum(exp((s - top) / 1000.0)) confidence from (select *, max(s) over (partition by rid) top from sc) group by 1),
+found as (select s.doc_id, s.text, coalesce(language, '{G.UNKNOWN}') "language", coalesce(language = '{G.GERMAN}' and confidence >= {G.GATE}, false) german from s left join best using (rid))"""
 
 
-@query(f"with c as ({_COMMON_SQL}) select doc_id, {_PRIMARY_SQL} as language, {_GERMAN_SQL} as german from c")
+def _profiles(spark, texts):
+    """Profiles of all languages, counted once over all texts and stored."""
+    return materialise(G.profiles(texts.select("lang", "text")), "languages")
+
+
+@query(f"with t as (select * from documents), {_LANGUAGE_SQL} select doc_id, language, german from found")
 def language_detect(spark, d):
-    """The language of each document's text, and whether it passes the German gate."""
-    df = table(spark, d, "documents").select("doc_id", G.common_words(F.col("text")).alias("n"))
-    return df.select("doc_id", G.primary_language(F.col("n")).alias("language"), G.is_german(F.col("n")).alias("german"))
+    """The language of each document's text by trigrams of all documents, and whether it passes the German gate."""
+    docs = table(spark, d, "documents")
+    found = G.detect(docs, _profiles(spark, docs), ["doc_id"])
+    return found.select("doc_id", "language", G.is_german(F.col("language"), F.col("confidence")).alias("german"))
 
 
 @query(f"""
-with c as ({_COMMON_SQL})
-select doc_id, case when length(trim(text)) < 50 then 'input_too_short' when length(trim(text)) > 50000 then 'input_too_long' when not ({_GERMAN_SQL}) then 'not_german' else 'ok' end as code from c""")
+with t as (select doc_id, text, lang from documents), {_LANGUAGE_SQL}
+select doc_id, case when length(trim(text)) < 50 then 'input_too_short' when length(trim(text)) > 50000 then 'input_too_long' when not german then 'not_german' else 'ok' end as code from found""")
 def length_language_gate(spark, d):
     """The gate of an analysis on normalised texts: length, then the language of the text itself."""
-    df = table(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("text"))
-    return df.select("doc_id", C.input_code(F.col("text"), G.is_german(G.common_words(F.col("text")))).alias("code"))
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", X.normalise(F.col("text")).alias("text")).withColumn("sized", C.size_code(F.col("text")))
+    found = G.detect(rows, _profiles(spark, docs), ["doc_id", "sized"])
+    return found.select("doc_id", C.input_code(F.col("sized"), G.is_german(F.col("language"), F.col("confidence"))).alias("code"))
 
 
 @query(r"""

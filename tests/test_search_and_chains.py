@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tessera import catalogue
 from tessera.functions import embedding
 from tessera.functions import formatting as M
-from tessera.functions import language as G
 from tessera.functions import text as X
 from tessera.functions.stem import stem
 from tessera.operators import chains as H
@@ -105,15 +104,6 @@ def test_offsets_are_those_of_the_text(spark):
     assert [(r["start"], r["end"], r["spelled"]) for r in L.literal_spans(docs, ["license"]).orderBy("start").collect()] == [(3, 10, "License"), (15, 22, "LICENSE")]
 
 
-def test_language(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300")
-    rows = docs.select("lang", G.primary_language(G.common_words(F.col("text"))).alias("found")).collect()
-    assert sum(r["lang"] == r["found"] for r in rows) / len(rows) > 0.95
-    for text, code, german in ((None, "unknown", False), ("", "unknown", False), ("Das ist ein Text und nicht mehr", "de", True), ("This is a text and not more", "en", False)):
-        n = G.common_words(F.lit(text).cast("string"))
-        assert (one(spark, G.primary_language(n)), one(spark, G.is_german(n))) == (code, german)
-
-
 def test_repairs_and_quotes_have_no_limit(spark):
     text = "é ü"
     for _ in range(4):
