@@ -17,7 +17,7 @@ from tessera.operators import store as S
 from tessera.plans import knowledge as K
 from tessera.plans.registry import query, shared_dir, table
 from tessera.sources import prompts, register, regulation, web
-from tessera.streaming import limiter, scan
+from tessera.streaming import fanout, limiter, quota, scan
 
 AS_OF = "2024-01-20 00:00:00"
 
@@ -214,6 +214,44 @@ def streaming_limiter(spark, d):
     return out.select("event_id", F.col("used").cast("long").alias("used"), "allowed")
 
 
+_QUOTA_SQL = """
+with a as (select event_id, user_id, ts, strftime(ts, '%Y-%m') as month, case when event_type = 'error' then -1 else 1 end amount from events),
+s as (select *, sum(amount) over (partition by user_id, month order by ts, event_id) s from a),
+r as (select *, greatest(0, max(s - 20) over (partition by user_id, month order by ts, event_id)) r from s)
+select event_id, month, r = coalesce(lag(r) over (partition by user_id, month order by ts, event_id), 0) as allowed, cast(s - r as bigint) as used, cast(20 - s + r as bigint) as remaining from r"""
+
+
+@query(_QUOTA_SQL)
+def quota_calls(spark, d):
+    """Each call against a monthly quota of 20, errors as refunds: whether it is allowed and what is left."""
+    usage = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "error", -1).otherwise(1).alias("amount"))
+    return quota.charged(usage, 20).select("event_id", "month", "allowed", F.col("used").cast("long").alias("used"), F.col("remaining").cast("long").alias("remaining"))
+
+
+@query(_QUOTA_SQL)
+def streaming_quota(spark, d):
+    """The same over a stream with kept state for each user and month; the whole table is one micro-batch."""
+    events = scan.read_stream(spark, *_folder(f"{d}/events.parquet"), table(spark, d, "events").schema)
+    usage = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(F.col("event_type") == "error", -1).otherwise(1).alias("amount"))
+    return _streamed(spark, quota.charged_stream(usage, 20)).select("event_id", "month", "allowed", "used", "remaining")
+
+
+@query("""
+select 'profiles' as table_, c_custkey as user_id, 'default-' || c_custkey as project_id from customer
+union all select 'projects', c_custkey, 'default-' || c_custkey from customer union all select 'members', c_custkey, 'default-' || c_custkey from customer""")
+def streaming_sign_up(spark, d):
+    """New users as a stream into three tables, each micro-batch once."""
+    users = scan.read_stream(spark, *_folder(f"{d}/customer.parquet"), table(spark, d, "customer").schema)
+    users = users.select(F.col("c_custkey").cast("long").alias("user_id"), F.concat("c_name", F.lit("@x.org")).alias("email"), F.lit("").alias("display_name"))
+    at = f"{shared_dir(spark)}/sign-up-{uuid.uuid4().hex}"
+    fanout.sign_ups(users, f"{at}/tables", f"{at}/checkpoint", "2024-01-20").awaitTermination()
+    rows = {name: fanout.read(spark, f"{at}/tables", name, kind) for name, kind in fanout.SIGN_UP.items()}
+    own = F.substring_index("project_id", "-", -1).cast("long")
+    shown = {"profiles": ("user_id", "active_project"), "projects": (own, "project_id"), "members": ("user_id", "project_id")}
+    parts = [rows[name].select(F.lit(name).alias("table_"), (F.col(user) if isinstance(user, str) else user).alias("user_id"), F.col(project).alias("project_id")) for name, (user, project) in shown.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _folder(path: str) -> tuple:
     """Streams read folders: a table that is one file is named through a glob of its own name."""
     head, tail = path.rsplit("/", 1)

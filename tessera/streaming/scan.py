@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tessera.operators.lexicon import RULES, spans
 
@@ -29,6 +30,8 @@ def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     return windowed.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("hour"), "event_type", "n", "value")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """All that is there now, then stop."""
-    stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Write all that is there now, then stop; the ended query, which tells its progress."""
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
