@@ -422,7 +422,7 @@ def register_entries(spark, d):
 with l as (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) - 1 n from documents),
 k as (select doc_id, t, n, row_number() over (partition by doc_id order by n) i from (select doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) t, n from l) where length(t) > 10)
 select cast(doc_id as varchar) as doc, 'vo432-' || lpad(cast(i as varchar), cast(greatest(3, length(cast(i as varchar))) as integer), '0') as id,
-       nullif(trim(regexp_extract(t, '^([A-ZÄÖÜ][\wÄäÖöÜüß \-]{{2,40}}?)\s+(?:{"|".join(X.CLAIM_VERBS)})', 1)), '') as nutrient, t as claim_de,
+       nullif(trim(regexp_extract(t, '{X.NUTRIENT_HINT}', 1)), '') as nutrient, t as claim_de,
        nullif(concat_ws(' — ', case when n % 2 = 0 then 'nur so' end, case when n % 3 = 0 then 'Beschränkungen: keine' end), '') as conditions from k""")
 def annex_rows(spark, d):
     """Lines of documents as rows of an annex's table."""
