@@ -143,6 +143,17 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, k: int = 8) -> DataFrame:
     return relevant.select("query_id").distinct().join(hits, "query_id", "left").agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
 
 
+def failures(evaluations: DataFrame, by: list, failed: Column) -> DataFrame:
+    """For each group whether any evaluation failed, and how many."""
+    return evaluations.groupBy(*by).agg(F.coalesce(F.bool_or(failed), F.lit(False)).alias("partial"), F.count_if(failed).alias("failed"))
+
+
+def verification_counts(entries: DataFrame, status: str = "verification_status", default: str = "verified") -> DataFrame:
+    """Entries by verification status; the default where none is given."""
+    given = F.when(F.trim(status) != "", F.trim(status))
+    return entries.groupBy(F.coalesce(given, F.lit(default)).alias("status")).agg(F.count("*").alias("n"))
+
+
 def problems(claims: DataFrame) -> DataFrame:
     return claims.where(~F.col("status").eqNullSafe(F.lit("allowed")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,10 +23,43 @@ class Rule:
     pattern: str
     claim_type: str
     example: str
+    stems: tuple = ()
 
 
-def _rule(label: str, severity: str, category: str, body: str, example: str, claim_type: str | None = None) -> Rule:
-    return Rule(label, severity, category, body, claim_type or ("disease_based" if severity == "hard" else "wellbeing_based"), example)
+def _rule(label: str, severity: str, category: str, body: str, example: str, claim_type: str | None = None, stems: tuple | None = None) -> Rule:
+    return Rule(label, severity, category, body, claim_type or ("disease_based" if severity == "hard" else "wellbeing_based"), example, stems_of(body) if stems is None else stems)
+
+
+def stems_of(pattern: str) -> tuple:
+    """The literals, in lower case, with one of which every match of a pattern begins; none if that can't be told.
+
+    Known are patterns that begin with a word edge and then letters, or a group of such alternatives; an
+    optional last letter, and what follows a bracket, brace or other sign, is left off.
+    """
+    body = pattern.removeprefix(r"\b")
+    if body.startswith("(?:"):
+        depth, end, starts = 0, None, [3]
+        for i, c in enumerate(body):
+            depth += (c == "(") - (c == ")")
+            if c == "|" and depth == 1:
+                starts.append(i + 1)
+            if c == ")" and depth == 0:
+                end = i
+                break
+        if end is None or body[end + 1 : end + 2] in ("?", "*", "{"):
+            return ()
+        parts = [body[a : b - 1] for a, b in zip(starts, [*starts[1:], end + 1])]
+    else:
+        parts = [body]
+        if re.search(r"\|(?![^(]*\))", body):
+            return ()
+    found = []
+    for part in parts:
+        letters = re.match(r"(?:[^\W\d_]|-)*", part)[0]
+        if part[len(letters) : len(letters) + 1] in ("?", "*", "{", "|"):
+            letters = letters[:-1]
+        found.append(letters.lower())
+    return tuple(found) if all(len(x) > 1 for x in found) else ()
 
 
 # The lexicon. Patterns are matched without regard to case, with Unicode word edges.
@@ -52,29 +86,79 @@ RULES = (
     _rule("mentale-anspannung", "soft", "HCVO-Stresskontext", r"\bmentale[rmns]?\s+anspannung[a-zäöüß]*\b", "mentale Anspannung"),
     _rule("koerperliche-anspannung", "soft", "HCVO-Stresskontext", r"\b(?:körperliche|koerperliche)[rmns]?\s+anspannung[a-zäöüß]*\b", "körperliche Anspannung"),
     _rule("mentales-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bmental(?:e[srn]?)?\s+wohlbefinden[a-zäöüß]*\b", "mentales Wohlbefinden"),
-    _rule("foerderung-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bf(?:ö|oe)rderung\s+(?:de[srn]?\s+)?wohlbefinden[a-zäöüß]*\b", "Förderung des Wohlbefindens"),
+    _rule("foerderung-wohlbefinden", "soft", "HCVO-Art10Abs3-Wohlbefinden", r"\bf(?:ö|oe)rderung\s+(?:de[srn]?\s+)?wohlbefinden[a-zäöüß]*\b", "Förderung des Wohlbefindens", stems=("förderung", "foerderung")),
     _rule("adaptogen-term", "soft", "HCVO-Adaptogen-Begriff", r"\badaptogen[a-zäöüß]*\b", "Adaptogen"),
 )
 
 HIT = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("label", T.StringType()), T.StructField("severity", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+#: Letters that match others without regard to case, besides their own lower and upper case.
+_FOLDED = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "K": "k"})
+
+
+def folded(text: str) -> str:
+    """A text in lower case, character by character, so that offsets stay."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    return low.translate(_FOLDED) if len(low) == len(text) else low
+
+
+class Scanner:
+    """All hits of many rules in one pass: an automaton over their stems finds places, where the rule's own pattern decides.
+
+    A rule without stems is searched by its pattern alone.
+    """
+
+    def __init__(self, rules: list):
+        self.rules = [(r.label, r.severity, re.compile(r.pattern, re.IGNORECASE), r.stems) for r in rules]
+        owners: dict = {}
+        for k, (*_, stems) in enumerate(self.rules):
+            for stem in stems:
+                owners.setdefault(folded(stem), []).append(k)
+        self.loose = [k for k, (*_, stems) in enumerate(self.rules) if not stems]
+        self.automaton = ahocorasick.Automaton()
+        for stem, own in owners.items():
+            self.automaton.add_word(stem, (len(stem), tuple(dict.fromkeys(own))))
+        if owners:
+            self.automaton.make_automaton()
+        self.tried = 0
+
+    def hits(self, text: str) -> list:
+        places: dict = {}
+        if len(self.automaton):
+            for end, (size, own) in self.automaton.iter(folded(text)):
+                for k in own:
+                    places.setdefault(k, []).append(end - size + 1)
+        found = []
+        for k, starts in places.items():
+            label, severity, pattern, _ = self.rules[k]
+            after = 0
+            for start in sorted(starts):
+                if start >= after:
+                    self.tried += 1
+                    m = pattern.match(text, start)
+                    if m and m.end() > start:
+                        found.append((m.start(), m.end(), label, severity, m[0]))
+                        after = m.end()
+        for k in self.loose:
+            label, severity, pattern, _ = self.rules[k]
+            found += [(m.start(), m.end(), label, severity, m[0]) for m in pattern.finditer(text)]
+        return [{"term": term, "label": label, "severity": severity, "start": start, "end": end} for start, end, label, severity, term in sorted(found)]
+
+
 def find_terms(rules=RULES, severities: tuple = ("hard", "soft")):
     """A function of a text column: all hits of all rules, by start, end and label; offsets in code points.
 
     Spark has no function that returns match offsets in code points, so this is one pass in a pandas UDF.
     """
-    chosen = [(r.label, r.severity, r.pattern) for r in rules if r.severity in severities]
+    chosen = [r for r in rules if r.severity in severities]
 
     @F.pandas_udf(HIT)
     def scan(texts: pd.Series) -> pd.Series:
-        compiled = [(label, severity, re.compile(pattern, re.IGNORECASE)) for label, severity, pattern in chosen]
-
-        def one(text):
-            hits = [{"term": m[0], "label": label, "severity": severity, "start": m.start(), "end": m.end()} for label, severity, rx in compiled for m in rx.finditer(text or "")]
-            return sorted(hits, key=lambda h: (h["start"], h["end"], h["label"]))
-
-        return texts.map(one)
+        scanner = Scanner(chosen)
+        return texts.map(lambda t: scanner.hits(t or ""))
 
     return scan
 
@@ -91,8 +175,10 @@ def has_terms(text: Column, rules=RULES, severities: tuple = ("hard", "soft")) -
 
 
 def count_terms(text: Column, rules=RULES) -> Column:
-    """struct of hit counts by rule label, inside the JVM."""
-    return F.struct(*[F.regexp_count(text, F.lit("(?iuU)" + r.pattern)).alias(r.label) for r in rules])
+    """struct of hit counts by rule label, inside the JVM; a text in which no rule matches at all is passed once."""
+    counts = F.struct(*[F.regexp_count(text, F.lit("(?iuU)" + r.pattern)).alias(r.label) for r in rules])
+    none = F.struct(*[F.lit(0).alias(r.label) for r in rules])
+    return F.when(text.isNull() | has_terms(text, rules), counts).otherwise(none)
 
 
 def spans(docs: DataFrame, rules=RULES, severities: tuple = ("hard", "soft"), key: str = "doc_id") -> DataFrame:

@@ -111,6 +111,28 @@ def apply_audit_guard(spark, d):
     return df.select("doc_id", "r.text", "r.applied")
 
 
+@query("""
+select doc_id, doc_id % 3 > 0 as summarised, case doc_id % 3 when 1 then 'Ruhe' else text end as text, cast(case when doc_id % 3 = 1 or doc_id % 3 = 0 and contains(text, 'the') then 1 else 0 end as integer) as applied from (
+  select doc_id, case when doc_id % 3 = 0 and contains(text, 'the') then substring(text, 1, instr(text, 'the') - 1) || 'THE' || substring(text, instr(text, 'the') + 3) else text end as text from documents)""")
+def apply_audit_summary(spark, d):
+    """Texts whose audit came as findings or as a summary alone; a summary counts as one change, and goes if it has a term of the lexicon."""
+    findings = F.array(F.struct(F.lit("the").alias("quote"), F.lit("THE").alias("new")))
+    summary = F.when(F.col("doc_id") % 3 == 1, "Ruhe").when(F.col("doc_id") % 3 == 2, "Heilkraft")
+    df = table(spark, d, "documents").select("doc_id", summary.isNotNull().alias("summarised"), H.apply_audit(F.col("text"), findings, summary).alias("r"))
+    return df.select("doc_id", "summarised", "r.text", "r.applied")
+
+
+@query("""
+select doc_id, cast(n_chars as integer) as tokens_in, case when doc_id % 4 > 0 then cast(doc_id % 9 as integer) end as tokens_out, doc_id % 4 > 0 as counted from documents""")
+def model_usage(spark, d):
+    """Token counts that a model reports with its answers; some answers come without."""
+    def model(r):
+        return [json.dumps({"text": "x"} | ({"usage": {"tokens_in": n, "tokens_out": i % 9, "cache_read": 1}} if i % 4 else {"usage": {"tokens_in": n}})) for i, n in zip(r["doc_id"].tolist(), r["n_chars"].tolist())]
+
+    out = models.call(table(spark, d, "documents").select("doc_id", "n_chars"), model, models.SCHEMAS["polish"])
+    return out.select("doc_id", "usage.tokens_in", "usage.tokens_out", F.col("usage.cache_read").isNotNull().alias("counted"))
+
+
 @query("select doc_id as claim_id, quality from labels where quality <> 1")
 def problem_claims(spark, d):
     claims = table(spark, d, "labels").select(F.col("doc_id").alias("claim_id"), "quality", F.when(F.col("quality") == 1, "allowed").otherwise("borderline").alias("status"))
@@ -130,11 +152,11 @@ def claims_by_start(spark, d):
     return C.in_order(claims, "text_id", "start", "claim_id").select("text_id", "claim_id", F.col("place").cast("long").alias("place"))
 
 
-@query(r"""select conv_id, turn, regexp_matches(text, '[.!?;:]\s*$') as closed, timestamp '2024-01-01 10:00:00' + to_hours(cast(turn as integer)) as at from conversations where turn < 14""")
+@query(r"""select conv_id, turn, regexp_matches(text, '[.!?;:]\s*$') as closed, timestamp '2024-01-01 10:00:00' + to_hours(cast(turn as integer)) as at from conversations""")
 def closed_turns(spark, d):
     """Whether a turn ends with punctuation, and its time from ISO text with Z."""
-    iso = F.concat(F.lit("2024-01-01T"), F.lpad((F.col("turn") + 10).cast("string"), 2, "0"), F.lit(":00:00Z"))
-    return table(spark, d, "conversations").where("turn < 14").select("conv_id", "turn", X.ends_with_punctuation(F.col("text")).alias("closed"), X.iso_time(iso).alias("at"))
+    iso = F.date_format(F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 10:00:00").cast("timestamp")) + 3600 * F.col("turn")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "conversations").select("conv_id", "turn", X.ends_with_punctuation(F.col("text")).alias("closed"), X.iso_time(iso).alias("at"))
 
 
 @query()
@@ -146,15 +168,17 @@ def hashed_embeddings(spark, d):
 @query("select user_id, bool_or(event_type = 'error') as partial, count(*) filter (where event_type = 'error') as failed from events group by 1")
 def failed_evaluations(spark, d):
     """Whether any evaluation of a user failed."""
-    failed = F.col("event_type") == "error"
-    return table(spark, d, "events").groupBy("user_id").agg(F.bool_or(failed).alias("partial"), F.count_if(failed).alias("failed"))
+    return C.failures(table(spark, d, "events"), ["user_id"], F.col("event_type") == "error")
 
 
-@query("""select doc_id, quality, not (quality between 0 and 1 and toxic between 0 and 1) as dropped from labels""")
+@query("""select doc_id, doc_id % 7 = 3 or doc_id % 5 = 2 or doc_id % 11 = 4 as dropped from labels""")
 def valid_verdicts(spark, d):
-    """Enum and range checks of evaluated claims."""
-    rows = table(spark, d, "labels").select("doc_id", "quality", F.when(F.col("quality") == 1, "allowed").otherwise("Forbidden").alias("status"), F.col("toxic").cast("double").alias("confidence"))
-    return C.with_validity(rows).select("doc_id", "quality", (~F.col("is_valid")).alias("dropped"))
+    """Enum and range checks of evaluated claims: a verdict that is none, confidences beyond 0 to 1, and nulls go."""
+    k = F.col("doc_id")
+    status = F.when(k % 7 == 3, "maybe").when(F.col("quality") == 1, " allowed").otherwise("Forbidden")
+    confidence = F.when(k % 11 == 4, None).when(k % 5 == 2, F.when(k % 2 == 0, 1.5).otherwise(-0.1)).otherwise(F.col("toxic").cast("double"))
+    rows = table(spark, d, "labels").select("doc_id", status.alias("status"), confidence.alias("confidence"))
+    return C.with_validity(rows).select("doc_id", (~F.col("is_valid")).alias("dropped"))
 
 
 @query("""

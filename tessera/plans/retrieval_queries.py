@@ -11,8 +11,10 @@ from tessera.functions.text import QUERY_STOP_WORDS
 from tessera.operators import claims as C
 from tessera.operators import postings as P
 from tessera.operators import retrieval as R
+from tessera.operators import vector_index as I
 from tessera.plans.registry import query, table
 from tessera.plans.text_queries import located
+from tessera.sources.tables import new_path
 
 LOW = 0.1
 _VECTOR = """
@@ -57,6 +59,16 @@ def vector_topk_threshold(spark, d):
     return _vectors(spark, d, R.THRESHOLD).select("query_id", "collection", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def vector_topk_indexed(spark, d):
+    """For every vector whose id is divisible by 20 the first eight of all, by the approximate index (its recall is tested)."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit(0).alias("collection"), F.col("embedding").alias("vector"))
+    book = I.fit(vectors)
+    index = I.write_index(vectors, book, new_path(spark, "vectors"))
+    queries = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return I.search(index, book, queries).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("with " + _KEYWORD + " select query_id, chunk_id, round(score, 4) as score, rank from kr")
 def keyword_rank_unstemmed(spark, d):
     return _keywords(spark, d).select("query_id", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions import verdicts as V
 from tessera.operators import claims as C
+from tessera.operators import knowledge_index
 from tessera.operators import store as S
 from tessera.plans import knowledge as K
 from tessera.plans.registry import query, shared_dir, table
@@ -443,13 +444,7 @@ def botanical_rows(spark, d):
     return register.botanical_entries(rows).select("key", "food", "health_relationship", "pending_claim", "id")
 
 
-@query("""
-select 'P-' || p_partkey as chunk_id, 'eu_claim' as source_type, 'EU-Register · ' || p_brand as reference, p_brand || ' — ' || p_name as embedding_text from part
-union all select 'r-' || n_nationkey, 'regulation', 'VO 1924, Art. ' || n_nationkey || case when n_regionkey > 0 then ' Abs. ' || n_regionkey else '' end, n_name || ' — Text' from nation
-union all select 'x-' || s_suppkey, 'regulation', 'VO X § ' || s_suppkey, s_name || ' — S — a b' from supplier
-union all select 'c-' || c_custkey, 'case_law', 'BGH I ZR ' || c_custkey || '/16 (2018-01-01)', c_name || ' — S' from customer
-union all select 'b-' || r_regionkey, 'botanical', 'EFSA-Botanical · ' || r_name || ' (Curcuma longa) · EFSA on-hold', 'Curcuma longa — ' || r_name || ' — Gelbwurz' from region""")
-def knowledge_payloads(spark, d):
+def knowledge_chunks(spark, d):
     """Rows of five tables as entries of the five sources, as chunks."""
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     reg = table(spark, d, "part").select(F.concat(F.lit("P-"), "p_partkey").alias("id"), F.col("p_brand").alias("nutrient"), F.col("p_name").alias("claim_en"), F.lit("authorised").alias("status"), F.lit("art_13_1").alias("claim_type"), *none("claim_de", "conditions", "regulation_reference"))
@@ -458,7 +453,37 @@ def knowledge_payloads(spark, d):
     case = table(spark, d, "customer").select(F.concat(F.lit("c-"), "c_custkey").alias("id"), F.lit("BGH").alias("court"), F.concat(F.lit("I ZR "), "c_custkey", F.lit("/16")).alias("case_number"), F.lit("2018-01-01").alias("decision_date"), F.col("c_name").alias("title"), F.lit("S").alias("summary"), F.array().cast("array<string>").alias("legal_basis"), F.array().cast("array<string>").alias("tags"), *none("claim_type", "decision", "source_url", "verification_status", "ai_confidence"))
     bot = table(spark, d, "region").select(F.concat(F.lit("b-"), "r_regionkey").alias("id"), F.lit("Curcuma longa").alias("scientific_name"), F.col("r_name").alias("common_name_de"), F.array(F.lit("Gelbwurz")).alias("common_names"), F.lit("on_hold").alias("status"), *none("health_relationship", "summary", "source_url"))
     parts = [K.register_chunks(reg), K.regulation_chunks(law), K.excerpt_chunks(exc), K.case_chunks(case), K.botanical_chunks(bot)]
-    return K.union(parts).select("chunk_id", "source_type", "reference", "embedding_text")
+    return K.union(parts)
+
+
+
+@query("""
+select 'P-' || p_partkey as chunk_id, 'eu_claim' as source_type, 'EU-Register · ' || p_brand as reference, p_brand || ' — ' || p_name as embedding_text from part
+union all select 'r-' || n_nationkey, 'regulation', 'VO 1924, Art. ' || n_nationkey || case when n_regionkey > 0 then ' Abs. ' || n_regionkey else '' end, n_name || ' — Text' from nation
+union all select 'x-' || s_suppkey, 'regulation', 'VO X § ' || s_suppkey, s_name || ' — S — a b' from supplier
+union all select 'c-' || c_custkey, 'case_law', 'BGH I ZR ' || c_custkey || '/16 (2018-01-01)', c_name || ' — S' from customer
+union all select 'b-' || r_regionkey, 'botanical', 'EFSA-Botanical · ' || r_name || ' (Curcuma longa) · EFSA on-hold', 'Curcuma longa — ' || r_name || ' — Gelbwurz' from region""")
+def knowledge_payloads(spark, d):
+    return knowledge_chunks(spark, d).select("chunk_id", "source_type", "reference", "embedding_text")
+
+
+@query()
+def knowledge_search(spark, d):
+    """Benchmark items searched in the kept table of all five sources; a second refresh has nothing to embed."""
+    path = f"{shared_dir(spark)}/knowledge-{uuid.uuid4().hex}"
+    chunks = knowledge_chunks(spark, d)
+    knowledge_index.refresh(chunks, path)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = knowledge_index.search(knowledge_index.read_table(spark, path), items)
+    return found.select("query_id", "chunk_id", F.round("rrf", 9).alias("rrf"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("select source_type, n as embedded, cast(0 as bigint) as embedded_again from (select 'eu_claim' source_type, count(*) n from part union all select 'regulation', (select count(*) from nation) + (select count(*) from supplier) union all select 'case_law', count(*) from customer union all select 'botanical', count(*) from region)")
+def knowledge_refresh(spark, d):
+    """How many chunks of each source a first and a second refresh embed."""
+    path, chunks = f"{shared_dir(spark)}/knowledge-{uuid.uuid4().hex}", knowledge_chunks(spark, d)
+    first, again = (knowledge_index.refresh(chunks, path).select("source_type", "embedded") for _ in range(2))
+    return first.join(again.withColumnRenamed("embedded", "embedded_again"), "source_type")
 
 
 @query("""
@@ -492,4 +517,15 @@ def project_limit_checks(spark, d):
 
 @query("select c_mktsegment as nutrient, count(*) as n from customer group by 1 order by n desc, 1 limit 10")
 def top_nutrients(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("nutrient")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "nutrient").limit(10)
+    return register.most_frequent(table(spark, d, "customer").select(F.col("c_mktsegment").alias("nutrient")), "nutrient")
+
+
+@query("""
+select status, claim_type, count(*) as n from (select case p_partkey % 4 when 0 then 'authorised' when 1 then 'on_hold' else 'non_authorised' end as status, case p_partkey % 3 when 0 then 'art_13_1' when 1 then 'art_14_1_b' else 'unknown' end as claim_type from part) group by 1, 2""")
+def register_status_counts(spark, d):
+    """Parts as register rows with outcomes and articles in several spellings, counted by what they mean."""
+    k = F.col("p_partkey")
+    outcome = F.when(k % 4 == 0, F.when(k % 8 == 0, "Authorized").otherwise(" authorised")).when(k % 4 == 1, "On hold").when(k % 4 == 2, "Rejected")
+    article = F.when(k % 3 == 0, "Art. 13(1)").when(k % 3 == 1, "Article 14 (1)(b), children")
+    sheet = table(spark, d, "part").select(k.cast("string").alias("Claim ID"), F.col("p_name").alias("Claim"), outcome.alias("Status"), article.alias("Claim type"))
+    return register.status_counts(register.entries(sheet))

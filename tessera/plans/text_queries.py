@@ -208,11 +208,11 @@ def splice_rewrites(spark, d):
 
 
 @query("""
-with a as (select doc_id, text t from documents where contains(text, 'the') and contains(text, 'and')),
-b as (select doc_id, substring(t, 1, instr(t, 'the') - 1) || 'THE-1' || substring(t, instr(t, 'the') + 3) t from a)
-select doc_id, substring(t, 1, instr(t, 'and') - 1) || substring(t, instr(t, 'and') + 3) as edited from b""")
+with b as (select doc_id, case when contains(text, 'the') then substring(text, 1, instr(text, 'the') - 1) || 'THE-1' || substring(text, instr(text, 'the') + 3) else text end t from documents)
+select doc_id, case when contains(t, 'and') then regexp_replace(substring(t, 1, instr(t, 'and') - 1) || substring(t, instr(t, 'and') + 3), '\\n{3,}', chr(10) || chr(10), 'g') else t end as edited from b""")
 def apply_findings(spark, d):
-    docs = table(spark, d, "documents").where(F.contains("text", F.lit("the")) & F.contains("text", F.lit("and")))
+    """Three findings on every document: a replacement, a removal, and a quote that is in none."""
+    docs = table(spark, d, "documents")
     item = lambda q, n: F.struct(F.lit(q).alias("quote"), F.lit(n).cast("string").alias("new"))
     return docs.select("doc_id", R.apply_findings(F.col("text"), F.array(item("the", "THE-1"), item("and", None), item("\x00absent", "x"))).alias("edited"))
 

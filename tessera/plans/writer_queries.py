@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import claims as C
 from tessera.operators import store as S
 from tessera.operators import writers as W
 from tessera.plans.registry import query, table
+from tessera.sources import regulation
 
 AT = "2024-02-01 00:00:00"
 
@@ -161,9 +163,14 @@ def unevaluated_claims(spark, d):
     return W.unevaluated(table(spark, d, "documents").select(F.col("doc_id").alias("claim_id")), table(spark, d, "labels").select(F.col("doc_id").alias("claim_id")))
 
 
-@query("select c_custkey as project_id, c_nationkey as user_id from customer where c_nationkey = 7 union select c_custkey, c_nationkey from customer where c_nationkey = 7 and c_mktsegment = 'BUILDING'")
+@query("""
+with m as (select distinct o_custkey % 97 as project_id, o_orderkey % 29 as user_id, case when o_orderkey % 29 = (o_custkey % 97) % 29 then 'owner' else 'viewer' end as role from orders)
+select project_id, user_id, role from m where user_id = 7 or project_id in (select project_id from m where user_id = 7 and role = 'owner')""")
 def removable_members(spark, d):
-    return S.removable_members(_members(spark, d), 7).select("project_id", "user_id")
+    """Whom a user may remove from projects of many members: everyone from those the user owns, themselves from all."""
+    project, user = F.col("o_custkey") % 97, F.col("o_orderkey") % 29
+    members = table(spark, d, "orders").select(project.alias("project_id"), user.alias("user_id"), F.when(user == project % 29, "owner").otherwise("viewer").alias("role")).distinct()
+    return S.removable_members(members, 7).select("project_id", "user_id", "role")
 
 
 @query("select o_orderkey as id, coalesce(case when o_orderkey % 5 = 0 then o_custkey end, case when o_orderkey % 3 = 0 then 1 end, case when o_orderkey % 2 = 0 then 2 end, 3) as project_id from orders")
@@ -175,14 +182,13 @@ def target_project(spark, d):
 @query("select status, count(*) as n from (select case when quality = 1 then 'verified' else 'pending' end status from labels) group by 1")
 def verification_counts(spark, d):
     """Entries by verification status, verified where none is given."""
-    status = F.when(F.col("quality") == 0, "pending")
-    return table(spark, d, "labels").groupBy(F.coalesce(status, F.lit("verified")).alias("status")).agg(F.count("*").alias("n"))
+    return C.verification_counts(table(spark, d, "labels").select(F.when(F.col("quality") == 0, "pending").alias("verification_status")))
 
 
 @query("select o_custkey as key, coalesce(min(o_orderkey), 0) as first_article, coalesce(max(o_orderkey), 0) as last_article, count(*) as n from orders group by 1")
 def article_range(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("article"))
-    return rows.groupBy("key").agg(F.coalesce(F.min("article"), F.lit(0)).alias("first_article"), F.coalesce(F.max("article"), F.lit(0)).alias("last_article"), F.count("*").alias("n"))
+    return regulation.article_range(rows, ["key"])
 
 
 @query("""

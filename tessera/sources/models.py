@@ -31,6 +31,8 @@ SCHEMAS = {
     "audit": "shippable boolean, assessment string, findings array<struct<severity:string,issue:string,quote:string,new:string>>",
     "apply": "text string, applied int",
 }
+#: Token counts that a model may report beside its answer, as `usage`.
+USAGE = "usage struct<tokens_in:int,tokens_out:int,cache_read:int,cache_created:int>"
 #: An answers table: the request's digest, the answer as it came, what went wrong, how often the batch was tried.
 ANSWERS = "ask string, raw string, error string, attempts int, kind string, attempt int"
 
@@ -77,10 +79,11 @@ def asked(requests: DataFrame, caller: BatchCaller, wait_s: float = WAIT_S, limi
 
 
 def parsed(answered: DataFrame, schema: str) -> DataFrame:
-    """output by schema in place of raw; an answer that can't be read is a bad_json."""
+    """output by schema and usage in place of raw; an answer that can't be read is a bad_json, one without counts has null usage."""
     output = F.from_json("raw", schema, {"mode": "PERMISSIVE"})
     bad = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("raw").isNotNull() & output.isNull(), "bad_json")
-    return answered.withColumn("output", output).withColumn("error", bad).drop("raw")
+    usage = F.from_json("raw", USAGE, {"mode": "PERMISSIVE"})["usage"]
+    return answered.withColumns({"output": output, "error": bad, "usage": usage}).drop("raw")
 
 
 def call(requests: DataFrame, caller: BatchCaller = stub, schema: str = SCHEMAS["detect"], wait_s: float = WAIT_S, limit_s: float = LIMIT_S) -> DataFrame:

@@ -41,9 +41,9 @@ def columns_of(headers: list) -> dict:
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A workbook's first sheet, or a CSV export, with a header line; quoted cells may span lines."""
+    """A workbook's active sheet, or a CSV export, with a header line; quoted cells may span lines. A workbook without rows has no entries."""
     if path.lower().endswith(".xlsx"):
-        return xlsx.read_table(spark, path)
+        return xlsx.read_table(spark, path, empty=HEADERS)
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
@@ -82,5 +82,11 @@ def botanical_sheet(spark: SparkSession, path: str, sheet: str = "Sheet1", first
     return rows.select(F.col("row").alias("seq"), cell(0).alias("key"), cell(1).alias("food_text"), cell(2).alias("original"), cell(3).alias("revised"))
 
 
+def most_frequent(found: DataFrame, column: str, first: int = 10) -> DataFrame:
+    """The first values of a column by number of entries, ties by value; entries without one don't count."""
+    return found.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(first)
+
+
 def status_counts(found: DataFrame) -> DataFrame:
+    """Entries by status and claim type."""
     return found.groupBy("status", "claim_type").agg(F.count("*").alias("n"))

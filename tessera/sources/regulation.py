@@ -69,6 +69,11 @@ def paragraphs(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "html").mapInPandas(parse, f"{key} {kind}, seq int, class string, text string")
 
 
+def article_range(rows: DataFrame, by: list) -> DataFrame:
+    """First and last article and the number of chunks of each group; 0 where no chunk has an article."""
+    return rows.groupBy(*by).agg(F.coalesce(F.min("article"), F.lit(0)).alias("first_article"), F.coalesce(F.max("article"), F.lit(0)).alias("last_article"), F.count("*").alias("n"))
+
+
 def chunks(pages: DataFrame, regulation_id: str, key: str = "page_id") -> DataFrame:
     """Chunks of each page's regulation, in document order."""
     rows = paragraphs(pages, key).withColumn("text", X.collapse(F.col("text"))).where("text <> ''").withColumn("class", F.lower("class"))

@@ -38,15 +38,19 @@ def _text(element) -> str:
 
 
 def sheet_of(data: bytes, sheet: str | None = None):
-    """Yield the rows of a sheet (the first, or the one of that name) as (row number, cells); empty cells are None."""
+    """Yield the rows of a sheet (the active one, or the one of that name) as (row number, cells); empty cells are None. A file of no bytes has none."""
+    if not data:
+        return
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = set(book.namelist())
         shared = [_text(e) for e in _part(book, "xl/sharedStrings.xml").iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in names else []
         target = {r.get("Id"): r.get("Target") for r in _part(book, "xl/_rels/workbook.xml.rels")}
-        found = [e for e in _part(book, "xl/workbook.xml").iter(f"{_MAIN}sheet") if sheet in (None, e.get("name"))]
+        workbook = _part(book, "xl/workbook.xml")
+        found = [e for e in workbook.iter(f"{_MAIN}sheet") if sheet in (None, e.get("name"))]
         if not found:
             raise ValueError(f"no sheet {sheet}")
-        path = target[found[0].get(f"{_REL}id")].lstrip("/")
+        active = next((int(v.get("activeTab") or 0) for v in workbook.iter(f"{_MAIN}workbookView")), 0) if sheet is None else 0
+        path = target[found[min(active, len(found) - 1)].get(f"{_REL}id")].lstrip("/")
         for i, row in enumerate(_part(book, path if path.startswith("xl/") else f"xl/{path}").iter(f"{_MAIN}row")):
             cells: list = []
             for k, c in enumerate(row.iter(f"{_MAIN}c")):
@@ -74,12 +78,17 @@ def read_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
     return files.mapInPandas(parse, "path string, row int, cells array<string>")
 
 
-def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet whose first row names the columns; all are strings. Files must have the same head; rows without a value are left out."""
+def read_table(spark: SparkSession, path: str, sheet: str | None = None, empty=None) -> DataFrame:
+    """A sheet whose first row names the columns; all are strings. Files must have the same head; rows without a value are left out.
+
+    empty: names of the columns, without rows, that a sheet without any row is read as; it is an error without them.
+    """
     rows = read_rows(spark, path, sheet)
     first = rows.orderBy("path", "row").limit(1).collect()
     if not first:
-        raise ValueError(f"no rows in {path}")
+        if empty is None:
+            raise ValueError(f"no rows in {path}")
+        return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in empty))
     names = [(i, n) for i, n in enumerate(first[0]["cells"]) if n]
     body = rows.where((F.col("row") > first[0]["row"]) & F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != ""))
     return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in names])

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -93,3 +94,42 @@ def test_stemmer():
     for word, want in {"aufeinander": "aufeinand", "kategorischer": "kategor", "häuser": "haus", "laufen": "lauf", "wohlbefindens": "wohlbefind", "empfehlungen": "empfehl", "freundlichkeit": "freundlich", "ergebnisse": "ergebnis"}.items():
         assert stem(word) == want, word
     assert re.fullmatch("[a-z]+", stem("größe"))
+
+
+def plain_hits(text, rules):
+    found = [(m.start(), m.end(), r.label, m[0]) for r in rules for m in re.finditer(r.pattern, text, re.IGNORECASE)]
+    return sorted(found)
+
+
+def test_one_pass_finds_what_all_patterns_find(spark):
+    """Own sentences, inflected stems, odd letters, words inside words, repeats, and random texts made of the stems."""
+    draw = random.Random(7)
+    pieces = ["heil", "Heilig", "HEILEN", "heilanzeige", "Symptom-los", "ſymptom", "DİAGNOSE", "dıagnose", "Tagesdosis", "mentale Anspannung", "mentaler\n anspannung", "körperlichem anspannung", "Periodebeschwerden", "periodenbeschwerde", "boost", "booster", "boosten", "unheil", "förderung des wohlbefindens", "Foerderung wohlbefinden", "mental wohlbefinden", "ß", "İ", " ", ",", "x", "\n", "Abwehrkräfte"]
+    texts = ["".join(draw.choice(pieces) + draw.choice(["", " ", " ", "-"]) for _ in range(draw.randrange(40))) for _ in range(300)] + ["", *[r.example for r in L.RULES]]
+    scanner = L.Scanner(list(L.RULES))
+    assert not scanner.loose and sum(len(plain_hits(t, L.RULES)) for t in texts) > 500
+    for t in texts:
+        assert [(h["start"], h["end"], h["label"], h["term"]) for h in scanner.hits(t)] == plain_hits(t, L.RULES), t
+
+
+def test_rules_whose_stems_cannot_be_told_are_searched_by_pattern():
+    loose = L._rule("digits", "soft", "", r"\d+x", "")
+    either = L._rule("either", "soft", "", r"\b(?:ab|cd)[a-z]*", "")
+    optional = L._rule("optional", "soft", "", r"\babc?d", "")
+    for pattern, stems in ((r"\d+x", ()), (r"\b(?:ab|cd)[a-z]*", ("ab", "cd")), (r"\babc?d", ("ab",)), (r"ab|cd", ()), (r"(?:ab)?cd", ()), (r"public", ("public",)), (r"\blicens[a-z]*\b", ("licens",)), (r"[ab]c", ()), (r"\b(?:ab|c)x", ()), (r"a.c", ())):
+        assert L.stems_of(pattern) == stems, pattern
+    text = "12x abd abcd cdx ab 3x"
+    scanner = L.Scanner([loose, either, optional])
+    assert [(h["start"], h["end"], h["label"], h["term"]) for h in scanner.hits(text)] == plain_hits(text, [loose, either, optional])
+
+
+def test_work_does_not_grow_with_rules_that_are_not_there():
+    more = [L._rule(f"r{i}", "soft", "", rf"\bzz{i}yy[a-z]*\b", "") for i in range(500)]
+    few, many = L.Scanner(list(L.RULES)), L.Scanner([*L.RULES, *more])
+    text = "Heilkraft und Symptome, sonst nichts. " * 50
+    assert few.hits(text) == many.hits(text) and few.tried == many.tried == 100
+
+
+def test_counts_of_texts_without_any_hit(spark):
+    rows = spark.createDataFrame([(1, "Heilkraft heilt"), (2, "nichts"), (3, None), (4, "")], "i int, t string").select("i", L.count_terms(F.col("t")).alias("n"))
+    assert {r["i"]: r["n"]["heil-stem"] for r in rows.collect()} == {1: 2, 2: 0, 3: None, 4: 0}
