@@ -112,8 +112,8 @@ def apply_audit_guard(spark, d):
 
 
 @query("""
-select doc_id, doc_id % 3 > 0 as summarised, case doc_id % 3 when 1 then 'Ruhe' else text end as text, cast(case when doc_id % 3 = 1 or doc_id % 3 = 0 and contains(text, 'the') then 1 else 0 end as integer) as applied from (
-  select doc_id, case when doc_id % 3 = 0 and contains(text, 'the') then substring(text, 1, instr(text, 'the') - 1) || 'THE' || substring(text, instr(text, 'the') + 3) else text end as text from documents)""")
+select doc_id, doc_id % 3 > 0 as summarised, case doc_id % 3 when 1 then 'Ruhe' else text end as text, cast(case when doc_id % 3 = 1 or doc_id % 3 = 0 and has then 1 else 0 end as integer) as applied from (
+  select doc_id, contains(text, 'the') has, case when doc_id % 3 = 0 and contains(text, 'the') then substring(text, 1, instr(text, 'the') - 1) || 'THE' || substring(text, instr(text, 'the') + 3) else text end as text from documents)""")
 def apply_audit_summary(spark, d):
     """Texts whose audit came as findings or as a summary alone; a summary counts as one change, and goes if it has a term of the lexicon."""
     findings = F.array(F.struct(F.lit("the").alias("quote"), F.lit("THE").alias("new")))
