@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import verdicts as V
 from tessera.operators.retrieval import small
 
-#: Whole words by which a claim is looked up; claims too short for that that one search may have.
-LEAD, MAX_SHORT = 5, 1000
+#: Whole words by which a claim is looked up, and characters for claims of one or two words.
+LEAD, GRAM = 5, 8
 
 
 def locate(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -35,25 +35,31 @@ def input_code(sized: Column, german: Column) -> Column:
 
 
 def candidates(claims: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """claims(claim_text, ...) for each document that may hold one: an equi-join on LEAD whole words inside the claim.
+    """claims(claim_text, ...) for each document that may hold one, by equi-joins.
 
     Where a claim occurs word for word, all of its words but the first and the last are words of the
-    document; a document's runs of words are kept only if a claim has them. Claims of fewer words
-    than that are compared with each document, if there are no more than MAX_SHORT of them.
+    document: claims of three words or more are joined on a run of their inner words, LEAD of them or as
+    many as there are. Shorter ones are joined on their first characters, GRAM of them or as many as
+    there are. A document's runs of only those kinds that claims have are made, and kept if a claim has them.
     """
     words = lambda c: F.filter(F.split(c, r"[ \t\n\r]+"), lambda w: w != "")
     claims = claims.withColumn("claim_text", F.trim("claim_text")).where("claim_text <> ''").withColumn("_words", words(F.col("claim_text")))
-    long, short = claims.where(F.size("_words") >= LEAD + 2), claims.where(F.size("_words") < LEAD + 2).drop("_words")
-    leads = long.withColumn("_lead", F.xxhash64(F.slice("_words", 2, LEAD))).drop("_words")
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - LEAD + 1), lambda i: F.xxhash64(F.slice("_w", i, LEAD)))
-    found = docs.select(key, words(F.col("text")).alias("_w")).where(F.size("_w") >= LEAD).select(key, F.explode(F.array_distinct(runs)).alias("_lead"))
-    found = found.join(small(leads), "_lead").drop("_lead")
-    n = short.limit(MAX_SHORT + 1).count()
-    if n > MAX_SHORT:
-        raise ValueError(f"more than {MAX_SHORT} claims of fewer than {LEAD + 2} words")
-    if n:
-        found = found.unionByName(docs.select(key, "text").join(F.broadcast(short), F.contains("text", F.col("claim_text"))).drop("text"))
-    return found
+    inner = F.least(F.size("_words") - 2, F.lit(LEAD))
+    # what a claim is looked up by: so many words, or, below zero, so many characters
+    claims = claims.withColumn("_by", F.when(inner > 0, inner).otherwise(-F.least(F.length("claim_text"), F.lit(GRAM))))
+    lead = F.when(F.col("_by") > 0, F.concat_ws(" ", F.slice("_words", F.lit(2), F.greatest(F.col("_by"), F.lit(0))))).otherwise(F.substr("claim_text", F.lit(1), -F.col("_by")))
+    leads = claims.withColumn("_lead", F.xxhash64("_by", lead)).drop("_words", "_by")
+
+    def runs(by: int):
+        if by < 0:
+            return F.transform(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{-by}}}))"), F.lit(1)), lambda g: F.xxhash64(F.lit(by), g))
+        every = F.transform(F.sequence(F.lit(1), F.size("_w") - by + 1), lambda i: F.xxhash64(F.lit(by), F.concat_ws(" ", F.slice("_w", i, by))))
+        return F.when(F.size("_w") >= by, every).otherwise(F.array().cast("array<bigint>"))
+
+    kinds = sorted(r["_by"] for r in claims.select("_by").distinct().collect())  # LEAD + GRAM of them at most
+    made = F.concat(F.array().cast("array<bigint>"), *[runs(by) for by in kinds])
+    found = docs.where("text is not null").select(key, "text", words(F.col("text")).alias("_w")).select(key, F.explode(F.array_distinct(made)).alias("_lead"))
+    return found.join(small(leads), "_lead").drop("_lead")
 
 
 def verified_hints(hints: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -99,6 +99,26 @@ def test_claims_are_found_word_for_word(spark):
     assert sorted((r["doc_id"], r["item_id"], r["start"]) for r in found) == [(1, 1, 1), (3, 2, 0), (5, 1, 0)]
 
 
+def test_claims_of_every_length_are_found(spark):
+    """Cut anywhere from the texts, at word borders and inside words, against comparison with every text."""
+    draw = np.random.default_rng(5)
+    names = ["zink", "Ü", "a", "kupfer-salz", "x😀y", "und", "oder", "leber", "  "]
+    texts = {i: " ".join(draw.choice(names, int(draw.integers(1, 40)))) + ("\n" if i % 3 else "") for i in range(40)}
+    pieces = []
+    for t in texts.values():
+        for _ in range(4):
+            a = int(draw.integers(0, len(t)))
+            pieces.append(t[a : a + int(draw.integers(1, 60))])
+    claims = [(i, p) for i, p in enumerate([*pieces, "a", "zin", "fehlt", "x" * 9, "kein solcher Text hier"])]
+    docs = spark.createDataFrame([*texts.items(), (99, None), (98, "")], "doc_id long, text string")
+    found = C.locate(C.candidates(spark.createDataFrame(claims, "item_id long, claim_text string"), docs), docs)
+    got = {(r["doc_id"], r["item_id"], r["start"]) for r in found.collect()}
+    want = {(d, i, t.index(p.strip(" "))) for d, t in texts.items() for i, p in claims if p.strip(" ") and p.strip(" ") in t}
+    assert got == want and found.count() == len(want)
+    plan = C.candidates(spark.createDataFrame(claims, "item_id long, claim_text string"), docs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_offsets_are_those_of_the_text(spark):
     docs = spark.createDataFrame([(1, "İİ License und LICENSE"), (2, None), (3, "")], "doc_id long, text string")
     assert [(r["start"], r["end"], r["spelled"]) for r in L.literal_spans(docs, ["license"]).orderBy("start").collect()] == [(3, 10, "License"), (15, 22, "LICENSE")]
