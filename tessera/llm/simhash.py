@@ -17,7 +17,8 @@ is abandoned once all of its distances exceed the radius. A group
 returns a spanning forest of its links, at most as many as its members, never all pairs.
 
 Components come from rounds of hooking to the smallest neighbour and pointer jumping over tables in
-the shared folder; nothing is collected to the driver but counts.
+the shared folder, until no more than LOCAL_EDGES edges are left, which one task unites; nothing is
+collected to the driver but counts.
 
 Defined cases: a null text has no words; a null id takes part in its group but never names it (a
 group of null ids only has a null component). Repeated rows stay, each with its component.
@@ -41,6 +42,8 @@ SHINGLE, RADIUS, TILE = 4, 4, 2048
 #: Fingerprints of a group that are compared with all of it at once.
 QUERY_ROWS = 256
 SEED = 42
+#: Edges between components that are united in one task; more are contracted first.
+LOCAL_EDGES = 1 << 19
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -202,11 +205,40 @@ def compare_groups(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFra
     return placed.groupBy("choice", "bits", "t", "u").applyInArrow(compare, "a long, b long")
 
 
+def united(edges: DataFrame) -> DataFrame:
+    """(node, up) of at most LOCAL_EDGES edges (a, b), in one task: the least node of the component of every node but that one."""
+
+    def run(batches):
+        parent: dict = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+        found = [(x, r) for x in parent if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["node", "up"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, up long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the least node of its component."""
+    """(node, root) for every node of the links (a, b): root is the least node of its component.
+
+    Rounds of hooking and jumping contract the graph, whatever its size, until at most LOCAL_EDGES
+    edges are left between components; those are united in one task.
+    """
     edges = materialise(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    named = materialise(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "nodes")
-    while not edges.isEmpty():
+    named = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node"))
+    left = edges.count()
+    if left > LOCAL_EDGES:
+        named = materialise(named, "nodes")
+    while left > LOCAL_EDGES:
         # every root hooks to its least neighbour, if that is less; chains are then jumped to their end
         least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
         up = materialise(least, "hooks")
@@ -221,7 +253,11 @@ def components(links: DataFrame) -> DataFrame:
         a = edges.join(up.select(F.col("node").alias("a"), F.col("up").alias("up_a")), "a", "left")
         b = a.join(up.select(F.col("node").alias("b"), F.col("up").alias("up_b")), "b", "left").select(F.coalesce("up_a", "a").alias("a"), F.coalesce("up_b", "b").alias("b"))
         edges = materialise(b.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    return named
+        left = edges.count()
+    if left:
+        to = united(edges).withColumnRenamed("node", "root")
+        named = named.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return materialise(named, "nodes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

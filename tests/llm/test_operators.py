@@ -261,8 +261,9 @@ def test_simhash_against_brute_force(spark, docs):
     assert got == {i: (f"{v:016x}", least[root[v]]) for i, v in own.items()}
 
 
-@pytest.mark.parametrize("blocks", [5, 6])
-def test_simhash_tiles_and_chains(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("blocks, local", [(5, 0), (6, 1 << 19), (5, 300)])
+def test_simhash_tiles_and_chains(spark, monkeypatch, blocks, local):
+    monkeypatch.setattr(simhash, "LOCAL_EDGES", local)
     monkeypatch.setattr(simhash, "TILE", 100)
     monkeypatch.setattr(simhash, "QUERY_ROWS", 32)
     rng = np.random.default_rng(3)
