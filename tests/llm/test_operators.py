@@ -311,32 +311,77 @@ def distance(p, q):
     return math.sqrt(max(0, sum(0.5 * term(a, b) + 0.5 * term(b, a) for a, b in zip(p, q))))
 
 
+def plain_rules(rows):
+    """Of rows (text, lang) the base counts, both distances in thousandths, the limits and the verdict, by plain counting."""
+    texts = [(t or "", lang) for t, lang in rows]
+    base = [base_counts(t) for t, _ in texts]
+    failed = [n < 50 or 100 * rep > 50 * n for n, *_, rep in base]
+    bare = [[x for w in WORD.findall(t) if (x := w.strip(rules_js.PUNCTUATION).lower())] for t, _ in texts]
+    counts, classes = {}, {}
+    for (t, lang), w, (n, *_), bad in zip(texts, bare, base, failed):
+        kinds = [len(re.findall(x, t)) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[" + re.escape(rules_js.PUNCTUATION) + "]", "[!-~]")]
+        kinds[5] -= sum(kinds[:3]) + kinds[4]
+        kinds.append(len(t) - sum(kinds))
+        classes.setdefault("of texts", []).append(kinds)
+        if lang is not None and n >= rules_js.MIN_WORDS:
+            counts.setdefault(lang, Counter()).update(w)
+        if lang is not None and not bad:
+            classes[lang, "sum"] = [a + b for a, b in zip(classes.get((lang, "sum"), [0] * 7), kinds)]
+    common = {lang: {x: k / c.total() for x, k in sorted(c.items(), key=lambda e: (-e[1], e[0]))[: rules_js.WORDS]} for lang, c in counts.items()}
+    shapes = [[x / sum(v) for x in v] for k, v in classes.items() if k != "of texts" and sum(v)]
+    near = lambda found: math.floor(1000 * min(found)) if found else 0
+    found = []
+    for (t, _), w, (n, *_), kinds in zip(texts, bare, base, classes["of texts"]):
+        have = Counter(w)
+        own = [[have[x] / max(1, n) for x in c] for c in common.values()]
+        by_word = near([distance([*c.values(), max(0, 1 - sum(c.values()))], [*o, max(0, 1 - sum(o))]) for c, o in zip(common.values(), own)])
+        found.append((near([distance(s, [k / max(1, len(t)) for k in kinds]) for s in shapes]), by_word))
+
+    def limit(values):
+        v = sorted(values)
+        low, high = (v[-(-q * len(v) // 4) - 1] for q in (1, 3)) if v else (0, 1000)
+        return int(high + rules_js.FENCE * (high - low)) if v else 1000
+
+    teach = [i for i, (_, lang) in enumerate(texts) if lang is not None and not failed[i]]
+    by_class = limit([found[i][0] for i in teach if len(texts[i][0]) >= rules_js.MIN_CHARS])
+    by_word = limit([found[i][1] for i in teach if base[i][0] >= rules_js.MIN_WORDS])
+    kept = [not bad and not (len(t) >= rules_js.MIN_CHARS and c > by_class or b[0] >= rules_js.MIN_WORDS and w > by_word) for (t, _), b, bad, (c, w) in zip(texts, base, failed, found)]
+    return [(*b, bad, *f, by_class, by_word, k) for b, bad, f, k in zip(base, failed, found, kept)]
+
+
 def test_rules_against_brute_force(docs):
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in rules_js.judge(docs).collect():
-        text = texts[r["doc_id"]]
-        n, chars, symbols, dup, rep = base_counts(text)
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, rep)
-        failed = n < 50 or 100 * rep > 50 * n
-        sets = ["[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[" + re.escape(rules_js.PUNCTUATION) + "]", r"[!-~]"]
-        counts = [len(re.findall(x, text)) for x in sets]
-        counts[5] -= sum(counts[:3]) + counts[4]
-        share = [x / len(text) for x in [*counts, len(text) - sum(counts)]]
-        classes = min(distance(rules_js.class_reference(x), share) for x in rules_js.CHARACTER_CLASSES)
-        bare = Counter(w.strip(rules_js.PUNCTUATION).lower() for w in WORD.findall(text))
-        own = lambda x: [bare[k] / max(1, n) for k in rules_js.COMMON_WORDS[x]]  # noqa: B023, E731
-        words = min(distance(rules_js.word_reference(x), [*own(x), max(0, 1 - sum(own(x)))]) for x in rules_js.COMMON_WORDS)
-        assert math.isclose(classes, r["class_distance"], abs_tol=1e-9) and math.isclose(words, r["word_distance"], abs_tol=1e-9)
-        far = len(text) >= rules_js.MIN_CHARS and classes > rules_js.CLASS_LIMIT or n >= rules_js.MIN_WORDS and words > rules_js.WORD_LIMIT
-        assert (r["base_failed"], r["kept"]) == (failed, not failed and not far)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    want = dict(zip([r["doc_id"] for r in rows], plain_rules([(r["text"], r["lang"]) for r in rows])))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "class_limit", "word_limit", "kept")
+    assert {r["doc_id"]: tuple(r[c] for c in names) for r in rules_js.judge(docs).collect()} == want
+    assert {w[-1] for w in want.values()} == {True, False}
+
+
+def test_rules_match_sql(spark):
+    check(rules_js.op7_rules_divergence, rules_js.ORACLES["op7_rules_divergence"], spark, SF)
+
+
+def test_rules_learn_their_references_from_the_corpus(spark):
+    """Texts of an invented language are kept among their own, and fall out where another language is the reference."""
+    rng = np.random.default_rng(2)
+    make = lambda names: " ".join(rng.choice(names, 150)) + "."
+    one, two = [f"{a}{b}{c}" for a in "bdk" for b in "aeiou" for c in "lmr"], [f"{a}{b}7{c}X" for a in "QXZ" for b in "aeiou" for c in "123"]
+    rows = [(i, make(one), "aa") for i in range(60)] + [(100 + i, make(two), "bb") for i in range(60)]
+    kind = "doc_id long, text string, lang string"
+    assert all(r["kept"] for r in rules_js.judge(spark.createDataFrame(rows, kind)).collect())
+    strangers = [(i, t, lang if lang == "aa" else None) for i, t, lang in rows[:64]]
+    assert {r["doc_id"]: r["kept"] for r in rules_js.judge(spark.createDataFrame(strangers, kind)).collect()} == {i: lang == "aa" for i, _, lang in strangers}
+    unknown = [(i, t, None) for i, t, _ in rows]
+    assert all(r["kept"] for r in rules_js.judge(spark.createDataFrame(unknown, kind)).collect())
 
 
 def test_rules_odd_rows_and_plan(odd):
     rows = rules_js.judge(odd).collect()
     assert len(rows) == len(ODD)
     assert all((r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) == (0, 0, True, False) for r in rows if r["doc_id"] in (2, 3))
-    plan = rules_js.judge(odd)._jdf.queryExecution().toString()
+    plan = rules_js.counted(odd, {"en": {"the": 0.1}})._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert rules_js.judge(odd.limit(0)).count() == 0
 
 
 def test_pii_keeps_formats_and_links(spark):
