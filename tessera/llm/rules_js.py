@@ -1,8 +1,8 @@
 """Quality rules in DataFrame functions: base counts, and distribution divergence from language references.
 
 References are counted from the corpus itself, over all documents with a language: for each language the
-WORDS most frequent words with their shares, from documents of MIN_WORDS words or more, and the shares of
-the character classes, from documents that the base rules don't fail.
+WORDS most frequent words with their shares, from documents of MIN_CHARS characters or more, and the shares
+of the character classes, from documents that the base rules don't fail.
 
 A document's character-class shares and its shares of each language's common words are compared
 with that language's reference by Jensen-Shannon distance (base 2, 0 to 1). The nearest language
@@ -83,16 +83,16 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def bare_words(text: Column) -> Column:
-    """The words in lower case without punctuation at their ends; words of punctuation alone are left out."""
+    """The words in lower case without punctuation at their ends; words of punctuation alone are empty."""
     ends = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in PUNCTUATION) + "]*"
-    cut = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(PUNCTUATION)), f"{ends}[{WORD_SPACE}]+{ends}")
-    return F.filter(cut, lambda x: x != "")
+    return F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(PUNCTUATION)), f"{ends}[{WORD_SPACE}]+{ends}")
 
 
 def common_words(docs: DataFrame, first: int = WORDS) -> dict:
     """For each language its most frequent words with their shares of all words, ties by word."""
-    long = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), bare_words(F.col("text")).alias("x"), F.size(words(F.col("text"))).alias("n")).where(F.col("n") >= MIN_WORDS)
-    counts = long.select("lang", F.explode("x").alias("x")).groupBy("lang", "x").agg(F.count("*").alias("n"))
+    long = docs.where("lang is not null").where(F.length("text") >= MIN_CHARS)
+    each = long.select(F.col("lang").cast("string").alias("lang"), F.explode(bare_words(F.col("text"))).alias("x")).where("x <> ''")
+    counts = each.groupBy("lang", "x").agg(F.count("*").alias("n"))
     counts = materialise(counts, "rules-words")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
@@ -189,8 +189,8 @@ r as (select rid, i from g qualify count(*) over (partition by rid, k) > 1),
 v as (select rid, count(distinct p) n from (select rid, unnest([i, i + 1, i + 2]) p from r) group by 1),
 c as (select w.rid, doc_id, lang, length(t) n_chars, len(w) n_words, {lengths}, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(v.n, 0) n_repeat_words from w left join v on v.rid = w.rid),
 s as (select *, list_transform([k0, k1, k2, k3, k4, k5 - k0 - k1 - k2 - k4, greatest(0, n_chars - k3 - k5)], lambda k: cast(k as double)) classes, n_words < 50 or 100 * n_repeat_words > 50 * n_words failed from c),
-x as (select rid, lang, n_words, lower(trim(word, '{punctuation}')) x from (select w.rid, w.lang, n_words, unnest(w.w) word from w join s using (rid))),
-n as (select lang, x, count(*) n from x where lang is not null and n_words >= {MIN_WORDS} and x <> '' group by 1, 2),
+x as (select rid, lang, n_chars, lower(trim(word, '{punctuation}')) x from (select w.rid, w.lang, n_chars, unnest(w.w) word from w join s using (rid))),
+n as (select lang, x, count(*) n from x where lang is not null and n_chars >= {MIN_CHARS} and x <> '' group by 1, 2),
 top as (select lang, x, n / total share from (select *, sum(n) over (partition by lang) total from n) qualify row_number() over (partition by lang order by n desc, x) <= {WORDS}),
 own as (select rid, top.lang, top.x, count(*) n from x join top on top.x = x.x group by 1, 2, 3),
 pairs as (select s.rid, top.lang, top.share p, coalesce(own.n, 0) / greatest(s.n_words, 1) q from s cross join top left join own on own.rid = s.rid and own.lang = top.lang and own.x = top.x),

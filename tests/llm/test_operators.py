@@ -323,7 +323,7 @@ def plain_rules(rows):
         kinds[5] -= sum(kinds[:3]) + kinds[4]
         kinds.append(len(t) - sum(kinds))
         classes.setdefault("of texts", []).append(kinds)
-        if lang is not None and n >= rules_js.MIN_WORDS:
+        if lang is not None and len(t) >= rules_js.MIN_CHARS:
             counts.setdefault(lang, Counter()).update(w)
         if lang is not None and not bad:
             classes[lang, "sum"] = [a + b for a, b in zip(classes.get((lang, "sum"), [0] * 7), kinds)]
