@@ -20,8 +20,9 @@ The work is cut by blocks of texts, of about BLOCK_TOKENS tokens each, and by sh
 5. a block's own part of the model is written to an unlinked file, memory-mapped, and its texts,
    kept as word numbers, are scored from it.
 
-A common word is one entry for each block, so no key is hot. The number of shards grows with the
-number of input splits. Everything is counted over all training rows; pairs that only held-out
+A common word is one entry for each block, so no key is hot. The number of shards follows from the
+bytes of all texts, about SHARD_BYTES each, so that what a shard or a block holds at once is the same
+for any input and any splits of it. Everything is counted over all training rows; pairs that only held-out
 texts have come back as 0. Words are told apart by 64 bits of hash, in pairs by 48 each.
 
 The blocks are made anew for each use, which needs an input that gives the same rows in the same
@@ -45,7 +46,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, materialise, table
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+#: Text bytes whose pairs and words meet in one shard, and rows of an Arrow batch that are Python objects at once.
+SHARD_BYTES, SLICE_ROWS = 16 << 20, 256
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Tokens that no word can be: words hold no white space.
 BEGIN, END = b" begin", b" end"
@@ -83,6 +86,12 @@ def mixed(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(shards)
 
 
+def dealt(shard: np.ndarray, shards: int) -> list:
+    """The positions of each shard's entries, in order."""
+    order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")
+    return np.split(order, np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))[:-1])
+
+
 class Block:
     """Texts as word numbers, the block's words and its pairs."""
 
@@ -124,16 +133,28 @@ def pair_keys(stream: np.ndarray, begin: np.ndarray, place: np.ndarray) -> tuple
     return np.unique(keys, return_inverse=True)
 
 
+def trained_pairs(stream: np.ndarray, begin: np.ndarray, train: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs as in pair_keys, and how often each is in training texts: one sort, with the train flag as lowest bit."""
+    at = place[stream]
+    keys = (at[:-1] << 32 | at[1:] << 1 | train[1:])[~begin[1:]]
+    keys.sort()
+    pairs = keys >> 1
+    starts = np.flatnonzero(np.diff(pairs, prepend=-1))
+    pairs = pairs[starts]
+    return pairs >> 31 << 32 | pairs & 0x7FFFFFFF, np.add.reduceat(keys & 1, starts)
+
+
 def blocks(batches, block_tokens: int = BLOCK_TOKENS):
     """Yield (block id, Block) of Arrow batches (doc_id, text, train)."""
     split, k, block, held = TaskContext.get().partitionId(), 0, Block(), 0
     for batch in batches:
-        for i, text, train in zip(*(c.to_pylist() for c in batch.columns)):
-            block.add(i, (text or "").encode(), train)
-            held += block.lengths[-1]
-            if held >= block_tokens:
-                yield split << 20 | k, block
-                k, block, held = k + 1, Block(), 0
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            for i, text, train in zip(*(c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns)):
+                block.add(i, (text or "").encode(), train)
+                held += block.lengths[-1]
+                if held >= block_tokens:
+                    yield split << 20 | k, block
+                    k, block, held = k + 1, Block(), 0
     if block.ids:
         yield split << 20 | k, block
 
@@ -150,13 +171,11 @@ def send_pairs(shards: int):
         for name, block in blocks(batches):
             h, place = block.words()
             stream, begin, train = block.stream()
-            keys, which = pair_keys(stream, begin, place)
-            count = np.bincount(which, train[1:][~begin[1:]], len(keys)).astype(np.int64)
+            keys, count = trained_pairs(stream, begin, train, place)
             first, second = h[keys >> 32] >> LOW, h[keys & 0xFFFFFFFF] >> LOW
             shard = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second, shards)
             rows = []
-            for s in range(shards):
-                mine = shard == s
+            for s, mine in enumerate(dealt(shard, shards)):
                 rows.append((s, name, "pairs", pack(*halves(first[mine]), *halves(second[mine]), small(count[mine]))))
             yield blob_batch(rows)
 
@@ -199,7 +218,7 @@ def merge_pairs(shards: int):
         context, where = np.unique(a, return_inverse=True)
         sums = [np.bincount(where, x, len(context)).astype(np.int64) for x in (total, total == 1, total == 2, total >= 3)]
         follows, kinds = np.unique(b, return_counts=True)
-        for s, mine, other in ((s, mixed(context, shards) == s, mixed(follows, shards) == s) for s in range(shards)):
+        for s, (mine, other) in enumerate(zip(dealt(mixed(context, shards), shards), dealt(mixed(follows, shards), shards))):
             rows.append((s, -1, "words", pack(*halves(context[mine]), *[small(x[mine]) for x in sums], *halves(follows[other]), small(kinds[other]))))
         rows.append((-1, -1, "kinds", pack(np.array([(total == k).sum() for k in (1, 2, 3, 4)], np.int64))))
         return pa.Table.from_batches([blob_batch(rows)])
@@ -214,9 +233,8 @@ def send_words(shards: int):
         for name, block in blocks(batches):
             h, place = block.words()
             stream, begin, train = block.stream()
-            count = np.bincount(place[stream], train & ~begin, len(h)).astype(np.int64)
-            shard = mixed(h >> LOW, shards)
-            yield blob_batch([(s, name, "block", pack(h[shard == s], small(count[shard == s]))) for s in range(shards)])
+            count = np.bincount(place[stream[train & ~begin]], minlength=len(h))
+            yield blob_batch([(s, name, "block", pack(h[mine], small(count[mine]))) for s, mine in enumerate(dealt(mixed(h >> LOW, shards), shards))])
 
     return run
 
@@ -313,16 +331,16 @@ def score_block(shards: int, model: dict):
         at = frequency[ranks].astype(np.int64)
         pairs, which = pair_keys(at, begin, np.arange(len(h)))
         stats = np.zeros((6, len(h)), np.int64)
-        word_shard = mixed(h >> LOW, shards)
+        word_place = dealt(mixed(h >> LOW, shards), shards)
         first, second = h[pairs >> 32] >> LOW, h[pairs & 0xFFFFFFFF] >> LOW
-        pair_shard = mixed(first * np.uint64(0x9E3779B97F4A7C15) + second, shards)
+        pair_place = dealt(mixed(first * np.uint64(0x9E3779B97F4A7C15) + second, shards), shards)
         counts = np.zeros(len(pairs), np.int64)
         for s in range(shards):
-            mine, theirs = pair_shard == s, unpack(of["counts", s])[0]
-            if len(theirs) != mine.sum():
+            mine, theirs = pair_place[s], unpack(of["counts", s])[0]
+            if len(theirs) != len(mine):
                 raise ValueError("the input gave other rows when it was read again")
             counts[mine] = theirs
-            stats[:, word_shard == s] = np.stack([x.astype(np.int64) for x in unpack(of["stats", s])])
+            stats[:, word_place[s]] = np.stack([x.astype(np.int64) for x in unpack(of["stats", s])])
         h, pairs, counts, stats = mapped([h, pairs, counts, stats])
         d, e, v = model["pair_discounts"], model["word_discounts"], model["words"]
         count, total, one, two, more, before = (np.asarray(x, float) for x in stats)
@@ -351,7 +369,8 @@ def perplexity(docs: DataFrame, train) -> tuple[DataFrame, dict]:
     train: a boolean column, the rows to learn from. docs has doc_id and text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    shards = max(4, rows.rdd.getNumPartitions())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(4, -(-size // SHARD_BYTES))
     sent = materialise(rows.mapInArrow(send_pairs(shards), BLOB_SCHEMA).groupBy("shard").applyInArrow(merge_pairs(shards), BLOB_SCHEMA), "pairs")
     words = rows.mapInArrow(send_words(shards), BLOB_SCHEMA)
     tables = materialise(words.unionByName(sent.where("kind = 'words'")).groupBy("shard").applyInArrow(merge_words, BLOB_SCHEMA), "words")

@@ -555,6 +555,16 @@ def test_kneser_ney_against_brute_force(spark, docs, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize("splits", [1, 30])
+def test_kneser_ney_shards_follow_from_the_text_not_from_its_splits(spark, docs, monkeypatch, splits):
+    seen, send = [], kneser_ney.send_pairs
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 50_000, raising=False)
+    monkeypatch.setattr(kneser_ney, "send_pairs", lambda shards: seen.append(shards) or send(shards))
+    size = sum(len((r["text"] or "").encode()) for r in docs.collect())
+    kneser_ney.perplexity(docs.coalesce(1).repartition(splits) if splits > 1 else docs.coalesce(1), F.lit(True))
+    assert seen == [-(-size // 50_000)] and seen[0] > 4
+
+
 def test_kneser_ney_odd_rows(odd):
     scored, model = kneser_ney.perplexity(odd, F.col("doc_id") != 7)
     rows = scored.collect()
