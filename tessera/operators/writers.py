@@ -72,14 +72,18 @@ def change_members(members: DataFrame, changes: DataFrame, at: str) -> DataFrame
     return df.select("project_id", "user_id", "role", "joined_at", "outcome").where("role is not null or outcome <> 'unchanged'")
 
 
-def create_invites(invites: DataFrame, wanted: DataFrame, at: str) -> DataFrame:
-    """wanted(invite_id, project_id, email, role, invited_by) as invites; one that is pending for the project and address already is given back (reused)."""
+def create_invites(invites: DataFrame, wanted: DataFrame, at: str, together: bool = True) -> DataFrame:
+    """wanted(invite_id, project_id, email, role, invited_by) as invites; one that is pending for the project and address already is given back (reused).
+
+    together: wanted are stored as one batch, so of several for one project and address the least id is
+    made and given back to the others. Otherwise each is answered from invites alone, as if no other were wanted.
+    """
     open_ = invites.where((F.col("status") == "pending") & (F.col("expires_at") >= F.lit(at).cast("timestamp")))
     old = open_.groupBy("project_id", F.lower("email").alias("_email")).agg(F.min("invite_id").alias("_old"))
     df = wanted.withColumn("_email", F.lower(F.trim("email"))).join(old, ["project_id", "_email"], "left")
-    # of several wanted for one address the least id is made, and given back to the others
-    first = F.min("invite_id").over(W.partitionBy("project_id", "_email"))
-    df = df.withColumn("_old", F.coalesce("_old", F.when(F.col("project_id").isNotNull() & F.col("_email").isNotNull() & (first != F.col("invite_id")), first)))
+    if together:
+        first = F.min("invite_id").over(W.partitionBy("project_id", "_email"))
+        df = df.withColumn("_old", F.coalesce("_old", F.when(F.col("project_id").isNotNull() & F.col("_email").isNotNull() & (first != F.col("invite_id")), first)))
     stamp = F.lit(at).cast("timestamp")
     return df.select(F.coalesce("_old", "invite_id").alias("invite_id"), "project_id", F.col("_email").alias("email"), "role", "invited_by", F.lit("pending").alias("status"), stamp.alias("invited_at"), (stamp + F.expr(f"interval {INVITE_DAYS} days")).alias("expires_at"), F.col("_old").isNotNull().alias("reused"))
 
