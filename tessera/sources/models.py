@@ -1,4 +1,4 @@
-"""Model calls as a source of rows: a batch callable inside mapInPandas, a deterministic stub by default.
+"""Model calls as a source of rows: a batch callable inside mapInArrow, a deterministic stub by default.
 
 call adds answers to requests as a plan, so whatever reads its result twice asks twice. Chains, which
 branch on answers and ask again, go through Answers instead: a table that is written before anything
@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from tessera.sources.tables import new_path, read_if_there
 ATTEMPTS = 3
 #: Seconds before a batch is tried again, doubled each time up to the second figure; seconds that a request may take.
 WAIT_S, MOST_WAIT_S, LIMIT_S = 1.0, 9.0, 60.0
+#: Requests of one call: so many of an Arrow batch are Python objects at once.
+CALL_ROWS = 500
 #: What each kind of call answers, for from_json.
 SCHEMAS = {
     "detect": "claims array<struct<claim_text:string,claim_type:string,nutrient:string,substance:string,implicitness:string>>",
@@ -67,15 +70,19 @@ def tried(caller: BatchCaller, requests: pd.DataFrame, wait_s: float = WAIT_S, l
 
 
 def asked(requests: DataFrame, caller: BatchCaller, wait_s: float = WAIT_S, limit_s: float = LIMIT_S) -> DataFrame:
-    """requests with raw, error and attempts, one call for each Arrow batch."""
+    """requests with raw, error and attempts, one call for up to CALL_ROWS of an Arrow batch."""
+    kinds = [pa.string(), pa.string(), pa.int32()]
 
     def run(batches):
-        for pdf in batches:
-            raw, error, tries = tried(caller, pdf, wait_s, limit_s) if len(pdf) else ([], None, 0)
-            yield pdf.assign(raw=raw, error=error, attempts=tries)
+        for batch in batches:
+            for start in range(0, batch.num_rows, CALL_ROWS):
+                part = batch.slice(start, CALL_ROWS)
+                raw, error, tries = tried(caller, part.to_pandas(), wait_s, limit_s)
+                told = [pa.array(x, k) for x, k in zip((raw, [error] * len(raw), [tries] * len(raw)), kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *told], names=out.names)
 
     out = T.StructType([*requests.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
-    return requests.mapInPandas(run, out)
+    return requests.mapInArrow(run, out)
 
 
 def parsed(answered: DataFrame, schema: str) -> DataFrame:
