@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ ANNEX = ["oj-doc-ti", "title-fam-member", "title-doc-last"]
 ARTICLE = ["oj-ti-art", "title-article-norm"]
 SUBTITLE = ["oj-sti-art", "stitle-article-norm"]
 PARAGRAPH = ["oj-normal", "norm"]
+#: Pages of an Arrow batch that are Python objects at once.
+PAGE_ROWS = 500
 
 
 class _Paragraphs(HTMLParser):
@@ -54,19 +57,21 @@ def paragraphs(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, seq, class, text) of pages(key, html)."""
 
     def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for k, html in zip(pdf[key], pdf["html"]):
-                tool = _Paragraphs()
-                tool.feed(html or "")
-                tool.close_p()
-                out += [(k, *r) for r in tool.rows]
-            yield pd.DataFrame(out, columns=[key, "seq", "class", "text"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGE_ROWS):
+                part, page, rows = batch.slice(start, PAGE_ROWS), [], []
+                for i, html in enumerate(part.column(1).to_pylist()):
+                    tool = _Paragraphs()
+                    tool.feed(html or "")
+                    tool.close_p()
+                    page += [i] * len(tool.rows)
+                    rows += tool.rows
+                seq, cls, text = zip(*rows) if rows else ((), (), ())
+                columns = [part.column(0).take(pa.array(page, pa.int64())), pa.array(seq, pa.int32()), pa.array(cls, pa.string()), pa.array(text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "seq", "class", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInPandas(parse, f"{key} {kind}, seq int, class string, text string")
+    return pages.select(key, "html").mapInArrow(parse, f"{key} {kind}, seq int, class string, text string")
 
 
 def article_range(rows: DataFrame, by: list) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from tessera.sources import models
+from tessera.sources import models, regulation
 
 
 class Frame:
@@ -26,3 +26,12 @@ def test_a_call_takes_a_bounded_part_of_a_batch(spark):
     out = pa.Table.from_batches(list(run([pa.record_batch({"id": pa.array(range(1300), pa.int64())})])))
     assert [len(s) for s in seen] == [500, 500, 300] and sum(seen, []) == list(range(1300))
     assert out.to_pydict() == {"id": list(range(1300)), "raw": [None if i % 2 else str(i) for i in range(1300)], "error": [None] * 1300, "attempts": [1] * 1300}
+
+
+def test_pages_are_parsed_a_bounded_part_at_a_time(spark):
+    run = regulation.paragraphs(Frame(spark.range(0).withColumnRenamed("id", "page_id").schema))
+    html = [None if i == 7 else '<p class="a">x</p><p>y</p><p class="b">z' * (i % 3) for i in range(1300)]
+    out = list(run([pa.record_batch({"page_id": pa.array(range(1300), pa.int64()), "html": pa.array(html, pa.string())})]))
+    assert [len(set(b.column(0).to_pylist())) for b in out] == [sum(i % 3 > 0 and i != 7 for i in range(a, min(a + 500, 1300))) for a in (0, 500, 1000)]
+    want = [(i, s, *((("a", "x"), ("b", "z"))[s % 2])) for i in range(1300) if i != 7 for s in range(2 * (i % 3))]
+    assert [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()] == want
