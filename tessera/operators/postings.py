@@ -31,7 +31,7 @@ from tessera.sources.tables import exists, new_path, shared_dir
 # Weights of a term in a chunk's reference and in its snippet.
 FIELD_WEIGHT = {"reference": 1.0, "snippet": 0.4}
 #: Chunks of a run, runs of a shard, buckets of tokens (a bucket of their own has the runs' ids).
-RUN, SHARD, BUCKETS, IDS = 1024, 64, 64, -1
+RUN, SHARD, BUCKETS, IDS = 1024, 16, 64, -1
 #: Runs of which a bucket's blocks are written by one task.
 SLAB = 1 << 16
 #: Queries of one pass over the index.

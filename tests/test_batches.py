@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+from tessera.operators import postings
 from tessera.sources import models, regulation
 
 
@@ -35,3 +36,7 @@ def test_pages_are_parsed_a_bounded_part_at_a_time(spark):
     assert [len(set(b.column(0).to_pylist())) for b in out] == [sum(i % 3 > 0 and i != 7 for i in range(a, min(a + 500, 1300))) for a in (0, 500, 1000)]
     want = [(i, s, *((("a", "x"), ("b", "z"))[s % 2])) for i in range(1300) if i != 7 for s in range(2 * (i % 3))]
     assert [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()] == want
+
+
+def test_chunks_of_a_shard():
+    assert postings.RUN * postings.SHARD <= 1 << 14
