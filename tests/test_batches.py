@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from tessera.operators import postings
+from tessera.operators import chains, postings
 from tessera.sources import models, regulation
 
 
@@ -40,3 +40,11 @@ def test_pages_are_parsed_a_bounded_part_at_a_time(spark):
 
 def test_chunks_of_a_shard():
     assert postings.RUN * postings.SHARD <= 1 << 14
+
+
+def test_polish_reads_its_answers_once(spark):
+    docs = spark.createDataFrame([(1, "Gut."), (2, "Heilkraft"), (3, "Ruhe"), (4, None)], "doc_id long, text string")
+    says = {1: '{"text": "Heilkraft"}', 2: '{"text": "Heilkraft ok"}', 3: None, 4: '{"text": "x"}'}
+    out = chains.polish(docs, lambda r: [says[i] for i in r["doc_id"]])
+    assert {r["doc_id"]: (r["polished"], r["kept"]) for r in out.collect()} == {1: ("Gut.", False), 2: ("Heilkraft ok", True), 3: ("Ruhe", False), 4: ("x", True)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
