@@ -31,6 +31,8 @@ SAMPLE, ROUNDS = 20_000, 10
 LISTS, PARTS, WORDS = 32, 16, 256
 #: Lists that a search looks into: of 51,282 vectors without bundles, 24 of 32 find 0.96 of the first eight, 16 find 0.87.
 PROBES = 24
+#: Queries whose candidates a task sends in one batch.
+ROWS = 500
 
 
 @dataclass
@@ -115,8 +117,29 @@ def write_index(passages: DataFrame, book: Codebook, path: str) -> DataFrame:
     return passages.sparkSession.read.schema(T.StructType(kinds)).parquet(path)
 
 
+class Best:
+    """The keep best of each query so far: score, what decides between equal scores, and place (-1: none)."""
+
+    def __init__(self, queries: int, keep: int):
+        self.score = np.full((queries, keep), -np.inf)
+        self.tie = np.full((queries, keep), np.iinfo(np.int64).max)
+        self.place = np.full((queries, keep), -1, np.int64)
+
+    def add(self, query: np.ndarray, score: np.ndarray, tie: np.ndarray, place: np.ndarray) -> None:
+        """Scores of query with the vectors at place, which come in the order of tie."""
+        score = np.where(np.isnan(score), -np.inf, score)
+        better = score.max(axis=1) >= self.score[query, -1]
+        query, score = query[better], score[better]
+        keep = self.score.shape[1]
+        first = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+        new = (np.take_along_axis(score, first, axis=1), tie[first], place[first])
+        score, tie, place = (np.concatenate([old[query], x], axis=1) for old, x in zip((self.score, self.tie, self.place), new))
+        order = np.lexsort((tie, -score), axis=1)[:, :keep]
+        self.score[query], self.tie[query], self.place[query] = (np.take_along_axis(x, order, axis=1) for x in (score, tie, place))
+
+
 def candidates(index: DataFrame, book: Codebook, names: list, matrix: np.ndarray, kind: T.StructField, probes: int, keep: int) -> DataFrame:
-    """(query_id, collection, chunk_id, score): of each task's batches the keep best by estimate for each query and collection."""
+    """(query_id, collection, chunk_id, score): the keep best by estimate for each query and collection; a task sends no more of each, whatever it reads."""
     coarse = matrix @ book.middles.T
     looked = np.argsort(-coarse, axis=1, kind="stable")[:, :probes]
     asks = {int(x): np.flatnonzero((looked == x).any(axis=1)) for x in np.unique(looked)}
@@ -126,24 +149,35 @@ def candidates(index: DataFrame, book: Codebook, names: list, matrix: np.ndarray
 
     def run(batches):
         names, coarse, tables, asks = sent.value
-        parts = tables.shape[1]
+        parts, chunks, read, best = tables.shape[1], [], 0, {}
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(1)))
             lists = batch.column(2).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, parts)
-            groups = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            kind_of, groups = batch.column(0).type, batch.column(0).dictionary_encode()
+            values, groups = groups.dictionary.to_pylist(), groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            # equal estimates go to the least chunk, or where ids are no integers to the first that is read
+            tie = batch.column(1).fill_null(0).to_numpy() if pa.types.is_integer(batch.column(1).type) else np.arange(read, read + batch.num_rows)
             for x in np.unique(lists).tolist():
                 own = asks.get(x, ())
                 for c in np.unique(groups[lists == x]).tolist():
                     mine = np.flatnonzero((lists == x) & (groups == c))
+                    held = best.setdefault(None if c < 0 else values[c], Best(len(names), keep))
                     step = max(1, BLOCK_SCORES // len(mine))
                     for a in range(0, len(own), step):
                         query = own[a : a + step]
                         score = coarse[query, x, None] + sum(tables[query, p][:, codes[mine, p]] for p in range(parts))
-                        first = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-                        q = np.repeat(query, first.shape[1])
-                        chosen = batch.take(pa.array(mine[first.ravel()]))
-                        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], ids), chosen.column(0), chosen.column(1), pa.array(np.take_along_axis(score, first, axis=1).ravel().astype(float))], names=out.names)
+                        held.add(query, score, tie[mine], read + mine)
+            chunks.append(batch.column(1))
+            read += batch.num_rows
+        if not read:
+            return
+        chunks = pa.chunked_array(chunks)
+        for c, held in best.items():
+            for a in range(0, len(names), ROWS):
+                q, at = np.nonzero(held.place[a : a + ROWS] >= 0)
+                q += a
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], ids), pa.array([c] * len(q), kind_of), chunks.take(pa.array(held.place[q, at])).combine_chunks(), pa.array(held.score[q, at])], names=out.names)
 
     found = index.where(F.col("list").isin(sorted(asks))).select("collection", "chunk_id", "list", "code").mapInArrow(run, out)
     return top_k(found, ["query_id", "collection"], keep, [F.desc("score"), "chunk_id"]).drop("rank")

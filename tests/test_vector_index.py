@@ -72,3 +72,15 @@ def test_fewer_vectors_than_lists(spark, tmp_path, rows):
     index, book = built(spark, tmp_path, passages)
     found = first(I.search(index, book, passages.select(F.col("chunk_id").alias("query_id"), "vector")))
     assert len(found) == rows * rows
+
+
+@pytest.mark.parametrize("size", [1, 7, 400])
+def test_best_over_batches_is_best_of_all(size):
+    draw = np.random.default_rng(3)
+    score, ids = draw.integers(0, 40, (5, 400)).astype(float), draw.permutation(400)
+    held = I.Best(5, 8)
+    for a in range(0, 400, size):
+        at = a + np.argsort(ids[a : a + size])
+        held.add(np.arange(5), score[:, at], ids[at], at)
+    want = [sorted(range(400), key=lambda i: (-score[q, i], ids[i]))[:8] for q in range(5)]
+    assert held.place.tolist() == want
