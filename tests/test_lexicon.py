@@ -133,3 +133,39 @@ def test_work_does_not_grow_with_rules_that_are_not_there():
 def test_counts_of_texts_without_any_hit(spark):
     rows = spark.createDataFrame([(1, "Heilkraft heilt"), (2, "nichts"), (3, None), (4, "")], "i int, t string").select("i", L.count_terms(F.col("t")).alias("n"))
     assert {r["i"]: r["n"]["heil-stem"] for r in rows.collect()} == {1: 2, 2: 0, 3: None, 4: 0}
+
+
+def test_spans_scan_every_text_once(spark):
+    """Found is what the patterns find, also where word edges of the JVM are others; no pattern of all rules runs before the scan."""
+    texts = ["o\u0301heilt", "x\u0301Symptome und Diagnose", "nichts", "", None, "Heilkraft"]
+    found = L.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "RLIKE" not in found._jdf.queryExecution().toString().upper()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["label"], r["term"]))
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, t in enumerate(texts) if (x := plain_hits(t or "", L.RULES))} and len(got) == 3
+
+
+def test_folding_of_every_letter():
+    """Each character on its own and among letters, as by a table of characters."""
+    table = str.maketrans(dict(L._FOLDED))
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        low = c.lower() if len(c.lower()) == 1 else c
+        assert L.folded(f"A{c}b") == f"a{low.translate(table)}b", hex(ord(c))
+
+
+def test_predicate_looks_at_word_edges_once_for_all_rules(spark):
+    """The pattern has its edge in front and finds what the rules side by side find; where edge or stems aren't sure it is the rules side by side."""
+    side_by_side = lambda rules: "|".join(f"(?:{r.pattern})" for r in rules)
+    assert L.any_of(L.RULES).count(r"\b(?=[") == 1 and L.any_of(L.RULES).startswith(r"\b(?=[")
+    draw = random.Random(11)
+    pieces = ["heil", "Heilig", "heilige", "HEILEN", "Symptom-los", "ſymptom", "DİAGNOSE", "dıagnose", "\u212aopfbeschwerden", "mentaler\n anspannung", "KÖRPERLICHEM anspannung", "körperliche", "Periodebeschwerden", "boost", "boosten", "förderung wohlbefinden", "FÖRDERUNG DES WOHLBEFINDENS", "vitalit", "dosis-empfehlung", "ß", "İ", "_", "9", "ä", "o\u0301", "ẞ", "😀", ",", "x"]
+    texts = ["".join(draw.choice(pieces) + draw.choice(["", " ", " ", "-", "\n"]) for _ in range(draw.randrange(1, 6))) for _ in range(4000)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    odd = [L._rule("digits", "soft", "", r"\d+x", "")], [L._rule("two", "soft", "", r"\bheilen|boost", "", stems=("heilen", "boost"))], [L._rule("group", "soft", "", r"\b(?:heilen|dia)x?|oost", "")]
+    for rules in (L.RULES, L.RULES[:1], L.RULES[-3:], *odd, [*L.RULES, *odd[0]]):
+        plain = F.col("t").rlike("(?iuU)" + side_by_side(rules))
+        both = rows.select(plain.alias("a"), L.has_terms(F.col("t"), rules).alias("b"))
+        assert both.where("not a <=> b").count() == 0
+        assert both.where("a").count() > 0 and both.where("not a").count() > 0
+    assert all(L.any_of(r) == side_by_side(r) for r in (*odd, [*L.RULES, *odd[0]], []))
